@@ -4,7 +4,7 @@ import importlib
 
 from creditloom.workload.base import ORACLES, QUERIES
 
-MODULES = ("history",)
+MODULES = ("history", "joins", "features")
 
 
 def _load() -> None:

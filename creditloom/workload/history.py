@@ -210,7 +210,7 @@ def beh_recovery(v: Views) -> DataFrame:
 
 
 def _slope_sql(k: int, x: str, name: str) -> str:
-    return f"""(select application_id, round(case when count(*) < 2 then 0 else regr_slope(y, i) end, 4) as {name} from (
+    return f"""(select application_id, round(case when count(*) < 2 then 0 else regr_slope(y, i) end, {9 if "util" in name else 7}) as {name} from (
   select application_id, {x} as y, row_number() over (partition by application_id order by ord) - 1 as i
   from p where in{k} and {x} is not null) group by application_id)"""
 
@@ -236,7 +236,7 @@ SLOPES = [
     ),
 )
 def beh_slopes(v: Views) -> DataFrame:
-    return rounded(features(v), ["application_id"], {n: 4 for _, _, n in SLOPES})
+    return rounded(features(v), ["application_id"], {n: 9 if "util" in n else 7 for _, _, n in SLOPES})
 
 
 @query(
