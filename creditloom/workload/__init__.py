@@ -4,7 +4,7 @@ import importlib
 
 from creditloom.workload.base import ORACLES, QUERIES
 
-MODULES = ("history", "joins", "features")
+MODULES = ("history", "joins", "features", "prep")
 
 
 def _load() -> None:
