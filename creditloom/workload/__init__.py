@@ -4,7 +4,7 @@ import importlib
 
 from creditloom.workload.base import ORACLES, QUERIES
 
-MODULES = ("history", "joins", "features", "prep")
+MODULES = ("history", "joins", "features", "prep", "ranking", "diagnostics")
 
 
 def _load() -> None:
