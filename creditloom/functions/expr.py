@@ -57,6 +57,11 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return finite(num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0)))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows where both are present; NULL when a side is constant (``corr`` fails there)."""
+    return F.regr_sxy(y, x) / F.nullif(F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x)), F.lit(0.0))
+
+
 def clip(x: Column, low, high) -> Column:
     """Clip to [low, high]; ``greatest``/``least`` alone would replace a NULL by the bound."""
     y = x

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditloom.functions.expr import as_double
+from creditloom.functions.expr import as_double, correlation
 from creditloom.operators.metrics import auc_agg
 from creditloom.operators.woe import mutual_information
 from creditloom.plans.ranked import average_rank, value_table
@@ -96,14 +96,14 @@ def feature_moments(df: DataFrame, columns: Sequence[str], target: str) -> DataF
     y = F.col(target).cast("double")
     aggs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(columns):
-        aggs += [F.stddev_samp(c).alias(f"s{i}"), F.corr(F.col(c), y).alias(f"c{i}")]
+        aggs += [F.stddev_samp(c).alias(f"s{i}"), correlation(F.col(c), y).alias(f"c{i}")]
     row = df.agg(*aggs)
     cells = [
         F.struct(
             F.lit(c).alias("feature"),
             F.col("__rows").alias("rows"),
             F.col(f"s{i}").alias("std"),
-            F.coalesce(F.nanvl(F.col(f"c{i}"), F.lit(None).cast("double")), F.lit(0.0)).alias("corr"),
+            F.coalesce(F.col(f"c{i}"), F.lit(0.0)).alias("corr"),
         )
         for i, c in enumerate(columns)
     ]

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions.expr import as_double
+from creditloom.functions.expr import as_double, correlation
 from creditloom.plans.ranked import quantile_map
 
 SMOOTH = 1e-6
@@ -114,7 +114,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], batch: int = 300) -
     out = None
     for start in range(0, len(pairs), batch):
         part = pairs[start : start + batch]
-        row = df.agg(*[F.corr(as_double(df, a), as_double(df, b)).alias(f"c{i}") for i, (a, b) in enumerate(part)])
+        row = df.agg(*[correlation(as_double(df, a), as_double(df, b)).alias(f"c{i}") for i, (a, b) in enumerate(part)])
         cells = [
             F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{i}").alias("corr"))
             for i, (a, b) in enumerate(part)
