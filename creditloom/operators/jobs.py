@@ -1,14 +1,335 @@
-"""Dataset, training, scoring and evaluation jobs (see the functions below)."""
+"""Dataset, training, scoring and evaluation jobs built from the operators."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from creditloom.functions.clean import is_safe_feature, normalize_id, prepare_applications
+from creditloom.functions.expr import numeric_columns
+from creditloom.functions.scorecard import ScorecardConfig, pd_to_score
+from creditloom.operators import calibrate, explain
+from creditloom.operators import metrics as M
+from creditloom.operators import models as L
+from creditloom.operators.diagnostics import SelectionConfig, diagnose
+from creditloom.operators.drift import psi
+from creditloom.operators.fairness import fairness_report
+from creditloom.operators.features import FeatureSpec, build_features, interaction_candidates, smart_interactions
+from creditloom.operators.history import (
+    HistoryConfig,
+    customer_summary,
+    cut_at_application,
+    history_features,
+    latest_snapshot,
+    with_summary_inputs,
+)
+from creditloom.operators.joins import left_merge, merge_coverage
+from creditloom.operators.prep import PrepConfig, PrepModel, fit_prep
+from creditloom.operators.splits import split_by_time
+from creditloom.operators.stats import all_null_columns
+from creditloom.plans.session import materialize
 
-def align_frames(frames: dict[str, DataFrame], columns: list[str] | None = None) -> DataFrame:
+
+def align_frames(frames: dict[str, DataFrame], columns: Sequence[str] | None = None) -> DataFrame:
     """Union of the splits over the sorted union of their columns; a column a split lacks is NULL there."""
-    order = columns or sorted({c for f in frames.values() for c in f.columns})
+    order = list(columns) if columns else sorted({c for f in frames.values() for c in f.columns})
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames.values())
     return whole.select(*order)
+
+
+# -- dataset ---------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Dataset:
+    features: DataFrame
+    master: DataFrame
+    coverage: DataFrame
+    prep: PrepModel
+
+
+def build_master(
+    sources: dict[str, DataFrame | None], history: HistoryConfig, date: str | None = None, history_spec: FeatureSpec | None = None, panel: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Applications with demographics, loans, ratios and the customer's history summary; and the coverage table."""
+    key, app = history.entity, history.application_id
+    base = prepare_applications(sources["application"], key, date)
+    reports = []
+    for name, keys in (("demographics", [key]), ("loan_details", [key, app]), ("financial_ratios", [key])):
+        side = sources.get(name)
+        reports.append(merge_coverage(base, side, keys, name))
+        base = left_merge(base, side, keys, name)
+    past = sources.get("credit_history")
+    summary = None
+    if past is not None:
+        if date and date in base.columns:
+            past = cut_at_application(past, base, history)
+        summary = customer_summary(past, history)
+        if panel:
+            rows = with_summary_inputs(past, history)
+            made = build_features(
+                rows, history_spec or FeatureSpec(), date=history.date, entity=key, tiebreak=history.tiebreak
+            )
+            fresh = [c for c in made.columns if c not in rows.columns and c not in summary.columns]
+            if fresh:
+                summary = summary.join(latest_snapshot(made, key, history.date, history.tiebreak, fresh), key, "left")
+    reports.append(merge_coverage(base, summary, [key], "credit_history"))
+    if summary is not None:
+        base = left_merge(base, summary, [key], "credit_history", dedupe=False)
+    return base, reduce(DataFrame.unionByName, reports)
+
+
+def build_dataset(
+    sources: dict[str, DataFrame | None],
+    prep: PrepConfig,
+    history: HistoryConfig = HistoryConfig(),
+    date: str | None = "application_date",
+    advanced_history: bool = False,
+    history_spec: FeatureSpec | None = None,
+    panel: bool = True,
+    keep: Sequence[str] = (),
+) -> Dataset:
+    """Identifiers, master table, history features and preprocessing in one go, with the target kept."""
+    named = {n: normalize_id(f, n, target=history.entity) if f is not None else None for n, f in sources.items()}
+    master, coverage = build_master(named, history, date, history_spec, panel)
+    if advanced_history and named.get("credit_history") is not None:
+        block = history_features(named["credit_history"], master, history)
+        taken = set(master.columns) - {history.application_id}
+        block = block.select(*[c for c in block.columns if c not in taken and not c.startswith("history_")])
+        master = master.join(block, history.application_id, "left")
+    model = fit_prep(master, prep)
+    features = model.transform(master, keep=[*keep, prep.target])
+    return Dataset(features, master, coverage, model)
+
+
+# -- training --------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class TrainConfig:
+    target: str = "default"
+    date: str = "application_date"
+    entity: str = "customer_ref"
+    application_id: str = "application_id"
+    train_end: str = "2021-12-31"
+    valid_end: str = "2022-12-31"
+    features: FeatureSpec = field(default_factory=FeatureSpec)
+    families: Sequence[str] | None = None
+    rolling_columns: Sequence[str] | None = None
+    detection: bool = True
+    id_like: Sequence[str] = ()
+    sensitive: Sequence[str] = ()
+    selection: SelectionConfig = SelectionConfig()
+    interactions: bool = True
+    top_k: int = 12
+    max_pairs: int = 20
+    min_spearman: float = 0.01
+    bins: int = 5
+    # One entry per challenger: name -> (kind, parameters).
+    challengers: dict[str, tuple[str, dict]] = field(
+        default_factory=lambda: {
+            "boosted": ("boosted", {"maxIter": 100, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8}),
+            "boosted_shallow": ("boosted", {"maxIter": 150, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.85}),
+            "forest": ("forest", {"numTrees": 200, "maxDepth": 10}),
+        }
+    )
+    blend_trials: int = 150
+    blend_floor: float = 0.05
+    blend_metric: str = "roc_auc"
+    stack_folds: int = 5
+    threshold_metric: str = "f1"
+    sanity_sample: int = 20000
+    sanity_auc: float = 0.62
+    calibrate: bool = True
+    scorecard: ScorecardConfig = ScorecardConfig()
+    seed: int = 42
+
+
+@dataclass
+class Scorer:
+    """Everything scoring needs: model, calibrator and score scale."""
+
+    model: L.TrainedModel
+    calibrator: calibrate.Calibrator | None
+    scorecard: ScorecardConfig
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Adds ``pd`` and ``score``; inputs the frame lacks count as 0."""
+        out = self.model.score(df, "pd")
+        if self.calibrator:
+            out = self.calibrator.apply(out, "pd")
+        return out.withColumn("score", pd_to_score(F.col("pd"), self.scorecard))
+
+
+@dataclass
+class Training:
+    scorer: Scorer
+    champion: L.Champion
+    models: dict[str, L.TrainedModel]
+    diagnostics: DataFrame
+    metrics: DataFrame
+    drift: DataFrame
+    predictions: DataFrame
+    scorecard: DataFrame
+    reasons: DataFrame
+    fairness: DataFrame | None
+    columns: list[str]
+
+
+def feature_frame(master: DataFrame, cfg: TrainConfig) -> DataFrame:
+    """Splits by time and builds the features inside each split."""
+    ready = master.filter(F.col(cfg.target).isNotNull() & F.col(cfg.date).isNotNull())
+    marked = materialize(split_by_time(ready, cfg.date, cfg.train_end, cfg.valid_end, cfg.application_id), "master")
+    extra = {} if cfg.families is None else {"families": cfg.families}
+    frames = {}
+    for name in ("train", "valid", "oot"):
+        frames[name] = build_features(
+            marked.filter(F.col("split") == name),
+            cfg.features,
+            date=cfg.date,
+            entity=cfg.entity,
+            tiebreak=(cfg.application_id,),
+            detection=cfg.detection,
+            rolling_columns=cfg.rolling_columns,
+            **extra,
+        )
+    return materialize(align_frames(frames), "features")
+
+
+def model_columns(df: DataFrame, cfg: TrainConfig) -> list[str]:
+    forbidden = [cfg.entity, cfg.application_id, "split", *cfg.id_like, *cfg.sensitive]
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    usable = numeric_columns(df) + [c for c, k in kinds.items() if isinstance(k, (T.StringType, T.BooleanType))]
+    empty = set(all_null_columns(df.select(*usable)))
+    return [c for c in sorted(usable) if c not in empty and is_safe_feature(c, cfg.target, forbidden)]
+
+
+def train_job(master: DataFrame, cfg: TrainConfig) -> Training:
+    """Features, checks, champion and challengers, blends, calibration and reports."""
+    spark = master.sparkSession
+    frame = feature_frame(master, cfg)
+    columns = model_columns(frame, cfg)
+
+    def part(df: DataFrame, name: str) -> DataFrame:
+        return df.filter(F.col("split") == name)
+
+    checked = materialize(diagnose(part(frame, "train"), part(frame, "valid"), columns, cfg.target, cfg.selection), "diagnostics")
+    verdicts = checked.orderBy(F.abs("spearman").desc(), "feature").collect()
+    kept = [r["feature"] for r in verdicts if not r["drop"]]
+    if cfg.interactions:
+        ranked = [(r["feature"], r["spearman"]) for r in verdicts if not r["drop"]]
+        bad = [r["feature"] for r in verdicts if r["suspicious"]]
+        strong = interaction_candidates(
+            ranked, frame, cfg.top_k, cfg.min_spearman, [cfg.entity, cfg.application_id, *cfg.id_like], bad
+        )
+        pairs = smart_interactions(frame, strong, cfg.max_pairs)
+        frame = frame.select("*", *[c.alias(n) for n, c in pairs.items()])
+        kept += list(pairs)
+    inputs = sorted(c for c in kept if c in set(numeric_columns(frame)))
+    narrow = materialize(frame.select("split", cfg.application_id, cfg.date, cfg.target, *inputs), "training")
+    train, valid, oot = (part(narrow, s) for s in ("train", "valid", "oot"))
+
+    champion = L.train_champion(train, cfg.target, inputs, cfg.bins)
+    champion.metrics = L.measure(champion, valid, cfg.target)
+    fits = {}
+    models: dict[str, L.TrainedModel] = {}
+    for name, (kind, params) in cfg.challengers.items():
+        def fit(df: DataFrame, kind=kind, name=name, params=params) -> L.TreeModel:
+            return L.train_trees(df, cfg.target, inputs, kind, name, cfg.seed, **params)
+
+        fits[name] = fit
+        m = models[name] = fit(train)
+        m.metrics = L.measure(m, valid, cfg.target)
+        m.suspicious = L.is_suspicious(m.metrics)
+        if not m.suspicious:
+            sanity = L.shuffled_auc(fit, train, valid, cfg.target, cfg.application_id, cfg.sanity_sample, cfg.seed)
+            m.metrics["sanity_shuffled_auc"] = sanity
+            m.suspicious = sanity >= cfg.sanity_auc
+    trees = list(models.values())
+    if trees:
+        models["ensemble"] = L.train_ensemble(
+            [champion, *trees], valid, cfg.target, cfg.blend_metric, cfg.blend_trials, cfg.blend_floor, cfg.seed
+        )
+    if len(trees) > 1:
+        models["stacking"] = L.train_stacking(
+            list(fits.values()), trees, train, valid, cfg.target, cfg.application_id, cfg.stack_folds, cfg.threshold_metric, cfg.seed
+        )
+    production = L.choose_production(list(models.values()), champion)
+
+    scored_valid = production.score(valid, "p").select(F.col(cfg.target).cast("int").alias("y"), "p")
+    calibrator, fitted = (None, {})
+    if cfg.calibrate:
+        calibrator, fitted = calibrate.fit_best(scored_valid)
+    scorer = Scorer(production, calibrator, cfg.scorecard)
+    keep = ["split", cfg.application_id, cfg.date, cfg.target]
+    predictions = materialize(scorer.score(part(narrow, "valid").unionByName(oot)).select(*keep, "pd", "score"), "predictions")
+    after = M.metric_report(predictions.select("split", F.col(cfg.target).cast("int").alias("y"), F.col("pd").alias("p")), keys=["split"])
+    rows = [("logistic_woe", k, float(v)) for k, v in champion.metrics.items() if v is not None]
+    rows += [(n, k, float(v)) for n, m in models.items() for k, v in m.metrics.items() if v is not None]
+    rows += [(n, "suspicious", float(m.suspicious)) for n, m in models.items()]
+    rows += [("calibration", k, float(v)) for k, v in fitted.items()]
+    rows.append((production.name, "production", 1.0))
+    table = spark.createDataFrame(rows, "model string, metric string, value double")
+    per_split = M.as_rows(after, ["split"]).select(F.col("split").alias("model"), "metric", "value")
+    sensitive = [c for c in cfg.sensitive if c in master.columns]
+    fair = None
+    if sensitive:
+        groups = master.select(cfg.application_id, *sensitive)
+        fair = fairness_report(
+            predictions.filter("split = 'oot'").join(groups, cfg.application_id), sensitive, cfg.target, "pd", "score"
+        )
+    return Training(
+        scorer=scorer,
+        champion=champion,
+        models=models,
+        diagnostics=checked,
+        metrics=table.unionByName(per_split),
+        drift=psi(narrow, "split", "train", ["valid", "oot"], inputs),
+        predictions=predictions,
+        scorecard=explain.scorecard_table(champion, train, cfg.target, cfg.scorecard),
+        reasons=explain.champion_reasons(champion, valid, [cfg.application_id]),
+        fairness=fair,
+        columns=inputs,
+    )
+
+
+# -- scoring and evaluation ------------------------------------------------------------------------------
+
+
+def score_job(df: DataFrame, scorer: Scorer, keep: Sequence[str] = ()) -> DataFrame:
+    """Batch scores: the kept columns with ``pd`` and ``score``."""
+    return scorer.score(df).select(*keep, "pd", "score")
+
+
+def evaluate_job(
+    predictions: DataFrame, target: str, pred: str = "pd", score: str | None = "score", sensitive: Sequence[str] = (), bins: int = 10
+) -> DataFrame:
+    """``(section, item, x, value)`` rows: metrics, reliability, lift and fairness."""
+    base = predictions.select(F.col(target).cast("int").alias("y"), F.col(pred).cast("double").alias("p"))
+    none = F.lit(None).cast("double")
+    parts = [
+        M.as_rows(M.metric_report(base)).select(F.lit("metrics").alias("section"), F.col("metric").alias("item"), none.alias("x"), "value"),
+        M.reliability(base, bins=bins).select(
+            F.lit("reliability").alias("section"), F.col("bin").cast("string").alias("item"), F.col("mean_pred").alias("x"), F.col("mean_true").alias("value")
+        ),
+        M.lift_curve(base, bins=bins).select(
+            F.lit("lift").alias("section"), F.col("point").cast("string").alias("item"), F.col("gain").alias("x"), F.col("lift").alias("value")
+        ),
+    ]
+    present = [c for c in sensitive if c in predictions.columns]
+    if present:
+        fair = fairness_report(predictions, present, target, pred, score)
+        item = F.concat_ws("=", "attribute", "group")
+        parts.append(fair.select(F.lit("fairness").alias("section"), item.alias("item"), F.col("bad_rate").alias("x"), F.col("auc").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def save_scorer_metadata(spark: SparkSession, training: Training, path: str) -> None:
+    """Report tables next to each other: metrics, drift, diagnostics, scorecard and reasons."""
+    for name in ("metrics", "drift", "diagnostics", "scorecard", "reasons"):
+        getattr(training, name).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
