@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from creditloom.operators import metrics as M
 from creditloom.operators.models import logistic_fit, sigmoid
+from creditloom.plans.session import materialize
 
 
 @dataclass
@@ -47,6 +48,7 @@ def fit_platt(df: DataFrame, target: str = "y", score: str = "p") -> Calibrator:
         .groupBy(F.col(score).cast("double").alias("__score"), F.col(target).cast("int").alias("__y"))
         .agg(F.count(F.lit(1)).cast("double").alias("__n"))
     )
+    counts = materialize(counts, "platt")
     total = counts.agg(F.sum("__n")).first()[0]
     (slope,), intercept = logistic_fit(counts, ["__score"], "__y", "__n", total)
     return Calibrator("platt", slope, intercept)
@@ -56,7 +58,7 @@ def fit_isotonic(df: DataFrame, target: str = "y", score: str = "p") -> Calibrat
     """Increasing step fit; outside the seen scores the end values hold."""
     model = IsotonicRegression(
         featuresCol="__score", labelCol="__rate", weightCol="__n", predictionCol="__calibrated", isotonic=True
-    ).fit(_by_score(df, target, score))
+    ).fit(materialize(_by_score(df, target, score), "isotonic"))
     return Calibrator("isotonic", isotonic=model)
 
 

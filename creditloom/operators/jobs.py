@@ -102,8 +102,14 @@ def build_dataset(
         taken = set(master.columns) - {history.application_id}
         block = block.select(*[c for c in block.columns if c not in taken and not c.startswith("history_")])
         master = master.join(block, history.application_id, "left")
-    model = fit_prep(master, prep)
-    features = model.transform(master, keep=[*keep, prep.target])
+    if prep.numeric is not None and prep.categorical is not None:
+        # Only these columns are read by the fit and the transform; the rest is never computed for them.
+        need = [prep.id_col, prep.target, *keep, *prep.numeric, *prep.categorical]
+        table = materialize(master.select(*[c for c in dict.fromkeys(need) if c in master.columns]), "dataset")
+    else:
+        table = master = materialize(master, "dataset")
+    model = fit_prep(table, prep)
+    features = model.transform(table, keep=[*keep, prep.target])
     return Dataset(features, master, coverage, model)
 
 

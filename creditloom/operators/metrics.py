@@ -160,17 +160,15 @@ def fbeta(beta: float) -> Column:
 def best_thresholds(df: DataFrame, target: str = "y", score: str = "p", betas: Sequence[float] = (1.0, 2.0)) -> DataFrame:
     """Score that maximises F1/F2 (lowest on ties) and the plain F1/F2 there."""
     t = score_table(df, target, score)
-    parts = []
+    best, cells = [], []
     for b in betas:
-        b2 = b * b
+        b2, name = b * b, f"f{int(b)}"
         plain = (1 + b2) * HITS / ((1 + b2) * HITS + b2 * (POS_TOTAL - HITS) + (FLAGGED - HITS))
-        best = t.agg(
-            F.max_by(F.struct("value", plain.alias("f")), F.struct(F.round(fbeta(b), 12), -F.col("value"))).alias("w")
+        order = F.struct(F.round(fbeta(b), 12), -F.col("value"))
+        best.append(F.max_by(F.struct("value", plain.alias("f")), order).alias(name))
+        cells.append(
+            F.struct(
+                F.lit(name).alias("metric"), F.col(f"{name}.value").alias("threshold"), F.col(f"{name}.f").alias("f_score")
+            )
         )
-        parts.append(
-            best.select(F.lit(f"f{int(b)}").alias("metric"), F.col("w.value").alias("threshold"), F.col("w.f").alias("f_score"))
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return t.agg(*best).select(F.inline(F.array(*cells)))

@@ -102,15 +102,17 @@ def train_champion(train: DataFrame, target: str, columns: Sequence[str] | None
     numeric = [c for c in (columns or numeric_columns(train)) if c in train.columns]
     inputs = safe_features(numeric, target)
     narrow = materialize(train.select(F.col(target).cast("int").alias(target), *inputs), "champion")
-    woe = WoeModel.fit(narrow, inputs, target, bins, min_samples)
+    classes = class_weights(narrow, target).collect()
+    total = sum(r["n"] for r in classes)
+    weights = {int(r[target]): float(r["weight"]) for r in classes}
+    woe = WoeModel.fit(narrow, inputs, target, bins, min_samples, rows=total)
     if not woe.features:
         raise ValueError("no feature gave a usable WOE table")
-    weights = balanced_weights(narrow, target)
     encoded = materialize(
         narrow.select(target, weight_column(target, weights).alias("w"), *[woe.encode(as_double(narrow, c), c).alias(c) for c in woe.features]),
         "champion-woe",
     )
-    coefs, intercept = logistic_fit(encoded, woe.features, target, "w", float(encoded.count()))
+    coefs, intercept = logistic_fit(encoded, woe.features, target, "w", float(total))
     return Champion("logistic_woe", woe.features, woe=woe, coefficients=coefs, intercept=intercept)
 
 

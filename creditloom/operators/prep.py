@@ -76,10 +76,12 @@ def fit_numeric(df: DataFrame, columns: Sequence[str], winsor=(0.01, 0.99), log_
             adjusted_skewness(c).alias(f"skew{i}"),
             F.min(c).alias(f"min{i}"),
             F.avg(c).alias(f"mean{i}"),
+            F.count(c).alias(f"n{i}"),
             F.stddev_pop(c).alias(f"std{i}"),
         ]
     row = view.agg(*aggs).first()
-    cuts = quantile_map(view, list(columns), [0.5, *winsor])
+    most = max(row[f"n{i}"] for i in range(len(columns)))
+    cuts = quantile_map(view, list(columns), [0.5, *winsor], rows=most)
     out = {}
     for i, c in enumerate(columns):
         median, lower, upper = cuts.get(c, (None, None, None))
@@ -228,8 +230,10 @@ def fit_prep(df: DataFrame, cfg: PrepConfig) -> PrepModel:
     out = {cfg.target, cfg.id_col, *cfg.drop}
     numeric = [c for c in (cfg.numeric or numeric_columns(df)) if c in df.columns and c not in out]
     text = [c for c in (cfg.categorical or text_columns(df)) if c in df.columns and c not in out]
-    prior = df.agg(F.avg(F.col(cfg.target).cast("double"))).first()[0]
-    weights = {int(r[cfg.target]): r["weight"] for r in class_weights(df, cfg.target).collect()}
+    classes = class_weights(df, cfg.target).collect()
+    weights = {int(r[cfg.target]): r["weight"] for r in classes}
+    total = sum(r["n"] for r in classes)
+    prior = sum(float(r[cfg.target]) * r["n"] for r in classes) / total
     states = fit_numeric(df, numeric, cfg.winsor, cfg.log_skew)
     levels = fit_categories(df, text, cfg.target, cfg.rare, cfg.smoothing, prior)
     model = PrepModel(cfg, states, levels, prior, weights)
@@ -237,7 +241,7 @@ def fit_prep(df: DataFrame, cfg: PrepConfig) -> PrepModel:
         wanted = [c for c in (cfg.woe_features or numeric) if c in states]
         if wanted:
             processed = df.select(F.col(cfg.target).alias("__y"), *numeric_expressions(df, states, cfg.scale))
-            model.woe = WoeModel.fit(processed, wanted, "__y", bins=5, min_samples=cfg.min_samples)
+            model.woe = WoeModel.fit(processed, wanted, "__y", bins=5, min_samples=cfg.min_samples, rows=total)
     return model
 
 

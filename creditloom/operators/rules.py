@@ -59,13 +59,15 @@ def detection_features(df: DataFrame, cuts: dict[str, float] | None = None) -> d
     def given(*roles: str) -> bool:
         return all(r in role for r in roles)
 
-    if given("income", "dti") and "income_q30" not in cuts:
-        found = quantile_map(df, [role["income"]], [0.3])
-        cuts["income_q30"] = found.get(role["income"], [None])[0]
-    if given("support", "login") and not {"support_median", "login_median"} <= cuts.keys():
-        filled = df.select(zero["support"].alias("support"), zero["login"].alias("login"))
-        medians = quantile_map(filled, ["support", "login"], [0.5])
-        cuts["support_median"], cuts["login_median"] = medians["support"][0], medians["login"][0]
+    fitted: dict[str, tuple[Column, int]] = {}
+    if given("income", "dti"):
+        fitted["income_q30"] = (raw["income"], 0)
+    if given("support", "login"):
+        fitted |= {"support_median": (zero["support"], 1), "login_median": (zero["login"], 1)}
+    todo = [name for name in fitted if name not in cuts]
+    if todo:
+        found = quantile_map(df.select(*[fitted[n][0].alias(n) for n in todo]), todo, [0.3, 0.5])
+        cuts |= {n: found[n][fitted[n][1]] if n in found else None for n in todo}
 
     score, dti, income, age, job = (raw.get(r) for r in ("score", "dti", "income", "age", "job"))
     out: dict[str, Column] = {}

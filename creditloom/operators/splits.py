@@ -43,7 +43,7 @@ def position_split(df: DataFrame, date: str, tie: str) -> DataFrame:
     n = frame.filter(F.col("__k").isNotNull()).count()
     train_end, valid_end = share_positions(n)
     wanted = [p for p in dict.fromkeys((train_end, valid_end)) if p < n]
-    cuts = dict(zip(wanted, rows_at(frame, "__k", tie, wanted)))
+    cuts = dict(zip(wanted, rows_at(frame.filter(F.col("__k").isNotNull()), "__k", tie, wanted, n)))
     key, t = F.col("__k"), F.col(tie).cast("double")
 
     def reached(p: int) -> Column:
@@ -81,7 +81,8 @@ def _fold_column(key: Column, tie: Column, cuts: Sequence[tuple[float, float]])
 def row_folds(df: DataFrame, date: str, tie: str, folds: int) -> DataFrame:
     """``block`` per row: fold i trains on blocks below i and validates on block i."""
     frame = df.withColumn("__k", epoch(F.col(date)))
-    cuts = rows_at(frame, "__k", tie, fold_starts(frame.count(), folds))
+    n = frame.count()
+    cuts = rows_at(frame, "__k", tie, fold_starts(n, folds), n)
     return frame.withColumn("block", _fold_column(F.col("__k"), F.col(tie).cast("double"), cuts)).drop("__k")
 
 
@@ -93,7 +94,8 @@ def group_folds(df: DataFrame, date: str, group: str, folds: int) -> DataFrame:
         .agg(F.min(date).alias("__first"))
         .withColumn("__k", epoch(F.col("__first")))
     )
-    cuts = rows_at(first, "__k", group, fold_starts(first.count(), folds))
+    n = first.count()
+    cuts = rows_at(first, "__k", group, fold_starts(n, folds), n)
     blocks = first.select(group, _fold_column(F.col("__k"), F.col(group).cast("double"), cuts).alias("block"))
     return df.join(blocks, group, "left")
 
@@ -109,7 +111,8 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     The hash of the first row left out is looked up, so the sample is a filter and stays distributed.
     """
     frame = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)).cast("double"))
-    if frame.count() <= n:
+    total = frame.count()
+    if total <= n:
         return df
-    cut = rows_at(frame, "__h", key, [n])[0]
+    cut = rows_at(frame, "__h", key, [n], total)[0]
     return frame.filter(~_after(F.col("__h"), F.col(key).cast("double"), cut)).drop("__h")

@@ -14,10 +14,12 @@ from creditloom.plans.ranked import quantile_map
 SMOOTH = 1e-6
 
 
-def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = 5, exact: bool = True) -> dict[str, list[float]]:
+def bin_edges(
+    df: DataFrame, columns: Sequence[str], bins: int = 5, exact: bool = True, rows: int | None = None
+) -> dict[str, list[float]]:
     """Unique quantile edges; constant and empty columns are left out."""
     probs = [i / bins for i in range(bins + 1)]
-    edges = {c: sorted(set(q)) for c, q in quantile_map(df, columns, probs, exact).items()}
+    edges = {c: sorted(set(q)) for c, q in quantile_map(df, columns, probs, exact, rows=rows).items()}
     return {c: edges[c] for c in columns if len(edges.get(c, [])) >= 2}
 
 
@@ -81,8 +83,8 @@ class WoeModel:
     woe: dict[str, dict[int, float]]
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: Sequence[str], target: str, bins: int = 5, min_samples: int = 50) -> "WoeModel":
-        edges = bin_edges(df, columns, bins)
+    def fit(cls, df: DataFrame, columns: Sequence[str], target: str, bins: int = 5, min_samples: int = 50, rows: int | None = None) -> "WoeModel":
+        edges = bin_edges(df, columns, bins, rows=rows)
         return cls.from_table(edges, woe_table(df, edges, target, min_samples)) if edges else cls({}, {})
 
     @classmethod

@@ -13,7 +13,8 @@ so a re-run task puts each row into the same bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +27,9 @@ def cut_points(df: DataFrame, columns: Sequence[str], buckets: int | None = None
     """Sketch of bucket borders per column: a list of at most ``buckets`` doubles each."""
     buckets = buckets or bucket_count(df.sparkSession)
     probs = [i / buckets for i in range(1, buckets)]
-    found = df.approxQuantile(list(columns), probs, 0.5 / buckets)
-    return {c: sorted(set(q)) for c, q in zip(columns, found)}
+    sketch = [F.percentile_approx(F.col(c), probs, 2 * buckets).alias(f"q{i}") for i, c in enumerate(columns)]
+    row = df.agg(*sketch).first()
+    return {c: sorted(set(row[i] or [])) for i, c in enumerate(columns)}
 
 
 def _bucketed(df: DataFrame, columns: Sequence[str], cuts: dict[str, list[float]]) -> tuple[DataFrame, dict[str, str]]:
@@ -143,75 +145,157 @@ def pick_positions(counted: DataFrame, positions: dict[str, Column], keys: Seque
     return counted.groupBy(*keys).agg(F.first("total").alias("total"), *hits)
 
 
-def exact_quantiles(
+# Sketch accuracy and the half-width of the rank interval that is searched exactly.
+SKETCH = 10_000
+MARGIN = 3.0 / SKETCH
+
+
+def order_statistics(df: DataFrame, requests: Sequence[tuple[str, float, Callable[[int], list[int]]]]) -> list[list[float | None]]:
+    """Exact values at sorted positions without sorting the data.
+
+    A request is ``(column, p, ranks)``: ``ranks(n)`` gives the 0-based positions wanted among the ``n``
+    non-null values, all close to the share ``p``.  A sketch brackets each request in a narrow value
+    interval; one pass counts the rows below the brackets, and only rows inside them are shuffled and
+    ordered.  A bracket that misses (the sketch promises it does not) falls back to the full two-level
+    count, so the answer is exact in any case.
+    """
+    columns = list(dict.fromkeys(c for c, _, _ in requests))
+    x = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    by_column = {c: [i for i, r in enumerate(requests) if r[0] == c] for c in columns}
+    sketches = []
+    for j, c in enumerate(columns):
+        probs = [q for i in by_column[c] for q in (max(requests[i][1] - MARGIN, 0.0), min(requests[i][1] + MARGIN, 1.0))]
+        sketches += [F.count(x[c]).alias(f"n{j}"), F.percentile_approx(x[c], probs, SKETCH).alias(f"q{j}")]
+    row = df.agg(*sketches).first()
+    n_of = {c: row[f"n{j}"] for j, c in enumerate(columns)}
+    bracket: dict[int, tuple[float, float]] = {}
+    for j, c in enumerate(columns):
+        if n_of[c]:
+            ends = row[f"q{j}"]
+            for k, i in enumerate(by_column[c]):
+                bracket[i] = (ends[2 * k], ends[2 * k + 1])
+    out: list[list[float | None]] = [[None] * len(ranks(1)) for _, _, ranks in requests]
+    if not bracket:
+        return out
+    below = df.agg(*[F.count(F.when(x[requests[i][0]] < F.lit(a), 1)).alias(f"b{i}") for i, (a, _) in bracket.items()]).first()
+    buckets = bucket_count(df.sparkSession)
+    cells = []
+    for i, (a, b) in bracket.items():
+        v = x[requests[i][0]]
+        part = F.floor((v - F.lit(a)) / F.lit(b - a) * buckets).cast("int") if b > a else F.lit(0)
+        cell = F.struct(F.lit(i).alias("request"), part.alias("bucket"), v.alias("value"))
+        cells.append(F.when(v.between(F.lit(a), F.lit(b)), cell))
+    inside = df.select(F.inline(F.array_compact(F.array(*cells))))
+    spots = {i: [r - below[f"b{i}"] for r in requests[i][2](n_of[requests[i][0]])] for i in bracket}
+    wanted = [
+        F.struct(F.lit(i).alias("wi"), F.lit(k).alias("wk"), F.lit(int(r)).cast("long").alias("wr"))
+        for i, ranks in spots.items()
+        for k, r in enumerate(ranks)
+    ]
+    counted = ordered_counts(inside, ["request"])
+    hits = (
+        counted.select("request", "value", "n", "below", F.explode(F.array(*wanted)).alias("w"))
+        .filter((F.col("w.wi") == F.col("request")) & (F.col("below") <= F.col("w.wr")))
+        .filter(F.col("w.wr") < F.col("below") + F.col("n"))
+        .select("request", F.col("w.wk").alias("k"), "value")
+        .collect()
+    )
+    for r in hits:
+        out[r["request"]][r["k"]] = r["value"]
+    for i in bracket:
+        if any(v is None for v in out[i]):
+            c, _, ranks = requests[i]
+            counted = value_table(df.select(x[c].alias(c)), [c])
+            picks = pick_positions(counted, {f"r{k}": F.lit(int(r)) for k, r in enumerate(ranks(n_of[c]))}).first()
+            out[i] = [picks[f"r{k}"] for k in range(len(out[i]))]
+    return out
+
+
+# Up to this many values per column the built-in exact aggregate, which keeps all distinct values in one
+# task, is the cheaper plan; the size is counted first.
+SMALL_VALUES = 500_000
+
+
+def quantile_map(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
     exact: bool = True,
-    buckets: int | None = None,
-) -> DataFrame:
-    """``(feature, q)`` with ``q`` an array aligned with ``probs`` (linear interpolation, nulls skipped).
+    small: int = SMALL_VALUES,
+    rows: int | None = None,
+) -> dict[str, list[float]]:
+    """Quantiles per column (linear interpolation, nulls skipped) as driver values; empty columns are left out.
 
-    ``exact=False`` uses Spark's sketch instead, one pass and no shuffle of values.
+    ``exact=False`` takes the sketch's own answer in a single pass.  ``rows`` passes a row count the caller
+    already has.
     """
-    if not exact:
-        row = df.agg(
-            *[F.percentile_approx(F.col(c).cast("double"), list(probs), 10000).alias(c) for c in columns]
-        )
-        pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("q")) for c in columns]
-        return row.select(F.inline(F.array(*pairs)))
-    counted = value_table(df, columns, buckets=buckets)
-    last = F.col("total") - 1
-    spots: dict[str, Column] = {}
-    for i, p in enumerate(probs):
-        low = F.floor(F.lit(float(p)) * last)
-        spots[f"lo{i}"] = low
-        spots[f"hi{i}"] = F.least(low + 1, last)
-    picked = pick_positions(counted, spots)
-    n1 = F.col("total") - 1
-    q = []
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * n1
-        q.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (h - F.floor(h)))
-    return picked.select("feature", F.array(*q).alias("q"))
-
-
-def quantile_map(df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact: bool = True) -> dict[str, list[float]]:
-    """Fitted quantiles as driver values: one small row per column."""
     if not columns:
         return {}
-    return {r["feature"]: list(r["q"]) for r in exact_quantiles(df, columns, probs, exact).collect()}
+    x = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    if exact and small:
+        most = rows
+        if most is None:
+            most = max(df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first())
+        if most <= small:
+            wanted = F.array(*[F.lit(float(p)) for p in probs])
+            row = df.agg(*[F.percentile(x[c], wanted).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+            return {c: list(row[i]) for i, c in enumerate(columns) if row[i] is not None}
+    if not exact:
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), list(probs), SKETCH).alias(c) for c in columns]).first()
+        return {c: list(row[c]) for c in columns if row[c] is not None}
+
+    def neighbours(p: float) -> Callable[[int], list[int]]:
+        return lambda n: [math.floor(p * (n - 1)), min(math.floor(p * (n - 1)) + 1, n - 1)]
+
+    sizes: dict[str, int] = {}
+
+    def counting(c: str, p: float) -> Callable[[int], list[int]]:
+        def ranks(n: int) -> list[int]:
+            sizes[c] = n
+            return neighbours(p)(n)
+
+        return ranks
+
+    wants = [(c, float(p), counting(c, float(p))) for c in columns for p in probs]
+    found = order_statistics(df, wants)
+    out: dict[str, list[float]] = {}
+    for (c, p, _), (lo, hi) in zip(wants, found):
+        if lo is None:
+            continue
+        h = p * (sizes[c] - 1)
+        out.setdefault(c, []).append(lo + (hi - lo) * (h - math.floor(h)))
+    return out
 
 
-def rows_at(df: DataFrame, key: str, tie: str, positions: Sequence[int]) -> list[tuple[float, float]]:
-    """``(key, tie)`` of the rows at 0-based positions of the order ``key, tie`` (both numeric).
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact: bool = True) -> DataFrame:
+    """``(feature, q)`` with ``q`` an array aligned with ``probs``."""
+    found = quantile_map(df, columns, probs, exact)
+    rows = [(c, [float(v) for v in found[c]]) for c in columns if c in found]
+    return df.sparkSession.createDataFrame(rows, "feature string, q array<double>")
 
-    A heavy key value is not sorted: its rows are only counted, and the position inside it is found
-    by the same two-level count over ``tie``.
+
+def rows_at(df: DataFrame, key: str, tie: str, positions: Sequence[int], total: int) -> list[tuple[float, float]]:
+    """``(key, tie)`` of the rows at 0-based positions of the order ``key, tie`` (both numeric, no nulls).
+
+    ``total`` is the number of rows.  A heavy key value is not sorted: its rows are only counted, and the
+    position inside it is found by the same bracketed search over ``tie``.
     """
     if not positions:
         return []
     frame = df.select(F.col(key).cast("double").alias("k"), F.col(tie).cast("double").alias("t"))
-    counted = value_table(frame, ["k"])
-    spots = F.array(*[F.lit(int(p)).cast("long") for p in positions])
-    hit = (
-        counted.select("value", "n", "below", F.explode(spots).alias("p"))
-        .filter((F.col("below") <= F.col("p")) & (F.col("p") < F.col("below") + F.col("n")))
-        .select("p", "value", (F.col("p") - F.col("below")).alias("rest"))
-        .collect()
-    )
-    by_pos = {r["p"]: (r["value"], r["rest"]) for r in hit}
-    heads = sorted({v for v, _ in by_pos.values()})
-    ties = ordered_counts(
-        long_values(frame.filter(F.col("k").isin(heads)), ["t"], keep=["k"]), keys=["k"]
-    )
-    wanted = [F.struct(F.lit(v).alias("k"), F.lit(rest).cast("long").alias("rest")) for v, rest in by_pos.values()]
-    found = (
-        ties.select("k", "value", "n", "below", F.explode(F.array(*wanted)).alias("w"))
-        .filter((F.col("w.k") == F.col("k")) & (F.col("below") <= F.col("w.rest")))
-        .filter(F.col("w.rest") < F.col("below") + F.col("n"))
-        .select("k", F.col("w.rest").alias("rest"), "value")
-        .collect()
+    share = [p / max(total - 1, 1) for p in positions]
+    keys = [v[0] for v in order_statistics(frame, [("k", s, lambda n, p=p: [p]) for s, p in zip(share, positions)])]
+    heads = sorted(set(keys))
+    counts = frame.agg(
+        *[F.count(F.when(F.col("k") < F.lit(h), 1)).alias(f"b{i}") for i, h in enumerate(heads)],
+        *[F.count(F.when(F.col("k") == F.lit(h), 1)).alias(f"n{i}") for i, h in enumerate(heads)],
+    ).first()
+    ties = frame.filter(F.col("k").isin(heads)).select(
+        *[F.when(F.col("k") == F.lit(h), F.col("t")).alias(f"t{i}") for i, h in enumerate(heads)]
     )
-    tie_of = {(r["k"], r["rest"]): r["value"] for r in found}
-    return [(by_pos[p][0], tie_of[by_pos[p]]) for p in positions]
+    wants = []
+    for k, p in zip(keys, positions):
+        i = heads.index(k)
+        rest = p - counts[f"b{i}"]
+        wants.append((f"t{i}", rest / max(counts[f"n{i}"] - 1, 1), lambda n, r=rest: [r]))
+    return [(k, t[0]) for k, t in zip(keys, order_statistics(ties, wants))]
