@@ -12,7 +12,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.functions.expr import (
@@ -185,8 +185,9 @@ class FeaturePlan:
                 last = self.total(f"{col}_last", F.max_by(x, self.ordered_by))
                 several = self.total("rows", F.count(F.lit(1))) > 1
                 change = last - first
-                self.features[f"{col}_delta"] = F.when(several, change).otherwise(F.lit(0.0))
-                self.features[f"{col}_pct_change"] = F.when(several, change / (F.abs(first) + 1e-6)).otherwise(F.lit(0.0))
+                single = ~several  # NULL without an entity, so neither branch applies
+                self.features[f"{col}_delta"] = F.when(several, change).when(single, F.lit(0.0))
+                self.features[f"{col}_pct_change"] = F.when(several, change / (F.abs(first) + 1e-6)).when(single, F.lit(0.0))
 
     def delinquency(self) -> None:
         marks = [c for c in self.spec.delinquency_markers if self.has(c)]
@@ -289,7 +290,7 @@ class FeaturePlan:
 
     # -- assembly ------------------------------------------------------------------------------------
 
-    def run(self, limit_rows: int = DEFAULT_LIMIT, as_of: bool = False) -> DataFrame:
+    def run(self, limit_rows: int = DEFAULT_LIMIT) -> DataFrame:
         df = self.df
         if self.entity and (self.trailing or self.totals):
             sliced = SlicedFrame(df, self.entity, self.date, self.tiebreak, limit_rows)

@@ -21,31 +21,51 @@ def score_table(df: DataFrame, target: str = "y", score: str = "p", keys: Sequen
     return value_table(df, [score], target, keys)
 
 
-def _real(name: str) -> Column:
-    return F.col(name).cast("double")
+class _Counts:
+    """Columns of the score table as doubles (built on use, so importing needs no session)."""
 
+    def __getattr__(self, name: str) -> Column:
+        return F.col(name).cast("double")
 
-POS, N, BELOW, POS_BELOW, TOTAL, POS_TOTAL = (_real(c) for c in ("pos", "n", "below", "pos_below", "total", "pos_total"))
-NEG = N - POS
-NEG_BELOW = BELOW - POS_BELOW
-NEG_TOTAL = TOTAL - POS_TOTAL
-HITS = POS_TOTAL - POS_BELOW  # positives with a score at or above the value
-FLAGGED = TOTAL - BELOW  # rows with a score at or above the value
+    @property
+    def neg(self) -> Column:
+        return self.n - self.pos
+
+    @property
+    def neg_below(self) -> Column:
+        return self.below - self.pos_below
+
+    @property
+    def neg_total(self) -> Column:
+        return self.total - self.pos_total
+
+    @property
+    def hits(self) -> Column:
+        """Positives with a score at or above the value."""
+        return self.pos_total - self.pos_below
+
+    @property
+    def flagged(self) -> Column:
+        """Rows with a score at or above the value."""
+        return self.total - self.below
+
+
+C = _Counts()
 
 
 def auc_agg() -> Column:
     """Share of (bad, good) pairs ordered right, ties half; NULL with one class."""
-    both = F.max(POS_TOTAL) * F.max(NEG_TOTAL)
-    return F.sum(POS * (NEG_BELOW + NEG / 2)) / F.nullif(both, F.lit(0.0))
+    both = F.max(C.pos_total) * F.max(C.neg_total)
+    return F.sum(C.pos * (C.neg_below + C.neg / 2)) / F.nullif(both, F.lit(0.0))
 
 
 def ap_agg() -> Column:
-    return F.sum(POS * HITS / FLAGGED) / F.nullif(F.max(POS_TOTAL), F.lit(0.0))
+    return F.sum(C.pos * C.hits / C.flagged) / F.nullif(F.max(C.pos_total), F.lit(0.0))
 
 
 def cumulative_gap() -> Column:
-    bad = (POS_BELOW + POS) / F.greatest(POS_TOTAL, F.lit(1.0))
-    good = (NEG_BELOW + NEG) / F.greatest(NEG_TOTAL, F.lit(1.0))
+    bad = (C.pos_below + C.pos) / F.greatest(C.pos_total, F.lit(1.0))
+    good = (C.neg_below + C.neg) / F.greatest(C.neg_total, F.lit(1.0))
     return F.abs(bad - good)
 
 
@@ -53,8 +73,8 @@ def ks_curve(df: DataFrame, target: str = "y", score: str = "p") -> DataFrame:
     """Cumulative share of bads and goods at every distinct score."""
     return score_table(df, target, score).select(
         F.col("value").alias("score"),
-        ((POS_BELOW + POS) / F.greatest(POS_TOTAL, F.lit(1.0))).alias("cum_bad"),
-        ((NEG_BELOW + NEG) / F.greatest(NEG_TOTAL, F.lit(1.0))).alias("cum_good"),
+        ((C.pos_below + C.pos) / F.greatest(C.pos_total, F.lit(1.0))).alias("cum_bad"),
+        ((C.neg_below + C.neg) / F.greatest(C.neg_total, F.lit(1.0))).alias("cum_good"),
     )
 
 
@@ -137,22 +157,22 @@ def lift_curve(df: DataFrame, target: str = "y", score: str = "p", bins: int = 1
     step = F.greatest(F.floor(F.col("total") / bins), F.lit(1))
     above = F.col("total") - F.col("below") - F.col("n")
     first, last = F.floor(above / step) + 1, F.floor((above + F.col("n")) / step)
-    pos_above = POS_TOTAL - POS_BELOW - POS
+    pos_above = C.pos_total - C.pos_below - C.pos
     points = t.filter(last >= first).select(
         "*", F.explode(F.sequence(first, last)).alias("k"), above.alias("above"), step.alias("step")
     )
     depth = (F.col("k") * F.col("step")).cast("double")
-    gain = (pos_above + (depth - F.col("above")) / N * POS) / depth
+    gain = (pos_above + (depth - F.col("above")) / C.n * C.pos) / depth
     return points.select(
         F.col("k").cast("int").alias("point"),
         depth.cast("long").alias("depth"),
         gain.alias("gain"),
-        (gain / (POS_TOTAL / TOTAL + 1e-6)).alias("lift"),
+        (gain / (C.pos_total / C.total + 1e-6)).alias("lift"),
     )
 
 
 def fbeta(beta: float) -> Column:
-    p, r = HITS / FLAGGED, HITS / POS_TOTAL
+    p, r = C.hits / C.flagged, C.hits / F.nullif(C.pos_total, F.lit(0.0))
     b2 = beta * beta
     return (1 + b2) * p * r / (b2 * p + r + 1e-6)
 
@@ -163,7 +183,7 @@ def best_thresholds(df: DataFrame, target: str = "y", score: str = "p", betas: S
     best, cells = [], []
     for b in betas:
         b2, name = b * b, f"f{int(b)}"
-        plain = (1 + b2) * HITS / ((1 + b2) * HITS + b2 * (POS_TOTAL - HITS) + (FLAGGED - HITS))
+        plain = (1 + b2) * C.hits / ((1 + b2) * C.hits + b2 * (C.pos_total - C.hits) + (C.flagged - C.hits))
         order = F.struct(F.round(fbeta(b), 12), -F.col("value"))
         best.append(F.max_by(F.struct("value", plain.alias("f")), order).alias(name))
         cells.append(
