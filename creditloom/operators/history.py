@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditloom.functions.expr import as_double, containing, first_match, flag, safe_ratio
 from creditloom.plans.joins_util import join_dates
@@ -44,6 +45,8 @@ class HistoryConfig:
     windows: Sequence[int] = (3, 6, 12)
     dpd_thresholds: Sequence[int] = (30, 60, 90)
     numeric: Sequence[str] | None = None
+    # Statement dates carry no time of day (known without asking when the column is a DATE).
+    day_grain: bool = False
 
 
 @dataclass
@@ -96,9 +99,9 @@ def statement_states(history: DataFrame, cfg: HistoryConfig, roles: HistoryColum
     numeric = list(cfg.numeric or [])
     flags = [f"dpd_{t}_flag" for t in cfg.dpd_thresholds if f"dpd_{t}_flag" in history.columns]
     series = _series(history, roles)
-    rows = history.filter(F.col(cfg.date).isNotNull()).select(
+    rows = history.filter(F.col(cfg.date).isNotNull() & F.col(cfg.entity).isNotNull()).select(
         F.col(cfg.entity).alias("ent"),
-        F.col(cfg.date).alias("ts"),
+        F.col(cfg.date).cast("timestamp_ntz").alias("ts"),
         F.struct(*[F.col(c) for c in cfg.tiebreak]).alias("rid"),
         *[c.alias(name) for name, c in series.items()],
         *[as_double(history, c).alias(f"num_{c}") for c in [*numeric, *flags]],
@@ -180,10 +183,25 @@ def statement_states(history: DataFrame, cfg: HistoryConfig, roles: HistoryColum
     return state.select("*", *carried)
 
 
+def folded_application_time(history: DataFrame, cfg: HistoryConfig) -> Column:
+    """Application time as far as the windows can tell it apart.
+
+    Against whole statement days, every time of day behaves like noon: statements of the same day are in,
+    and a window start inside a day leaves that day out.  Folding to midnight or noon keeps the number of
+    distinct times of a heavy customer at two per day.
+    """
+    at = F.col(cfg.application_date).cast("timestamp_ntz")
+    if not (cfg.day_grain or isinstance(history.schema[cfg.date].dataType, T.DateType)):
+        return at
+    day = F.date_trunc("day", at).cast("timestamp_ntz")
+    noon = day + F.make_dt_interval(F.lit(0), F.lit(12))
+    return F.when(at == day, day).otherwise(noon)
+
+
 def point_in_time_pairs(states: DataFrame, applications: DataFrame, cfg: HistoryConfig) -> DataFrame:
-    """Distinct (entity, application date) against the dated states inside the observation window."""
+    """Distinct (entity, application time) against the dated states inside the observation window."""
     keys = (
-        applications.select(F.col(cfg.entity).alias("ent"), F.col(cfg.application_date).alias("app_ts"))
+        applications.select("ent", "app_ts")
         .filter(F.col("ent").isNotNull() & F.col("app_ts").isNotNull())
         .distinct()
     )
@@ -316,11 +334,11 @@ def history_features(history: DataFrame, applications: DataFrame, cfg: HistoryCo
     roles = HistoryColumns.of(history.columns)
     flags = [f"dpd_{t}_flag" for t in cfg.dpd_thresholds if f"dpd_{t}_flag" in history.columns]
     states = statement_states(history, cfg, roles)
-    pairs = point_in_time_pairs(states, applications, cfg)
-    features = window_features(pairs, cfg, roles, list(cfg.numeric or []), flags)
     apps = applications.select(
-        cfg.application_id, F.col(cfg.entity).alias("ent"), F.col(cfg.application_date).alias("app_ts")
+        cfg.application_id, F.col(cfg.entity).alias("ent"), folded_application_time(history, cfg).alias("app_ts")
     )
+    pairs = point_in_time_pairs(states, apps, cfg)
+    features = window_features(pairs, cfg, roles, list(cfg.numeric or []), flags)
     return apps.join(features, ["ent", "app_ts"], "left").drop("ent", "app_ts")
 
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.operators.history import latest_snapshot
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -70,4 +69,3 @@ def star_join(base: DataFrame, parts: Sequence[tuple[DataFrame | None, str]], ke
     return base
 
 
-__all__ = ["keep_last", "suffix_clashes", "left_merge", "merge_coverage", "star_join", "latest_snapshot"]

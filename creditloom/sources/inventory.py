@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditloom.functions.clean import guess_dates, guess_targets
-from creditloom.sources.readers import SUFFIXES, list_files, read_dataset, suffix_of, write_report
+from creditloom.sources.readers import SUFFIXES, list_files, read_dataset, write_report
 
 LOG = logging.getLogger(__name__)
 BATCH = 12
@@ -57,19 +57,18 @@ def inventory(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
 
 def dataset_paths(spark: SparkSession, folder: str) -> list[str]:
     """Readable files below a folder; a folder with a readable suffix (a partitioned table) is one dataset."""
-    root = folder.rstrip("/")
-    found = set()
-    for r in list_files(spark, root).select("path").toLocalIterator():
-        path = r["path"]
-        rel = path.split(root.split(":", 1)[-1].rstrip("/") + "/", 1)[-1]
-        at = path[: len(path) - len(rel)]
-        for part in rel.split("/"):
-            at = at + part
-            if suffix_of(at) in SUFFIXES:
-                found.add(at)
-                break
-            at += "/"
-    return sorted(found)
+    root = folder.rstrip("/").split(":", 1)[-1] + "/"
+    at = F.instr("path", root) + len(root)
+    endings = "|".join(s[1:] for s in SUFFIXES)
+    # Part files are folded to their dataset before anything reaches the driver.
+    rel = F.regexp_extract(F.substring(F.col("path"), at, F.length("path")), rf"(?i)^(.*?\.(?:{endings}))(?:/.*)?$", 1)
+    names = (
+        list_files(spark, folder)
+        .select(F.substring(F.col("path"), F.lit(1), at - 1).alias("base"), rel.alias("rel"))
+        .filter(F.col("rel") != "")
+        .distinct()
+    )
+    return sorted(r["base"] + r["rel"] for r in names.collect())
 
 
 def scan_folder(spark: SparkSession, folder: str, sample_rows: int | None = None, exact: bool = True) -> DataFrame:

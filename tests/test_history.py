@@ -39,9 +39,13 @@ def data(seed=0, customers=12, statements=500, applications=60):
 
 
 def to_spark(spark, pdf):
-    out = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), schema=",".join(
-        f"{c} " + ("timestamp_ntz" if "date" in c else "double" if pdf[c].dtype.kind == "f" else "long") for c in pdf.columns))
-    return out.repartition(4)
+    kinds = {c: "timestamp_ntz" if "date" in c else "double" if pdf[c].dtype.kind == "f" else "long" for c in pdf.columns}
+
+    def plain(v):
+        return None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v
+
+    rows = [tuple(plain(v) for v in r) for r in pdf.astype(object).itertuples(index=False)]
+    return spark.createDataFrame(rows, ", ".join(f"{c} {k}" for c, k in kinds.items())).repartition(4)
 
 
 def slope(y):
@@ -127,3 +131,13 @@ def test_missing_ids_and_dates_give_null_features(spark):
     )
     rows = {r["application_id"]: r["dpd_max_3m"] for r in history_features(h, a, HistoryConfig(tiebreak=("rid",))).collect()}
     assert rows == {1: 5.0, 2: None, 3: None}
+
+
+def test_times_of_day_fold_without_changing_a_window(spark):
+    h, a = data(4)
+    a.loc[::3, "application_date"] = a.loc[::3, "application_date"].dt.normalize()
+    left, right = to_spark(spark, h), to_spark(spark, a)
+    plain = history_features(left, right, CFG).toPandas().sort_values("application_id").reset_index(drop=True)
+    dated = left.withColumn("statement_date", left["statement_date"].cast("date"))
+    folded = history_features(dated, right, CFG).toPandas().sort_values("application_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(plain, folded, check_dtype=False, rtol=1e-9, atol=1e-9)
