@@ -16,7 +16,7 @@ The wide plan is declared once; a query that selects a few outputs lets Catalyst
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -208,8 +208,10 @@ def point_in_time_pairs(states: DataFrame, applications: DataFrame, cfg: History
     return join_dates(keys, states, cfg.observation_months)
 
 
-def window_features(pairs: DataFrame, cfg: HistoryConfig, roles: HistoryColumns, numeric: Sequence[str], flags: Sequence[str]) -> DataFrame:
-    """All trailing-window features per (entity, application date)."""
+def window_features(
+    pairs: DataFrame, cfg: HistoryConfig, numeric: Sequence[str], flags: Sequence[str], only: set[str] | None = None
+) -> DataFrame:
+    """Trailing-window features per (entity, application time); ``only`` names the ones to declare."""
     cols = set(pairs.columns)
     lower = {k: F.col("ts") >= F.col("app_ts") - F.make_interval(F.lit(0), F.lit(k)) for k in cfg.windows}
     pairs = pairs.select("*", *[flag(lower[k]).alias(f"in_{k}") for k in cfg.windows])
@@ -224,6 +226,9 @@ def window_features(pairs: DataFrame, cfg: HistoryConfig, roles: HistoryColumns,
     centred: list[Column] = []
     spread = [x for x in ("bal", "pay", "util0") if f"{x}_n" in cols]
     sloped = [x for x in ("bal", "payz", "util0") if f"{x}_before" in cols]
+    around_mean = ("std", "cv", "slope", "volatility")
+    if only is not None and not any(part in name for name in only for part in around_mean):
+        spread, sloped = [], []
     for x in dict.fromkeys([*spread, *sloped]):
         for k in cfg.windows:
             total = F.sum(pick(k, f"{x}_s")).over(own)
@@ -235,8 +240,9 @@ def window_features(pairs: DataFrame, cfg: HistoryConfig, roles: HistoryColumns,
 
     aggs: list[Column] = []
 
-    def add(name: str, c: Column) -> None:
-        aggs.append(c.alias(name))
+    def add(name: str, make: Callable[[], Column]) -> None:
+        if only is None or name in only:
+            aggs.append(make().alias(name))
 
     def total(k: int, x) -> Column:
         return F.sum(pick(k, x))
@@ -256,7 +262,7 @@ def window_features(pairs: DataFrame, cfg: HistoryConfig, roles: HistoryColumns,
         shift = F.col(f"{x}_before") - F.col(f"{x}_base_{k}")
         around = shift * (F.col(f"{x}_s") - n_d * m) + F.col(f"{x}_xy") - m * n_d * (n_d - 1) / 2
         n = total(k, f"{x}_n").cast("double")
-        line = total(k, around) * 12 / (n * (n * n - 1))
+        line = total(k, around) * 12 / F.nullif(n * (n * n - 1), F.lit(0.0))
         return F.when(n >= 2, line).when(n >= 1, F.lit(0.0))
 
     def last(k: int, x: str) -> Column:
@@ -266,71 +272,73 @@ def window_features(pairs: DataFrame, cfg: HistoryConfig, roles: HistoryColumns,
         return F.min_by(f"{x}_first", F.when(inside[k] & F.col(f"{x}_first").isNotNull(), F.col("ts")))
 
     widest = max(cfg.windows)
-    add("credit_history_records", F.sum("n"))
-    add("history_first_date", F.min("ts"))
-    add("history_last_date", F.max("ts"))
+    add("credit_history_records", lambda: F.sum("n"))
+    add("history_first_date", lambda: F.min("ts"))
+    add("history_last_date", lambda: F.max("ts"))
     for c in numeric:
-        add(f"{c}_mean_hist", F.sum(f"num_{c}_s") / F.nullif(F.sum(f"num_{c}_n"), F.lit(0)))
-        add(f"{c}_max_hist", F.max(f"num_{c}_hi"))
-        add(f"{c}_min_hist", F.min(f"num_{c}_lo"))
+        add(f"{c}_mean_hist", lambda: F.sum(f"num_{c}_s") / F.nullif(F.sum(f"num_{c}_n"), F.lit(0)))
+        add(f"{c}_max_hist", lambda: F.max(f"num_{c}_hi"))
+        add(f"{c}_min_hist", lambda: F.min(f"num_{c}_lo"))
     for c in flags:
-        add(f"{c}_sum_hist", F.sum(f"num_{c}_s"))
-        add(f"{c}_rate_hist", F.sum(f"num_{c}_s") / F.nullif(F.sum(f"num_{c}_n"), F.lit(0)))
-        add(f"{c}_max_hist", F.max(f"num_{c}_hi"))
+        add(f"{c}_sum_hist", lambda: F.sum(f"num_{c}_s"))
+        add(f"{c}_rate_hist", lambda: F.sum(f"num_{c}_s") / F.nullif(F.sum(f"num_{c}_n"), F.lit(0)))
+        add(f"{c}_max_hist", lambda: F.max(f"num_{c}_hi"))
     for k in cfg.windows:
         n = F.nullif(F.coalesce(total(k, "n"), F.lit(0)), F.lit(0))
-        add(f"credit_history_records_{k}m", n)
+        add(f"credit_history_records_{k}m", lambda: n)
         if "dpd_n" in cols:
-            add(f"dpd_max_{k}m", F.max(pick(k, "dpd_hi")))
-            add(f"dpd_mean_{k}m", mean(k, "dpd"))
-            add(f"num_late_payments_{k}m", total(k, "late"))
-            add(f"beh_dpd_cnt_gt0_{k}m", total(k, "late"))
-            add(f"beh_dpd_cnt_ge30_{k}m", total(k, "ge30"))
-            add(f"beh_dpd_cnt_ge60_{k}m", total(k, "ge60"))
+            add(f"dpd_max_{k}m", lambda: F.max(pick(k, "dpd_hi")))
+            add(f"dpd_mean_{k}m", lambda: mean(k, "dpd"))
+            add(f"num_late_payments_{k}m", lambda: total(k, "late"))
+            add(f"beh_dpd_cnt_gt0_{k}m", lambda: total(k, "late"))
+            add(f"beh_dpd_cnt_ge30_{k}m", lambda: total(k, "ge30"))
+            add(f"beh_dpd_cnt_ge60_{k}m", lambda: total(k, "ge60"))
             # A statement without a dpd counts as 0 in the behavioural maximum.
             filled = F.when(
                 F.col("dpd_n") < F.col("n"), F.greatest(F.coalesce("dpd_hi", F.lit(0.0)), F.lit(0.0))
             ).otherwise(F.col("dpd_hi"))
-            add(f"beh_dpd_max_{k}m", F.max(pick(k, filled)))
-            add(f"beh_dpd_rate_{k}m", total(k, "late") / n)
+            add(f"beh_dpd_max_{k}m", lambda: F.max(pick(k, filled)))
+            add(f"beh_dpd_rate_{k}m", lambda: total(k, "late") / n)
             if k == widest:
                 episodes = total(k, F.col("healed_in") + F.col("healed_cross"))
                 # The first date of the window has no predecessor inside it.
                 opening = F.min_by("healed_cross", F.when(inside[k], F.col("ts")))
-                add(f"beh_recovery_episodes_{k}m", episodes - opening)
+                add(f"beh_recovery_episodes_{k}m", lambda: episodes - opening)
         if "util_n" in cols:
-            add(f"utilization_avg_{k}m", mean(k, "util"))
-            add(f"utilization_max_{k}m", F.max(pick(k, "util_hi")))
-            add(f"beh_util_std_{k}m", F.when(n > 0, F.coalesce(std(k, "util0"), F.lit(0.0))))
+            add(f"utilization_avg_{k}m", lambda: mean(k, "util"))
+            add(f"utilization_max_{k}m", lambda: F.max(pick(k, "util_hi")))
+            add(f"beh_util_std_{k}m", lambda: F.when(n > 0, F.coalesce(std(k, "util0"), F.lit(0.0))))
             cv = F.coalesce(std(k, "util0") / F.nullif(mean(k, "util0"), F.lit(0.0)), F.lit(0.0))
-            add(f"beh_util_cv_{k}m", F.when(n > 0, cv))
+            add(f"beh_util_cv_{k}m", lambda: F.when(n > 0, cv))
             if k >= 6:
-                add(f"beh_util_slope_{k}m", slope(k, "util0"))
+                add(f"beh_util_slope_{k}m", lambda: slope(k, "util0"))
         if "p2d_n" in cols:
-            add(f"payment_to_debt_ratio_{k}m", mean(k, "p2d"))
+            add(f"payment_to_debt_ratio_{k}m", lambda: mean(k, "p2d"))
         if "bal_n" in cols and k == 6:
             count = total(k, "bal_n")
             change = last(k, "bal") - earliest(k, "bal")
-            add(f"trend_balance_{k}m", F.when(count >= 2, change).when(count >= 1, F.lit(0.0)))
+            add(f"trend_balance_{k}m", lambda: F.when(count >= 2, change).when(count >= 1, F.lit(0.0)))
         if "pay_n" in cols and k == 6:
-            add(f"volatility_payments_{k}m", std(k, "pay"))
+            add(f"volatility_payments_{k}m", lambda: std(k, "pay"))
         if "bal_n" in cols and "pay_n" in cols and k >= 6:
-            add(f"beh_balance_slope_{k}m", slope(k, "bal"))
+            add(f"beh_balance_slope_{k}m", lambda: slope(k, "bal"))
             if k == widest:
-                add(f"beh_payment_slope_{k}m", slope(k, "payz"))
+                add(f"beh_payment_slope_{k}m", lambda: slope(k, "payz"))
         for x, label in (("bal", "balance"), ("pay", "payment")):
             if f"{x}_n" in cols:
-                add(f"beh_{label}_delta_{k}m", last(k, x) - mean(k, x))
-                add(f"beh_{label}_std_{k}m", F.when(n > 0, F.coalesce(std(k, x), F.lit(0.0))))
+                add(f"beh_{label}_delta_{k}m", lambda: last(k, x) - mean(k, x))
+                add(f"beh_{label}_std_{k}m", lambda: F.when(n > 0, F.coalesce(std(k, x), F.lit(0.0))))
                 cv = F.coalesce(std(k, x) / F.nullif(mean(k, x), F.lit(0.0)), F.lit(0.0))
-                add(f"beh_{label}_cv_{k}m", F.when(n > 0, cv))
+                add(f"beh_{label}_cv_{k}m", lambda: F.when(n > 0, cv))
         if "under" in cols:
-            add(f"beh_underpayment_rate_{k}m", total(k, "under") / n)
+            add(f"beh_underpayment_rate_{k}m", lambda: total(k, "under") / n)
     return pairs.groupBy("ent", "app_ts").agg(*aggs)
 
 
-def history_features(history: DataFrame, applications: DataFrame, cfg: HistoryConfig = HistoryConfig()) -> DataFrame:
-    """One row per application with every history feature (NULL where a window holds no statement)."""
+def history_features(
+    history: DataFrame, applications: DataFrame, cfg: HistoryConfig = HistoryConfig(), only: Sequence[str] | None = None
+) -> DataFrame:
+    """One row per application with its history features (NULL where a window holds no statement)."""
     roles = HistoryColumns.of(history.columns)
     flags = [f"dpd_{t}_flag" for t in cfg.dpd_thresholds if f"dpd_{t}_flag" in history.columns]
     states = statement_states(history, cfg, roles)
@@ -338,7 +346,7 @@ def history_features(history: DataFrame, applications: DataFrame, cfg: HistoryCo
         cfg.application_id, F.col(cfg.entity).alias("ent"), folded_application_time(history, cfg).alias("app_ts")
     )
     pairs = point_in_time_pairs(states, apps, cfg)
-    features = window_features(pairs, cfg, roles, list(cfg.numeric or []), flags)
+    features = window_features(pairs, cfg, list(cfg.numeric or []), flags, set(only) if only else None)
     return apps.join(features, ["ent", "app_ts"], "left").drop("ent", "app_ts")
 
 

@@ -21,8 +21,8 @@ def rounded(df: DataFrame, keys: list[str], digits: dict[str, int], ints: list[s
     )
 
 
-def features(v: Views, cfg: H.HistoryConfig = CFG) -> DataFrame:
-    return H.history_features(v.history, v.application, cfg)
+def features(v: Views, only: list[str], cfg: H.HistoryConfig = CFG) -> DataFrame:
+    return H.history_features(v.history, v.application, cfg, only)
 
 
 # The check's own point-in-time rows: every application with its statements and their order.
@@ -62,7 +62,7 @@ from {application} a left join p on a.application_id = p.application_id
 group by a.application_id""",
 )
 def pit_join(v: Views) -> DataFrame:
-    f = features(v)
+    f = features(v, ["credit_history_records", "history_first_date", "history_last_date"])
     return f.select(
         "application_id",
         F.coalesce("credit_history_records", F.lit(0)).cast("bigint").alias("n_statements"),
@@ -107,7 +107,7 @@ def hist_window_basic(v: Views) -> DataFrame:
             f"payment_to_debt_ratio_{k}m": 6,
         }
     digits |= {"trend_balance_6m": 4, "volatility_payments_6m": 4}
-    return rounded(features(v), ["application_id"], digits, ints)
+    return rounded(features(v, [*digits, *ints]), ["application_id"], digits, ints)
 
 
 @query(
@@ -122,7 +122,8 @@ def hist_window_basic(v: Views) -> DataFrame:
     + "\nfrom {application} a left join p on a.application_id = p.application_id group by a.application_id",
 )
 def hist_numeric_aggs(v: Views) -> DataFrame:
-    f = features(v, H.HistoryConfig(numeric=NUMERIC))
+    names = [f"{c}_{s}_hist" for c in NUMERIC for s in ("mean", "max", "min")]
+    f = features(v, names, H.HistoryConfig(numeric=NUMERIC))
     return f.select(
         "application_id",
         *[F.round(f"{c}_mean_hist", 7).alias(f"{c}_mean_hist") for c in NUMERIC],
@@ -138,7 +139,7 @@ select a.application_id, cast(nullif(count(p.application_id), 0) as bigint) as c
 from {application} a left join p on a.application_id = p.application_id group by a.application_id""",
 )
 def hist_record_count(v: Views) -> DataFrame:
-    return features(v).select("application_id", F.col("credit_history_records").cast("bigint").alias("credit_history_records"))
+    return features(v, ["credit_history_records"]).select("application_id", F.col("credit_history_records").cast("bigint").alias("credit_history_records"))
 
 
 @query(
@@ -157,7 +158,8 @@ def hist_flag_stats(v: Views) -> DataFrame:
     flagged = v.history.select(
         "*", *[F.when(F.col("dpd") >= t, 1).otherwise(0).alias(f"dpd_{t}_flag") for t in CFG.dpd_thresholds]
     )
-    f = H.history_features(flagged, v.application, CFG)
+    names = [f"dpd_{t}_flag_{s}_hist" for t in CFG.dpd_thresholds for s in ("sum", "rate", "max")]
+    f = H.history_features(flagged, v.application, CFG, names)
     out = ["application_id"]
     for t in CFG.dpd_thresholds:
         c = f"dpd_{t}_flag"
@@ -189,7 +191,7 @@ def beh_dpd(v: Views) -> DataFrame:
     for k in WINDOWS:
         ints += [f"beh_dpd_cnt_{s}_{k}m" for s in ("gt0", "ge30", "ge60")]
         digits |= {f"beh_dpd_max_{k}m": 6, f"beh_dpd_rate_{k}m": 6}
-    return rounded(features(v), ["application_id"], digits, ints)
+    return rounded(features(v, [*digits, *ints]), ["application_id"], digits, ints)
 
 
 @query(
@@ -206,7 +208,8 @@ select a.application_id, f.beh_recovery_episodes_12m
 from {application} a left join f on a.application_id = f.application_id""",
 )
 def beh_recovery(v: Views) -> DataFrame:
-    return rounded(features(v), ["application_id"], {}, ["beh_recovery_episodes_12m"])
+    names = ["beh_recovery_episodes_12m"]
+    return rounded(features(v, names), ["application_id"], {}, names)
 
 
 def _slope_sql(k: int, x: str, name: str) -> str:
@@ -236,7 +239,8 @@ SLOPES = [
     ),
 )
 def beh_slopes(v: Views) -> DataFrame:
-    return rounded(features(v), ["application_id"], {n: 9 if "util" in n else 7 for _, _, n in SLOPES})
+    digits = {n: 9 if "util" in n else 7 for _, _, n in SLOPES}
+    return rounded(features(v, list(digits)), ["application_id"], digits)
 
 
 @query(
@@ -253,7 +257,7 @@ from {application} a left join f on a.application_id = f.application_id""",
 )
 def beh_deltas(v: Views) -> DataFrame:
     names = [f"beh_{x}_delta_{k}m" for k in WINDOWS for x in ("balance", "payment")]
-    return rounded(features(v), ["application_id"], {n: 7 for n in names})
+    return rounded(features(v, names), ["application_id"], {n: 7 for n in names})
 
 
 def _vol_sql(x: str, label: str) -> str:
@@ -277,7 +281,7 @@ def beh_volatility(v: Views) -> DataFrame:
     for k in WINDOWS:
         for x in ("payment", "balance", "util"):
             digits |= {f"beh_{x}_std_{k}m": 4, f"beh_{x}_cv_{k}m": 6}
-    return rounded(features(v), ["application_id"], digits)
+    return rounded(features(v, list(digits)), ["application_id"], digits)
 
 
 @query(
@@ -292,7 +296,8 @@ select a.application_id, f.* exclude (application_id)
 from {application} a left join f on a.application_id = f.application_id""",
 )
 def beh_underpayment(v: Views) -> DataFrame:
-    return rounded(features(v), ["application_id"], {f"beh_underpayment_rate_{k}m": 6 for k in WINDOWS})
+    digits = {f"beh_underpayment_rate_{k}m": 6 for k in WINDOWS}
+    return rounded(features(v, list(digits)), ["application_id"], digits)
 
 
 @query(
@@ -304,7 +309,7 @@ select a.application_id, a.customer_ref, a.loan_amount, a.default_flag, f.credit
 from {application} a left join f on a.application_id = f.application_id""",
 )
 def attach_features(v: Views) -> DataFrame:
-    block = features(v).select(
+    block = features(v, ["credit_history_records", "dpd_max_12m"]).select(
         "application_id", F.col("credit_history_records").cast("bigint").alias("credit_history_records"), "dpd_max_12m"
     )
     apps = v.application.select("application_id", "customer_ref", "loan_amount", "default_flag")
