@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from creditloom.functions.expr import as_double, correlation
 from creditloom.operators.metrics import auc_agg
+from creditloom.operators.stats import long_levels
 from creditloom.operators.woe import mutual_information
 from creditloom.plans.ranked import average_rank, value_table
 
@@ -54,12 +55,16 @@ def encode_for_diagnostics(df: DataFrame, columns: Sequence[str], keep: Sequence
             number = F.col(c).try_cast("double")
             checks += [(F.min(number) < F.max(number)).alias(f"{c}|num"), F.approx_count_distinct(c).alias(f"{c}|n")]
         seen = df.agg(*checks).first()
+        few = [c for c in text if not seen[f"{c}|num"] and seen[f"{c}|n"] <= FEW_LEVELS]
+        levels: dict[str, list[str]] = {c: [] for c in few}
+        if few:
+            for r in long_levels(df, few).filter(F.col("level").isNotNull()).distinct().collect():
+                levels[r["feature"]].append(r["level"])
         for c in text:
             if seen[f"{c}|num"]:
                 codes[c] = as_double(df, c)
-            elif seen[f"{c}|n"] <= FEW_LEVELS:
-                table = {r["level"]: r["code"] for r in level_codes(df, c).collect()}
-                pairs = [F.lit(v) for kv in sorted(table.items()) for v in kv]
+            elif c in levels:
+                pairs = [F.lit(v) for i, level in enumerate(sorted(levels[c])) for v in (level, float(i))]
                 codes[c] = F.try_element_at(F.create_map(*pairs), F.col(c)) if pairs else F.lit(None).cast("double")
             else:
                 renamed = level_codes(df, c).select(F.col("level").alias(c), F.col("code").alias(f"__code_{c}"))

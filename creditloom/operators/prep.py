@@ -273,9 +273,14 @@ def encode_sigmoid_target(
     return df.select(*[c for c in df.columns if not c.endswith("_encoded")], *made)
 
 
-def encode_target_out_of_fold(df: DataFrame, column: str, target: str, key: str, folds: int = 5, smoothing: float = 10.0, min_leaf: int = 50) -> DataFrame:
-    """Like the sigmoid encoder, but each row's level statistics leave out the row's own fold."""
-    marked = df.withColumn("__fold", F.pmod(F.xxhash64(F.col(key)), F.lit(folds)))
+def encode_target_out_of_fold(
+    df: DataFrame, column: str, target: str, fold: Column, smoothing: float = 10.0, min_leaf: int = 50
+) -> DataFrame:
+    """Like the sigmoid encoder, but each row's level statistics leave out the row's own fold.
+
+    ``fold`` numbers the rows, for example ``hash_fold(key, 5)``.
+    """
+    marked = df.withColumn("__fold", fold)
     prior = df.agg(F.avg(F.col(target).cast("double"))).first()[0]
     per = (
         marked.filter(F.col(column).isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.operators import diagnostics as D
+from creditloom.plans.session import materialize
 from creditloom.workload.base import VIEW_SQL, Views, query
 from creditloom.workload import ranking  # noqa: F401  (defines the split view)
 
@@ -40,12 +41,14 @@ mo as (select split, feature, cast(count(*) as bigint) as n_rows, stddev_samp(x)
 """
 
 
-def train(v: Views) -> DataFrame:
-    return v.probe.filter("split = 'train'")
+def splits(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows from one written table: the checks read it several times."""
+    table = materialize(v.probe.select("split", "default_flag", *COLS), "probe")
+    return table.filter("split = 'train'"), table.filter("split = 'valid'")
 
 
 def encoded(v: Views) -> DataFrame:
-    return D.encode_for_diagnostics(train(v), COLS, ["default_flag"])
+    return D.encode_for_diagnostics(splits(v)[0], COLS, ["default_flag"])
 
 
 @query("feature_auc", STATS + "select feature, n, round(auc, 9) as auc from st where split = 'train'")
@@ -72,7 +75,7 @@ def feature_spearman(v: Views) -> DataFrame:
 from mo join st using (split, feature) where split = 'train'""",
 )
 def low_variance(v: Views) -> DataFrame:
-    d = D.diagnose(train(v), None, COLS, "default_flag")
+    d = D.diagnose(splits(v)[0], None, COLS, "default_flag")
     return d.select("feature", F.round("unique_ratio", 9).alias("unique_ratio"), "low_variance")
 
 
@@ -98,7 +101,7 @@ f as (select *, ur <= 0.001 or std = 0 as lv, auc_train >= 0.98 or coalesce(auc_
 )
 def feature_diagnostics(v: Views) -> DataFrame:
     cfg = D.SelectionConfig(drop_weak=True, drop_weak_spearman=True)
-    d = D.diagnose(train(v), v.probe.filter("split = 'valid'"), COLS, "default_flag", cfg)
+    d = D.diagnose(*splits(v), COLS, "default_flag", cfg)
     real = ("auc_train", "auc_valid", "corr", "spearman", "unique_ratio")
     return d.select(*[F.round(c, 9).alias(c) if c in real else F.col(c) for c in d.columns])
 

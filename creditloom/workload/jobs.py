@@ -9,6 +9,7 @@ from creditloom.functions.scorecard import ScorecardConfig
 from creditloom.operators import calibrate as K
 from creditloom.operators import jobs as J
 from creditloom.operators import models as L
+from creditloom.operators.drift import psi
 from creditloom.operators.features import EventMarker, FeatureSpec
 from creditloom.operators.history import HistoryConfig
 from creditloom.operators.prep import PrepConfig
@@ -16,7 +17,7 @@ from creditloom.plans.session import materialize, scratch_path
 from creditloom.streaming.scoring import score_stream as run_stream
 from creditloom.workload.base import Views, query
 from creditloom.workload.models import INPUTS, parts
-from creditloom.workload.ranking import AP, AUC, BINNED, BRIER, CURVE, ECE, FAIR, KS, LIFT, LOGLOSS, TRAIN_END, VALID_END
+from creditloom.workload.ranking import AP, AUC, BINNED, BRIER, CURVE, ECE, FAIR, KS, LIFT, LOGLOSS, TRAIN_END, VALID_END, _psi_sql
 
 DATASET = """
 with cut as (select customer_ref, max(application_date) as cut_date from {application} a group by customer_ref),
@@ -144,9 +145,7 @@ def evaluation_report(v: Views) -> DataFrame:
     return out.select("section", "item", F.round("x", 9).alias("x"), F.round("value", 9).alias("value"))
 
 
-@query("training_drift")
+@query("training_drift", _psi_sql(["valid", "oot"], False, INPUTS, "trainset"))
 def training_drift(v: Views) -> DataFrame:
     frame = materialize(v.trainset.select("split", *INPUTS), "drift")
-    from creditloom.operators.drift import psi
-
-    return psi(frame, "split", "train", ["valid", "oot"], INPUTS)
+    return psi(frame, "split", "train", ["valid", "oot"], INPUTS).withColumn("psi", F.round("psi", 9))

@@ -9,6 +9,7 @@ from creditloom.operators import prep as P
 from creditloom.operators import stats as S
 from creditloom.operators import woe as W
 from creditloom.plans.ranked import exact_quantiles
+from creditloom.plans.session import materialize
 from creditloom.workload.base import VIEW_SQL, Views, query
 
 NUM = ["loan_amount", "monthly_income", "age"]
@@ -323,10 +324,19 @@ def enc_target_sigmoid(v: Views) -> DataFrame:
     return out.select("doc_id", F.round("source_encoded", 9).alias("source_encoded"))
 
 
-@query("enc_target_folds")
+@query(
+    "enc_target_folds",
+    """
+with g as (select avg(cast(toxic as double)) as mu from {doc_risk} r),
+f as (select doc_id, source, toxic, n_chars % 5 as fold from {doc_risk} r),
+e as (select a.source, a.fold, sum(b.toxic) as s, count(b.toxic) as n from (select distinct source, fold from f) a left join f b on a.source = b.source and a.fold <> b.fold group by 1, 2),
+x as (select source, fold, mu * (1 - 1 / (1 + exp(-(n - 20) / cast(5 as double)))) + s / nullif(cast(n as double), 0) * (1 / (1 + exp(-(n - 20) / cast(5 as double)))) as enc from e, g)
+select f.doc_id, f.source, f.toxic, round(coalesce(enc, mu), 9) as source_encoded from g, f left join x on f.source = x.source and f.fold = x.fold""",
+)
 def enc_target_folds(v: Views) -> DataFrame:
-    df = v.doc_risk.select("doc_id", "source", "toxic")
-    return P.encode_target_out_of_fold(df, "source", "toxic", "doc_id", folds=5, smoothing=5.0, min_leaf=20)
+    df = v.doc_risk.select("doc_id", "source", "toxic", "n_chars")
+    out = P.encode_target_out_of_fold(df, "source", "toxic", F.col("n_chars") % 5, smoothing=5.0, min_leaf=20)
+    return out.select("doc_id", "source", "toxic", F.round("source_encoded", 9).alias("source_encoded"))
 
 
 # -- binning ---------------------------------------------------------------------------------------------
@@ -472,7 +482,7 @@ select pr.application_id, pr.customer_ref, """
 from pr join wo using (application_id) join en using (application_id)""",
 )
 def prep_full(v: Views) -> DataFrame:
-    df = v.messy
+    df = materialize(v.messy, "messy")
     cfg = P.PrepConfig(
         target="default_flag",
         drop=("application_id", "application_date"),
@@ -507,7 +517,7 @@ select application_id, round((inc_c - im) / isd, 6) as monthly_income, round((lo
 from c, m""",
 )
 def prep_classic(v: Views) -> DataFrame:
-    df = v.messy.select(
+    df = materialize(v.messy, "messy").select(
         "application_id",
         "application_date",
         "region",

@@ -161,8 +161,8 @@ def score_to_pd_query(v: Views) -> DataFrame:
 PSI_COLS = ["loan_amount", "monthly_income", "age"]
 
 
-def _psi_sql(others: list[str], shared: bool) -> str:
-    long = "\nunion all\n".join(f"select split, '{c}' as feature, cast({c} as double) as x from {{splits}} s where {c} is not null" for c in PSI_COLS)
+def _psi_sql(others: list[str], shared: bool, columns: list[str] = PSI_COLS, view: str = "splits") -> str:
+    long = "\nunion all\n".join(f"select split, '{c}' as feature, cast({c} as double) as x from {{{view}}} s where {c} is not null" for c in columns)
     lo = "min(x) over (partition by feature, split)" if not shared else "min(case when split = 'train' then x end) over (partition by feature)"
     hi = lo.replace("min(", "max(")
     x = "least(greatest(x, lo), hi)" if shared else "x"

@@ -196,7 +196,7 @@ def test_target_encoders_stay_in_the_unit_interval(spark):
     df = toy(spark).withColumn("id", F.monotonically_increasing_id())
     rows = P.encode_sigmoid_target(df, ["cat"], "y").collect()
     assert len(rows) == 6 and all(0 <= r.cat_encoded <= 1 for r in rows)
-    folds = P.encode_target_out_of_fold(df, "cat", "y", "id", folds=2, min_leaf=1).collect()
+    folds = P.encode_target_out_of_fold(df, "cat", "y", X.hash_fold("id", 2), min_leaf=1).collect()
     assert len(folds) == 6 and all(0 <= r.cat_encoded <= 1 for r in folds)
 
 
