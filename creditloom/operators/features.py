@@ -170,7 +170,7 @@ class FeaturePlan:
         if not (self.entity and self.date):
             return
         skip = {self.entity, *self.tiebreak}
-        names = [c for c in (columns or numeric_columns(self.df)) if c not in skip]
+        names = list(columns) if columns is not None else [c for c in numeric_columns(self.df) if c not in skip]
         for w in self.spec.rolling_windows:
             for c in names:
                 self.features[f"{c}_roll_mean_{w}"] = self.roll(c, w)

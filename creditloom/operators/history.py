@@ -40,7 +40,8 @@ class HistoryConfig:
     application_id: str = "application_id"
     application_date: str = "application_date"
     date: str = "statement_date"
-    tiebreak: Sequence[str] = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    # Columns that order statements of one date; without any, all columns do.
+    tiebreak: Sequence[str] = ()
     observation_months: int = 12
     windows: Sequence[int] = (3, 6, 12)
     dpd_thresholds: Sequence[int] = (30, 60, 90)
@@ -48,6 +49,9 @@ class HistoryConfig:
     # Statement dates carry no time of day (known without asking when the column is a DATE).
     day_grain: bool = False
 
+    def order_columns(self, history: DataFrame) -> list[str]:
+        return list(self.tiebreak) or [c for c in history.columns if c not in (self.entity, self.date)]
+
 
 @dataclass
 class HistoryColumns:
@@ -102,7 +106,7 @@ def statement_states(history: DataFrame, cfg: HistoryConfig, roles: HistoryColum
     rows = history.filter(F.col(cfg.date).isNotNull() & F.col(cfg.entity).isNotNull()).select(
         F.col(cfg.entity).alias("ent"),
         F.col(cfg.date).cast("timestamp_ntz").alias("ts"),
-        F.struct(*[F.col(c) for c in cfg.tiebreak]).alias("rid"),
+        F.struct(*[F.col(c) for c in cfg.order_columns(history)]).alias("rid"),
         *[c.alias(name) for name, c in series.items()],
         *[as_double(history, c).alias(f"num_{c}") for c in [*numeric, *flags]],
     )

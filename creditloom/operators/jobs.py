@@ -72,12 +72,14 @@ def build_master(
         summary = customer_summary(past, history)
         if panel:
             rows = with_summary_inputs(past, history)
+            ties = history.order_columns(past)
+            inputs = [c for c in numeric_columns(rows) if c != key and c not in history.tiebreak]
             made = build_features(
-                rows, history_spec or FeatureSpec(), date=history.date, entity=key, tiebreak=history.tiebreak
+                rows, history_spec or FeatureSpec(), date=history.date, entity=key, tiebreak=ties, rolling_columns=inputs
             )
             fresh = [c for c in made.columns if c not in rows.columns and c not in summary.columns]
             if fresh:
-                summary = summary.join(latest_snapshot(made, key, history.date, history.tiebreak, fresh), key, "left")
+                summary = summary.join(latest_snapshot(made, key, history.date, ties, fresh), key, "left")
     reports.append(merge_coverage(base, summary, [key], "credit_history"))
     if summary is not None:
         base = left_merge(base, summary, [key], "credit_history", dedupe=False)

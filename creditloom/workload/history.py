@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.operators import history as H
 from creditloom.workload.base import Views, query
 
-CFG = H.HistoryConfig()
+CFG = H.HistoryConfig(tiebreak=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
 NUMERIC = ["revolving_balance", "payment_amount", "min_payment", "due_amount", "credit_limit", "dpd"]
 WINDOWS = (3, 6, 12)
 
@@ -123,7 +125,7 @@ def hist_window_basic(v: Views) -> DataFrame:
 )
 def hist_numeric_aggs(v: Views) -> DataFrame:
     names = [f"{c}_{s}_hist" for c in NUMERIC for s in ("mean", "max", "min")]
-    f = features(v, names, H.HistoryConfig(numeric=NUMERIC))
+    f = features(v, names, replace(CFG, numeric=NUMERIC))
     return f.select(
         "application_id",
         *[F.round(f"{c}_mean_hist", 7).alias(f"{c}_mean_hist") for c in NUMERIC],

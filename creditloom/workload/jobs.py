@@ -11,12 +11,14 @@ from creditloom.operators import jobs as J
 from creditloom.operators import models as L
 from creditloom.operators.drift import psi
 from creditloom.operators.features import EventMarker, FeatureSpec
-from creditloom.operators.history import HistoryConfig
 from creditloom.operators.prep import PrepConfig
+from creditloom.operators.woe import WoeModel
 from creditloom.plans.session import materialize, scratch_path
 from creditloom.streaming.scoring import score_stream as run_stream
 from creditloom.workload.base import Views, query
-from creditloom.workload.models import INPUTS, parts
+from creditloom.workload.history import CFG
+from creditloom.workload.models import GIVEN, INPUTS, parts
+from creditloom.workload.prep import WOE_SQL
 from creditloom.workload.ranking import AP, AUC, BINNED, BRIER, CURVE, ECE, FAIR, KS, LIFT, LOGLOSS, TRAIN_END, VALID_END, _psi_sql
 
 DATASET = """
@@ -50,7 +52,7 @@ def dataset_job(v: Views) -> DataFrame:
     prep = PrepConfig(
         target="default", numeric=NUM, categorical=["employment_type"], log_skew=99.0, encoding="target"
     )
-    made = J.build_dataset(sources, prep, HistoryConfig(), keep=["application_id"]).features
+    made = J.build_dataset(sources, prep, CFG, keep=["application_id"]).features
     rounded = [F.round(c, 6).alias(c) if c in NUM else F.col(c) for c in made.columns if c != "employment_type_target"]
     return made.select(*rounded, F.round("employment_type_target", 9).alias("employment_type_target"))
 
@@ -102,16 +104,47 @@ def score_batch(v: Views) -> DataFrame:
     return J.score_job(v.trainset.drop("season"), small_scorer(v), keep=["application_id"])
 
 
-@query("score_stream")
+GIVEN_SLOPE, GIVEN_SHIFT, GIVEN_INTERCEPT = 1.5, -0.2, -1.0
+SCALE = ScorecardConfig()
+SCORED_SQL = (
+    WOE_SQL
+    + ", ct as ("
+    + " union all ".join(
+        f"select bn.application_id, coalesce(w.woe, 0) * {b!r}e0 as c from bn left join w on bn.feature = w.feature and bn.bin = w.bin where bn.feature = '{f}'"
+        for f, b in GIVEN.items()
+    )
+    + f"""), pr as (select application_id, 1 / (1 + exp(-(sum(c) - 1.0e0))) as p from ct group by application_id),
+cal as (select application_id, 1 / (1 + exp(-(p * {GIVEN_SLOPE}e0 + ({GIVEN_SHIFT}e0)))) as pd from pr)
+select application_id, round(pd, 9) as pd, round(least(greatest({SCALE.offset!r}e0 + {SCALE.factor!r}e0 * ln((1 - pd) / pd), 300), 900), 6) as score from cal"""
+)
+
+
+def given_scorer(v: Views, rows: DataFrame) -> J.Scorer:
+    """WOE bins fitted here, coefficients and calibration given, so SQL can repeat the scores."""
+    woe = WoeModel.fit(rows, list(GIVEN), "default_flag", bins=5, min_samples=50)
+    model = L.Champion("logistic_woe", list(GIVEN), woe=woe, coefficients=list(GIVEN.values()), intercept=GIVEN_INTERCEPT)
+    return J.Scorer(model, K.Calibrator("platt", GIVEN_SLOPE, GIVEN_SHIFT), SCALE)
+
+
+def rounded_scores(df: DataFrame) -> DataFrame:
+    return df.select("application_id", F.round("pd", 9).alias("pd"), F.round("score", 6).alias("score"))
+
+
+@query("score_given", SCORED_SQL)
+def score_given(v: Views) -> DataFrame:
+    return rounded_scores(J.score_job(v.messy, given_scorer(v, v.messy), keep=["application_id"]))
+
+
+@query("score_stream", SCORED_SQL)
 def score_stream(v: Views) -> DataFrame:
-    scorer = small_scorer(v)
+    scorer = given_scorer(v, v.messy)
     arrivals = scratch_path(v.spark, "arrivals")
-    rows = v.trainset.select("application_id", *INPUTS)
+    rows = v.messy.select("application_id", *GIVEN)
     rows.write.parquet(arrivals)
     sink = scratch_path(v.spark, "scored")
     q = run_stream(v.spark, arrivals, rows.schema, scorer, sink, scratch_path(v.spark, "stream"), ["application_id"])
     q.awaitTermination()
-    return v.spark.read.parquet(sink)
+    return rounded_scores(v.spark.read.parquet(sink))
 
 
 FAIR_EVAL = f"""sz as (select attribute, grp, avg(cast(y as double)) as bad_rate from ({FAIR}) group by 1, 2 having count(*) >= 50),

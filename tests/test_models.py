@@ -9,6 +9,8 @@ from creditloom.operators import calibrate as K
 from creditloom.operators import explain as E
 from creditloom.operators import jobs as J
 from creditloom.operators import models as L
+from creditloom.operators.history import HistoryConfig
+from creditloom.operators.prep import PrepConfig
 from creditloom.operators.features import FeatureSpec, interaction_candidates, smart_interactions
 from creditloom.sources.inventory import dataset_paths, scan_folder
 from creditloom.sources.readers import SourceConfig, file_profile, guess_encoding, load_master, read_dataset
@@ -193,3 +195,22 @@ def test_master_needs_only_the_applications(spark, tmp_path):
     assert row.customer_ref == "7" and str(row.application_date) == "2020-06-30 00:00:00" and history is None
     with pytest.raises(RuntimeError):
         load_master(spark, SourceConfig(str(tmp_path / "none")))
+
+
+def test_dataset_job_with_every_source(spark):
+    apps = spark.sql("select id as application_id, concat(' ', id % 40) as client_id, timestamp_ntz'2021-06-01' as application_date, cast(id % 3 = 0 as int) as target from range(200)")
+    people = spark.sql("select cast(id as string) as cust_id, cast(20 + id as double) as age, concat('job', id % 3) as job from range(40)")
+    loans = spark.sql("select cast(id % 40 as string) as customer_id, id as application_id, id * 10.0D as loan_amount from range(200)")
+    ratios = spark.sql("select cast(id as string) as cust_num, id / 50 as debt_ratio from range(30)")
+    past = spark.sql(
+        "select cast(id % 40 as string) as customer_number, timestamp_ntz'2020-12-01' + make_interval(0, cast(id % 9 as int)) as statement_date, "
+        "cast(id % 70 as double) as dpd, id * 2.0D as balance, 100.0D as due_amount, cast(id % 90 as double) as payment_amount, 1000.0D as credit_limit, 50.0D as min_payment from range(400)"
+    )
+    sources = {"application": apps, "demographics": people, "loan_details": loans, "financial_ratios": ratios, "credit_history": past}
+    made = J.build_dataset(sources, PrepConfig(drop=("application_date",), min_samples=5), HistoryConfig(), advanced_history=True, keep=["application_id"])
+    assert made.features.count() == 200
+    columns = set(made.features.columns)
+    assert {"age", "loan_amount", "debt_ratio", "dpd_value_mean", "dpd_30_flag_count", "balance_roll_mean_3", "beh_dpd_rate_6m", "job_freq", "default"} <= columns
+    cover = {r["name"]: r["coverage"] for r in made.coverage.collect()}
+    assert cover == pytest.approx({"demographics": 1.0, "loan_details": 1.0, "financial_ratios": 0.75, "credit_history": 1.0})
+    assert made.prep.weights[1] == pytest.approx(200 / (2 * 67))
