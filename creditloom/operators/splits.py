@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.functions.expr import NUMERIC_TYPES
 from creditloom.plans.ranked import rows_at
 
 
@@ -21,6 +22,13 @@ def _after(key: Column, tie: Column, cut: tuple[float, float]) -> Column:
     return (key > k) | ((key == k) & (tie >= t))
 
 
+def tie_order(df: DataFrame, name: str) -> Column:
+    """Number that orders rows of one date: the column itself, or a 52-bit hash of a text key."""
+    if isinstance(df.schema[name].dataType, NUMERIC_TYPES):
+        return F.col(name).cast("double")
+    return F.pmod(F.xxhash64(F.col(name)), F.lit(2**52)).cast("double")
+
+
 def epoch(date: Column) -> Column:
     return (F.unix_micros(date.cast("timestamp")) / F.lit(1e6)).cast("double")
 
@@ -39,18 +47,18 @@ def share_positions(n: int) -> tuple[int, int]:
 
 def position_split(df: DataFrame, date: str, tie: str) -> DataFrame:
     """60/20/20 by position in the date order; only the two boundary rows are looked up."""
-    frame = df.withColumn("__k", epoch(F.col(date)))
+    frame = df.withColumn("__k", epoch(F.col(date))).withColumn("__t", tie_order(df, tie))
     n = frame.filter(F.col("__k").isNotNull()).count()
     train_end, valid_end = share_positions(n)
     wanted = [p for p in dict.fromkeys((train_end, valid_end)) if p < n]
-    cuts = dict(zip(wanted, rows_at(frame.filter(F.col("__k").isNotNull()), "__k", tie, wanted, n)))
-    key, t = F.col("__k"), F.col(tie).cast("double")
+    cuts = dict(zip(wanted, rows_at(frame.filter(F.col("__k").isNotNull()), "__k", "__t", wanted, n)))
+    key, t = F.col("__k"), F.col("__t")
 
     def reached(p: int) -> Column:
         return _after(key, t, cuts[p]) if p in cuts else F.lit(False)
 
     split = F.when(key.isNull(), F.lit(None)).when(reached(valid_end), "oot").when(reached(train_end), "valid").otherwise("train")
-    return frame.withColumn("split", split).drop("__k")
+    return frame.withColumn("split", split).drop("__k", "__t")
 
 
 def split_by_time(df: DataFrame, date: str, train_end: str, valid_end: str, tie: str) -> DataFrame:
@@ -80,10 +88,10 @@ def _fold_column(key: Column, tie: Column, cuts: Sequence[tuple[float, float]])
 
 def row_folds(df: DataFrame, date: str, tie: str, folds: int) -> DataFrame:
     """``block`` per row: fold i trains on blocks below i and validates on block i."""
-    frame = df.withColumn("__k", epoch(F.col(date)))
+    frame = df.withColumn("__k", epoch(F.col(date))).withColumn("__t", tie_order(df, tie))
     n = frame.count()
-    cuts = rows_at(frame, "__k", tie, fold_starts(n, folds), n)
-    return frame.withColumn("block", _fold_column(F.col("__k"), F.col(tie).cast("double"), cuts)).drop("__k")
+    cuts = rows_at(frame, "__k", "__t", fold_starts(n, folds), n)
+    return frame.withColumn("block", _fold_column(F.col("__k"), F.col("__t"), cuts)).drop("__k", "__t")
 
 
 def group_folds(df: DataFrame, date: str, group: str, folds: int) -> DataFrame:
@@ -93,10 +101,11 @@ def group_folds(df: DataFrame, date: str, group: str, folds: int) -> DataFrame:
         .groupBy(group)
         .agg(F.min(date).alias("__first"))
         .withColumn("__k", epoch(F.col("__first")))
+        .withColumn("__t", tie_order(df, group))
     )
     n = first.count()
-    cuts = rows_at(first, "__k", group, fold_starts(n, folds), n)
-    blocks = first.select(group, _fold_column(F.col("__k"), F.col(group).cast("double"), cuts).alias("block"))
+    cuts = rows_at(first, "__k", "__t", fold_starts(n, folds), n)
+    blocks = first.select(group, _fold_column(F.col("__k"), F.col("__t"), cuts).alias("block"))
     return df.join(blocks, group, "left")
 
 
@@ -110,9 +119,9 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
     The hash of the first row left out is looked up, so the sample is a filter and stays distributed.
     """
-    frame = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)).cast("double"))
+    frame = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)).cast("double")).withColumn("__t", tie_order(df, key))
     total = frame.count()
     if total <= n:
         return df
-    cut = rows_at(frame, "__h", key, [n], total)[0]
-    return frame.filter(~_after(F.col("__h"), F.col(key).cast("double"), cut)).drop("__h")
+    cut = rows_at(frame, "__h", "__t", [n], total)[0]
+    return frame.filter(~_after(F.col("__h"), F.col("__t"), cut)).drop("__h", "__t")

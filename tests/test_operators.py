@@ -273,3 +273,12 @@ def test_verdicts(spark):
     assert rows["leak"].suspicious == 1 and rows["leak"].auc_train == pytest.approx(1.0)
     assert rows["flat"].low_variance == 1 and rows["flat"].auc_train == 0.5
     assert rows["noise"].suspicious == 0 and abs(rows["noise"].spearman) < 0.1
+
+
+def test_text_keys_can_order_positions(spark):
+    df = spark.sql("select concat('id-', id) as id, timestamp_ntz'2020-01-01' as d, concat('g', id % 9) as g from range(90)")
+    parts = {r["split"]: r["count"] for r in X.position_split(df, "d", "id").groupBy("split").count().collect()}
+    assert parts == {"train": 54, "valid": 18, "oot": 18}
+    blocks = X.group_folds(df, "d", "g", 2).groupBy("block").agg(F.count_distinct("g").alias("n"))
+    assert {r["block"]: r["n"] for r in blocks.collect()} == {0: 3, 1: 3, 2: 3}
+    assert X.hash_sample(df, "id", 30).count() == 30
