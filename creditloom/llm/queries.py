@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from creditloom.llm.decontaminate import contamination_query
 from creditloom.llm.pack import pack
 from creditloom.llm.scratch import table
+from creditloom.llm.substrings import dedup_query
 from creditloom.llm.tokens import count_query
 
 QUERIES: dict = {}
@@ -28,3 +30,50 @@ def op2_token_counts(spark, sf_dir):
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    "op3_benchmark_decontamination",
+    r"""
+with docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (
+  select coalesce(cast(item_id as varchar), '') as item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+item_windows as (
+  select item_id, least(10, len(w)) as k, unnest([array_to_string(w[i:i + least(10, len(w)) - 1], ' ')
+         for i in range(1, greatest(1, len(w) - 9) + 1)]) as win from items where len(w) > 0),
+doc_windows as (
+  select doc_id, k, unnest(range(1, len(w) - k + 2)) as i, unnest([array_to_string(w[j:j + k - 1], ' ') for j in range(1, len(w) - k + 2)]) as win
+  from docs, (select distinct k from item_windows) where len(w) >= k),
+hits as (select d.doc_id, d.i, d.k, t.item_id from doc_windows d join item_windows t on d.k = t.k and d.win = t.win),
+covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + k)) as p from hits) group by doc_id),
+found as (select doc_id, count(distinct item_id) as n, string_agg(item_id, ',' order by item_id) as ids
+          from (select distinct doc_id, item_id from hits) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(c.n, 0) as n_hit, coalesce(f.n, 0) as n_items,
+       sha256(coalesce(f.ids, '')) as items_sha256, coalesce(c.n, 0) > 0 as contaminated
+from docs d left join covered c on d.doc_id = c.doc_id left join found f on d.doc_id = f.doc_id""",
+)
+def op3_benchmark_decontamination(spark, sf_dir):
+    return contamination_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op9_substring_dedup",
+    r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+wins as (select doc_id, unnest(range(1, len(w) - 18)) as i, unnest([array_to_string(w[j:j + 19], ' ') for j in range(1, len(w) - 18)]) as win
+         from docs where len(w) >= 20),
+later as (select doc_id, i, row_number() over (partition by win order by doc_id, i) as r from wins),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from later where r > 1),
+word as (select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as x from docs),
+kept as (select w.doc_id, string_agg(x, ' ' order by w.p) as t, count(*) as n from word w
+         left join gone g on w.doc_id = g.doc_id and w.p = g.p where g.p is null group by w.doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(len(d.w) - coalesce(k.n, 0) as bigint) as n_removed,
+       sha256(coalesce(k.t, '')) as kept_sha256
+from docs d left join kept k on d.doc_id = k.doc_id""",
+)
+def op9_substring_dedup(spark, sf_dir):
+    return dedup_query(table(spark, sf_dir, "documents"))

@@ -1,13 +1,25 @@
-"""Tables and numbers written once in the folder that all executors share."""
+"""Tables written once in the folder that all executors share."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.plans.session import materialize, tune
+from creditloom.plans import session
+from creditloom.plans.session import tune
 
-__all__ = ["materialize", "table", "tune"]
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; its shuffle files go as soon as it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN_UP)
+    conf.set(_CLEAN_UP, "true")
+    try:
+        return session.materialize(df, name)
+    finally:
+        conf.set(_CLEAN_UP, before)
