@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from creditloom.llm.decontaminate import contamination_query
+from creditloom.llm.near import near_query
 from creditloom.llm.pack import pack
 from creditloom.llm.scratch import table
 from creditloom.llm.substrings import dedup_query
@@ -77,3 +78,8 @@ from docs d left join kept k on d.doc_id = k.doc_id""",
 )
 def op9_substring_dedup(spark, sf_dir):
     return dedup_query(table(spark, sf_dir, "documents"))
+
+
+@query("op5_minhash_near_dedup")
+def op5_minhash_near_dedup(spark, sf_dir):
+    return near_query(table(spark, sf_dir, "documents"))

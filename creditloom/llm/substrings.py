@@ -143,9 +143,9 @@ def duplicate_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     found = materialize(keyed.mapInArrow(_parse, _FACTOR), "factors")
     apart = found.filter("not settled").drop("settled")
     anchor_class = F.pmod("a", F.lit(ANCHOR_CLASSES))
-    sizes = apart.groupBy(anchor_class.alias("s_class")).count()
-    mean = F.broadcast(sizes.agg((F.sum("count") / ANCHOR_CLASSES).alias("s_mean")))
-    frequent = sizes.join(mean, F.col("count") > 8 * F.col("s_mean") + 200).select("s_class")
+    sizes = apart.groupBy(anchor_class.alias("s_class")).count().collect()  # at most ANCHOR_CLASSES rows
+    limit = 200 + 8 * sum(r["count"] for r in sizes) // ANCHOR_CLASSES
+    frequent = found.sparkSession.createDataFrame([(r.s_class,) for r in sizes if r["count"] > limit], "s_class long")
     dealt = (
         apart.withColumn("s_key", anchor_class)
         .join(F.broadcast(frequent), F.col("s_key") == F.col("s_class"), "left")
