@@ -5,6 +5,7 @@ from __future__ import annotations
 from creditloom.llm.decontaminate import contamination_query
 from creditloom.llm.near import near_query
 from creditloom.llm.pack import pack
+from creditloom.llm.quality import quality_query
 from creditloom.llm.scratch import table
 from creditloom.llm.substrings import dedup_query
 from creditloom.llm.tokens import count_query
@@ -83,3 +84,8 @@ def op9_substring_dedup(spark, sf_dir):
 @query("op5_minhash_near_dedup")
 def op5_minhash_near_dedup(spark, sf_dir):
     return near_query(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark, sf_dir):
+    return quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
