@@ -6,10 +6,12 @@ and relative error do not depend on the corpus; what all counters have on averag
 ``BANDS * ROWS`` samples are drawn per document so that two documents agree in one with a probability equal
 to their weighted Jaccard similarity; ``ROWS`` samples make the key of a band.
 
-Documents of equal words are one node.  In each bucket of a band the members are first compared with two
-hubs, the least member and one drawn by hash, so a bucket never gives all its pairs.  What those comparisons
-leave in different components of a bucket is then compared across components, which loses no pair.  Every
-link is verified by the weighted Jaccard similarity of the whole texts; classes are the connected components.
+Documents of equal words are one node.  In each bucket of a band the members are first compared with a few
+hubs: the member with the most company over all its buckets, which in a family of copies is the one they all
+resemble, and some drawn by hash.  So a bucket never gives all its pairs.  What those comparisons leave in
+different components of a bucket is then compared across components; pairs whose samples agree so seldom
+that a similarity of 0.8 is 3.5 standard deviations away are left out inside that join.  Every link is
+verified by the weighted Jaccard similarity of the whole texts; classes are the connected components.
 
 Null texts and texts without words are classes of their own; a text of fewer than five words is one run.
 Identical rows share a class; ids may repeat with different texts.  Classes are named by their least id.
@@ -27,7 +29,12 @@ from creditloom.llm.scratch import materialize
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS, ROWS = 16, 3
+BANDS, ROWS = 18, 5
+DRAWN_HUBS = 5
+#: More samples for texts that go through the comparison across components, and how many of them two texts of
+#: similarity 0.8 have in common but for 3.5 standard deviations.
+FINE = 384
+AGREE = int(FINE * SIMILAR - 3.5 * (FINE * SIMILAR * (1 - SIMILAR)) ** 0.5)
 CLASSES = 65_536
 #: Text bytes of one vectorised step of the sampling, so that its arrays stay in the processor's cache.
 SAMPLE_STEP = 300_000
@@ -98,21 +105,21 @@ def _gamma_quantiles() -> np.ndarray:
     return x
 
 
-def sampler(idf: np.ndarray):
+def sampler(idf: np.ndarray, count: int, seed: int):
     gamma = _gamma_quantiles()
     rate, log_c = gamma.astype(np.float32), np.log(gamma).astype(np.float32)
-    seeds = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
+    seeds = np.random.default_rng(seed).integers(1, 2**63, count, dtype=np.uint64)
 
-    def bands(codes: np.ndarray, often: np.ndarray, borders: np.ndarray) -> np.ndarray:
-        """The band keys of every row that has shingles; others keep zeros."""
-        out = np.zeros((BANDS, len(borders) - 1), np.uint64)
+    def samples(codes: np.ndarray, often: np.ndarray, borders: np.ndarray) -> np.ndarray:
+        """``count`` samples of every row that has shingles; others keep zeros."""
+        out = np.zeros((count, len(borders) - 1), np.uint64)
         rows = np.flatnonzero(np.diff(borders) > 0)
         if not len(rows):
             return out
         begin = borders[:-1][rows]
         counts = np.diff(borders)[rows]
         log_w = np.log(often * idf[counter_of(codes)]).astype(np.float32)
-        for k in range(BANDS * ROWS):
+        for k in range(count):
             h = (codes ^ seeds[k]) * U64(0x9FB21C651E98DF25)
             h ^= h >> U64(32)
             h *= U64(0xD6E8FEB86659FD93)
@@ -123,28 +130,52 @@ def sampler(idf: np.ndarray):
             least = np.minimum.reduceat(a, begin)
             hit = np.flatnonzero(a == np.repeat(least, counts))
             pick = hit[np.searchsorted(hit, begin)]  # the first of equal ones
-            sample = mix(codes[pick] ^ (t[pick].astype(np.int64).view(np.uint64) * U64(0x9E3779B97F4A7C15)))
-            out[k // ROWS, rows] = mix(out[k // ROWS, rows] * U64(0xD6E8FEB86659FD93) + sample)
+            out[k, rows] = mix(codes[pick] ^ (t[pick].astype(np.int64).view(np.uint64) * U64(0x9E3779B97F4A7C15)))
         return out
 
-    return bands
+    return samples
+
+
+def band_keys(samples: np.ndarray) -> np.ndarray:
+    out = np.zeros((BANDS, samples.shape[1]), np.uint64)
+    for k in range(BANDS * ROWS):
+        out[k // ROWS] = mix(out[k // ROWS] * U64(0xD6E8FEB86659FD93) + samples[k])
+    return out
+
+
+def _lists(columns: np.ndarray) -> pa.Array:
+    width, rows = columns.shape
+    flat = pa.array(np.ascontiguousarray(columns.T).ravel())
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), flat)
 
 
 def _signatures(shared):
     def run(batches):
-        bands = sampler(shared.value)
+        draw = sampler(shared.value, BANDS * ROWS, 7)
         for batch in batches:
             for part in slices(batch, "text", SAMPLE_STEP):
                 codes, often, borders, whole = shingles(part.column(2))
-                keys = bands(codes, often, borders).T.astype(np.uint64).view(np.int64)
-                flat = pa.array(np.ascontiguousarray(keys).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS), flat)
-                cols = [part.column(0), part.column(1), *(pa.array(w.view(np.int64)) for w in whole), pa.array(np.diff(borders) > 0), lists]
+                keys = _lists(band_keys(draw(codes, often, borders)).view(np.int64))
+                cols = [part.column(0), part.column(1), *(pa.array(w.view(np.int64)) for w in whole), pa.array(np.diff(borders) > 0), keys]
                 yield pa.RecordBatch.from_arrays(cols, names=["k_id", "k_text", "c1", "c2", "some", "bands"])
 
     return run
 
 
+def _fine_samples(shared):
+    """Eight bits of each of ``FINE`` more samples."""
+
+    def run(batches):
+        draw = sampler(shared.value, FINE, 8)
+        for batch in batches:
+            for part in slices(batch, "text", SAMPLE_STEP):
+                codes, often, borders, _ = shingles(part.column(1))
+                short = (draw(codes, often, borders) >> U64(20)).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(short)], names=["node", "samples"])
+
+    return run
+
+
 def _similarity(shared):
     def weights(column: pa.Array, idf: np.ndarray):
         codes, often, borders, _ = shingles(column)
@@ -178,15 +209,19 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
         keyed.mapInArrow(_signatures(shared), "k_id long, k_text int, c1 long, c2 long, some boolean, bands array<long>"), "signed"
     )
     node = F.concat_ws(":", "k_id", "k_text")
-    equal = signed.filter("some").groupBy("c1", "c2").agg(F.min(F.struct("k_id", "k_text")).alias("k"), F.first("bands").alias("bands"))
+    equal = signed.filter("some").groupBy("c1", "c2").agg(
+        F.min(F.struct("k_id", "k_text")).alias("k"), F.first("bands").alias("bands")
+    )
     reps = materialize(equal.select("c1", "c2", "k.*", "bands").withColumn("node", node), "reps")
     members = reps.select("node", F.posexplode("bands").alias("band", "key"))
-    drawn = F.min(F.struct(F.xxhash64("node", "band").alias("x"), "node"))["node"]
-    buckets = materialize(
-        members.groupBy("band", "key").agg(F.min("node").alias("h1"), drawn.alias("h2"), F.count("*").alias("n")).filter("n > 1").drop("n"),
-        "buckets",
-    )
-    inside = materialize(members.join(buckets, ["band", "key"]), "members")
+    shared_keys = materialize(members.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    inside = materialize(members.join(shared_keys, ["band", "key"]), "members")
+    company = materialize(inside.groupBy("node").agg(F.sum("n").alias("company")), "company")
+    inside = materialize(inside.drop("n").join(company, "node"), "members")
+    most = F.max(F.struct("company", "node"))["node"]
+    drawn = [F.min(F.struct(F.xxhash64("node", "band", F.lit(i)).alias("x"), "node"))["node"] for i in range(DRAWN_HUBS)]
+    buckets = materialize(inside.groupBy("band", "key").agg(F.array_distinct(F.array(most, *drawn)).alias("hubs")), "hubs")
+    inside = inside.drop("company")
     texts = keyed.withColumn("node", node).select("node", "text")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -196,8 +231,8 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
         joined = pairs.join(one, "u").join(two, "v").select("u", "v", "text", "text_v")
         return materialize(joined.mapInArrow(_similarity(shared), "u string, v string").distinct(), "links")
 
-    hubs = F.explode(F.array("h1", "h2")).alias("v")
-    pairs = inside.select(F.col("node").alias("u"), hubs).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    hubs = F.explode("hubs").alias("v")
+    pairs = inside.join(buckets, ["band", "key"]).select(F.col("node").alias("u"), hubs).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     tested = materialize(pairs.distinct(), "pairs")
     links = linked(tested)
     parts = components(links)
@@ -205,10 +240,17 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     placed = inside.select("band", "key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    mixed = materialize(placed.join(materialize(mixed.select("band", "key"), "mixed"), ["band", "key"]), "mixed")
-    x = mixed.select("band", "key", F.col("node").alias("u"), F.col("component").alias("cu"))
-    y = mixed.select("band", "key", F.col("node").alias("v"), F.col("component").alias("cv"))
-    across = x.join(y, ["band", "key"]).filter("u < v and cu <> cv").select("u", "v").distinct()
+    mixed = placed.join(materialize(mixed.select("band", "key"), "mixed"), ["band", "key"])
+    unsettled = materialize(mixed.select("node").distinct(), "unsettled")
+    fine = texts.join(unsettled, "node").mapInArrow(_fine_samples(shared), "node string, samples array<tinyint>")
+    fine = materialize(fine.dropDuplicates(["node"]), "fine")
+    mixed = materialize(mixed.join(fine, "node").join(reps.select("node", "bands"), "node"), "mixed")
+    x = mixed.select("band", "key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("samples").alias("su"), F.col("bands").alias("bu"))
+    y = mixed.select("band", "key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("samples").alias("sv"), F.col("bands").alias("bv"))
+    equal_samples = F.aggregate(F.zip_with("su", "sv", lambda a, b: (a == b).cast("int")), F.lit(0), lambda t, e: t + e)
+    first_band = F.array_position(F.zip_with("bu", "bv", lambda a, b: a == b), True) - 1  # a pair shows in one bucket only
+    wanted = F.expr("u < v and cu <> cv") & (first_band == F.col("band")) & (equal_samples >= AGREE)
+    across = x.join(y, ["band", "key"]).filter(wanted).select("u", "v")
     more = linked(materialize(across.join(tested, ["u", "v"], "left_anti"), "across"))
     parts = components(links.unionByName(more))
     named = reps.select("c1", "c2", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
