@@ -6,6 +6,7 @@ from creditloom.llm.decontaminate import contamination_query
 from creditloom.llm.near import near_query
 from creditloom.llm.pack import pack
 from creditloom.llm.quality import quality_query
+from creditloom.llm.rules import BOILERPLATE, MENU, rules_query
 from creditloom.llm.scratch import table
 from creditloom.llm.substrings import dedup_query
 from creditloom.llm.tokens import count_query
@@ -89,3 +90,41 @@ def op5_minhash_near_dedup(spark, sf_dir):
 @query("op6_quality_classifier")
 def op6_quality_classifier(spark, sf_dir):
     return quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op4_quality_rules",
+    r"""
+with docs as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+lines as (
+  select doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') as v
+  from (select doc_id, unnest(string_split(t, chr(10))) as x from docs) where regexp_matches(x, '[^\x20\x09-\x0D]')),
+judged as (
+  select doc_id, x, length(x) as size,
+    length(x) - length(translate(x, '|>»•·', '')) >= 3
+    or len(v) >= 4 and (length(x) - length(translate(x, '#*$%&|<>{}~^=_\', '')) > len(v) * cast(0.3 as double)
+        or (length(x) - length(translate(x, '!?', ''))) * 2 >= len(v))
+    or len(v) <= 10 and not regexp_matches(x, '[.!?…:;"'')\]][\x20\x09-\x0D]*$') and regexp_matches(lower(x), '^\W*({menu})\b')
+    or regexp_matches(lower(x), '{boilerplate}')
+    or len(v) >= 8 and len(list_distinct(v)) * 3 < len(v) as fails
+  from lines),
+line_figures as (select doc_id, count(*) - count(distinct x) as dup, sum(size) as total, sum(case when fails then size else 0 end) as lost
+                 from judged group by doc_id),
+wins as (select doc_id, unnest(range(1, len(w) - 1)) as i, unnest([array_to_string(w[j:j + 2], ' ') for j in range(1, len(w) - 1)]) as win
+         from docs where len(w) >= 3),
+twice as (select doc_id, i from wins qualify count(*) over (partition by doc_id, win) > 1),
+repeats as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 3)) as p from twice) group by doc_id),
+figures as (
+  select d.doc_id, cast(len(w) as bigint) as n_words,
+    cast(length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')) as bigint) as word_chars,
+    cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) as n_symbols,
+    coalesce(dup, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words,
+    coalesce(cast(lost as double) / cast(total as double), 1.0) as lost_share
+  from docs d left join line_figures l on d.doc_id = l.doc_id left join repeats r on d.doc_id = r.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, cast(lost_share as double) as lost_share,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and lost_share <= 0.5 as kept
+from figures""".replace("{menu}", MENU).replace("{boilerplate}", BOILERPLATE),
+)
+def op4_quality_rules(spark, sf_dir):
+    return rules_query(table(spark, sf_dir, "documents"))
