@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from creditloom.llm.decontaminate import contamination_query
+from creditloom.llm.licenses import licence_query
+from creditloom.llm.lines import lines_query
 from creditloom.llm.near import near_query
 from creditloom.llm.pack import pack
 from creditloom.llm.quality import quality_query
@@ -10,6 +12,7 @@ from creditloom.llm.rules import BOILERPLATE, MENU, rules_query
 from creditloom.llm.scratch import table
 from creditloom.llm.substrings import dedup_query
 from creditloom.llm.tokens import count_query
+from creditloom.llm.urls import filter_urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +131,74 @@ from figures""".replace("{menu}", MENU).replace("{boilerplate}", BOILERPLATE),
 )
 def op4_quality_rules(spark, sf_dir):
     return rules_query(table(spark, sf_dir, "documents"))
+
+
+@query("op8_license_scans")
+def op8_license_scans(spark, sf_dir):
+    return licence_query(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op10_url_filters",
+    r"""
+with recursive
+p as (select page_id, coalesce(html, '') as html, url, case when position('://' in url) > 0 then url[position('://' in url) + 3:] end as rest,
+        case when position('://' in url) > 1 then lower(url[:position('://' in url) - 1]) end as scheme from pages),
+q as (select page_id, html, scheme, rest, coalesce(lower(regexp_extract(rest, '^[^/?#]*')), '') as host,
+        coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from p),
+n as (select *, scheme || '://' || host || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as node from q),
+tags as (
+  select node, scheme, host, path, regexp_extract(t, '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1) as link from (select *, unnest(
+    regexp_extract_all(html, '(?is)<link[^>]*rel\s*=\s*["'']?canonical[^>]*>')) as t from n)
+  union all
+  select node, scheme, host, path, regexp_extract(t, '(?is)url\s*=\s*["'']?([^"''\s>]+)', 1) from (select *, unnest(
+    regexp_extract_all(html, '(?is)<meta[^>]*http-equiv\s*=\s*["'']?refresh[^>]*>')) as t from n)),
+targets as (
+  select node, case when l = '' or starts_with(l, '#') then null when contains(l, '://') then l when starts_with(l, '//') then scheme || ':' || l
+    when starts_with(l, '/') then scheme || '://' || host || l
+    else scheme || '://' || host || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || l end as u
+  from (select *, replace(trim(link), '&amp;', '&') as l from tags)),
+edges as (
+  select distinct node as a, lower(u[:position('://' in u) + 2]) || lower(regexp_extract(u[position('://' in u) + 3:], '^[^/?#]*'))
+    || regexp_extract(u[position('://' in u) + 3:], '^[^/?#]*([^#]*)', 1) as b from targets where node is not null and u is not null),
+both_ways as (select a, b from edges union select b, a from edges),
+reach as (select a, b from both_ways union select r.a, w.b from reach r join both_ways w on r.b = w.a),
+seen as (select a, b, coalesce(regexp_extract(b, '://([^/?#]*)', 1), '') as host, coalesce(regexp_extract(b, '://[^/?#]*([^?#]*)', 1), '') as path from reach),
+marks as (
+  select a, case when ('.' || host like '%.example.net') and starts_with(path, '/en/') then 'allow'
+      when ('.' || host like '%.example.com') and starts_with(path, '/de/') then 'block'
+      when ('.' || host like '%.org') and starts_with(path, '/fr/') then 'allow'
+      when ('.' || host like '%.net') and starts_with(path, '/') then 'block' end as v from seen),
+alias as (select a, min(v) as v from marks group by a),
+ruled as (
+  select page_id, host, path, node, case when ('.' || host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
+      when ('.' || host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/'
+      when ('.' || host like '%.org') and starts_with(path, '/fr/') then 'org/fr/'
+      when ('.' || host like '%.net') and starts_with(path, '/') then 'net/' end as rule from n)
+select page_id, host, path, rule,
+  coalesce(case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' end, alias.v, 'allow') as verdict
+from ruled left join alias on ruled.node = alias.a""",
+)
+def op10_url_filters(spark, sf_dir):
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query(
+    "op1_line_dedup",
+    r"""
+with docs as (select doc_id, string_split(text, chr(10)) as x from documents),
+lines as (
+  select doc_id, i, list_sort(list_distinct(regexp_extract_all(c, '[^\x20\x09-\x0D]+'))) as s
+  from (select doc_id, unnest(range(0, len(x))) as i, unnest(x) as c from docs)),
+sets as (select s, min((doc_id, i)) as f, len(s) as n, row_number() over () as id from lines where len(s) > 0 group by s),
+words as (select id, f, n, unnest(s) as w from sets),
+pairs as (select b.id, a.n + b.n as total, count(*) as c from words a join words b on a.w = b.w and a.f < b.f
+          and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9 group by a.id, b.id, a.n + b.n),
+alike as (select distinct id from pairs where c >= 0.8 * (total - c) - 1e-9),
+gone as (select l.doc_id, l.i from lines l join sets s on l.s = s.s left join alike m on s.id = m.id where (l.doc_id, l.i) > s.f or m.id is not null),
+per_doc as (select doc_id, count(*) as n, string_agg(i, ',' order by i) as removed from gone group by doc_id)
+select d.doc_id, coalesce(cast(len(d.x) as bigint), 0) as n_lines, coalesce(p.n, 0) as n_removed, coalesce(p.removed, '') as removed_lines
+from docs d left join per_doc p on d.doc_id = p.doc_id""",
+)
+def op1_line_dedup(spark, sf_dir):
+    return lines_query(table(spark, sf_dir, "documents"))
