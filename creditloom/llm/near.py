@@ -222,13 +222,15 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     drawn = [F.min(F.struct(F.xxhash64("node", "band", F.lit(i)).alias("x"), "node"))["node"] for i in range(DRAWN_HUBS)]
     buckets = materialize(inside.groupBy("band", "key").agg(F.array_distinct(F.array(most, *drawn)).alias("hubs")), "hubs")
     inside = inside.drop("company")
-    texts = keyed.withColumn("node", node).select("node", "text")
+    # Only texts that share a bucket with another are compared; they are taken out once.  A merge join at every size.
+    some = materialize(company.select("node"), "nodes")
+    texts = materialize(keyed.withColumn("node", node).select("node", "text").join(some.hint("merge"), "node", "left_semi"), "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) whose texts are similar."""
         one = texts.select(F.col("node").alias("u"), "text")
         two = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
-        joined = pairs.join(one, "u").join(two, "v").select("u", "v", "text", "text_v")
+        joined = pairs.join(one.hint("merge"), "u").join(two.hint("merge"), "v").select("u", "v", "text", "text_v")
         return materialize(joined.mapInArrow(_similarity(shared), "u string, v string").distinct(), "links")
 
     hubs = F.explode("hubs").alias("v")
@@ -242,7 +244,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     mixed = placed.join(materialize(mixed.select("band", "key"), "mixed"), ["band", "key"])
     unsettled = materialize(mixed.select("node").distinct(), "unsettled")
-    fine = texts.join(unsettled, "node").mapInArrow(_fine_samples(shared), "node string, samples array<tinyint>")
+    fine = texts.hint("merge").join(unsettled, "node").mapInArrow(_fine_samples(shared), "node string, samples array<tinyint>")
     fine = materialize(fine.dropDuplicates(["node"]), "fine")
     mixed = materialize(mixed.join(fine, "node").join(reps.select("node", "bands"), "node"), "mixed")
     x = mixed.select("band", "key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("samples").alias("su"), F.col("bands").alias("bu"))
