@@ -76,63 +76,59 @@ def line_table(docs: DataFrame, ranks: bytes, id_column: str = "doc_id", text: s
     )
 
 
-def _may_be_similar(x: str, y: str) -> Column:
-    """Length, positional and bit filters for postings under two prefixes of column names."""
-    nx, ny, px, py = (F.col(f"{side}.{c}") for c in ("n", "pos") for side in (x, y))
+def _may_be_similar() -> Column:
+    """Length, positional and bit filters for postings x (earlier) and y."""
+    nx, ny, px, py = F.col("ax") % F.lit(2**32), F.col("ay") % F.lit(2**32), F.col("px"), F.col("py")
     need = F.ceil(SIMILAR / (1 + SIMILAR) * (nx + ny) - 1e-9)
-    apart = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
     return (
-        (F.least(nx, ny) >= SIMILAR * F.greatest(nx, ny) - 1e-9)
+        (F.struct("kx", "ax", "cx") < F.struct("ky", "ay", "cy"))
+        & (F.least(nx, ny) >= SIMILAR * F.greatest(nx, ny) - 1e-9)
         & (F.least(nx - px, ny - py) >= need)
-        & (apart <= nx + ny - 2 * need)
+        & (F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) <= nx + ny - 2 * need)
     )
 
 
-def _earlier(x: str, y: str) -> Column:
-    place = lambda s: F.struct(f"{s}.k_id", f"{s}.line", f"{s}.k_text", f"{s}.c1")
-    return place(x) < place(y)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """c1 of the later class of each pair (structs x and y of places) that is similar in its words."""
-    pairs = materialize(pairs, "pairs")
-    side = lambda s: pairs.select(f"{s}.k_id", f"{s}.line", f"{s}.k_text", f"{s}.c1")
-    wanted = side("x").unionByName(side("y")).distinct().groupBy("k_id", "k_text").agg(F.collect_list(F.struct("line", "c1")).alias("wanted"))
-    keyed = docs.select(*row_key(id_column, text), F.split(text, "\n").alias("content"))
-    found = keyed.join(materialize(wanted, "wanted"), ["k_id", "k_text"]).select("content", F.explode("wanted").alias("w"))
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """c1 of the later class of each pair (cx, cy) that is similar in its words."""
+    wanted = pairs.select(F.explode(F.array("cx", "cy")).alias("c1")).distinct()
+    wanted = classes.select("c1", "k_id", "k_text", "line").join(materialize(wanted, "wanted"), "c1")
+    wanted = materialize(wanted.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("line", "c1")).alias("wanted")), "wanted")
+    keyed = docs.select(*row_key(id_column, text), F.col(text).alias("content"))
+    found = keyed.join(wanted, ["k_id", "k_text"]).select(F.split("content", "\n").alias("content"), F.explode("wanted").alias("w"))
     sets = found.select("w.c1", F.array_distinct(words_of(F.get("content", F.col("w.line")))).alias("words"))
     sets = materialize(sets.dropDuplicates(["c1"]), "sets")
-    joined = (
-        pairs.select(F.col("x.c1").alias("cx"), F.col("y.c1").alias("cy"))
-        .join(sets.select(F.col("c1").alias("cx"), F.col("words").alias("wx")), "cx")
-        .join(sets.select(F.col("c1").alias("cy"), F.col("words").alias("wy")), "cy")
+    joined = pairs.join(sets.select(F.col("c1").alias("cx"), F.col("words").alias("wx")), "cx").join(
+        sets.select(F.col("c1").alias("cy"), F.col("words").alias("wy")), "cy"
     )
     both = F.size(F.array_intersect("wx", "wy"))
     return joined.filter(both >= SIMILAR * (F.size("wx") + F.size("wy") - both) - 1e-9).select(F.col("cy").alias("c1")).distinct()
 
 
+def _postings(classes: DataFrame, side: str) -> DataFrame:
+    """One row per prefix word: the word, its position, the class, its bits, its id, and line and size in one number."""
+    place = F.call_function("shiftleft", F.col("line").cast("long"), F.lit(32)).bitwiseOR(F.col("n").cast("long"))
+    named = classes.filter(F.col("n") >= LEAST_WORDS).select(
+        F.col("k_id").alias(f"k{side}"), place.alias(f"a{side}"), F.col("c1").alias(f"c{side}"), F.col("bits").alias(f"b{side}"), "prefix"
+    )
+    return named.select("*", F.posexplode("prefix").alias(f"p{side}", "word")).drop("prefix")
+
+
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """k_id, k_text and line of every line to remove, with whether an equal set or only a similar one came before."""
     lines = materialize(line_table(docs, word_ranks(docs, text), id_column, text), "lines")
     first = F.min(F.struct("k_id", "line", "k_text")).alias("f")
     kept = F.first(F.struct("n", "bits", "prefix")).alias("s")
     classes = materialize(lines.groupBy("c1", "c2").agg(first, kept).select("c1", "c2", "f.*", "s.*"), "classes")
-    posting = classes.filter(F.col("n") >= LEAST_WORDS).select(
-        F.posexplode("prefix").alias("pos", "word"), F.struct("k_id", "line", "k_text", "c1", "n", "bits").alias("s")
-    )
-    posting = posting.select("word", F.struct("s.*", "pos").alias("p"))
-    heads = materialize(posting.groupBy("word").agg(F.min("p").alias("x"), F.count("*").alias("m")).filter("m > 1").drop("m"), "heads")
-    members = posting.withColumnRenamed("p", "y")
-    place = lambda s: F.struct(f"{s}.k_id", f"{s}.line", f"{s}.k_text", f"{s}.c1").alias(s)
-    near_head = members.join(heads, "word").filter(_earlier("x", "y") & _may_be_similar("x", "y"))
-    settled = materialize(_verified(near_head.select(place("x"), place("y")).distinct(), docs, id_column, text), "settled")
-    # The lines still open meet all earlier lines of their prefix words but the heads.
-    shared = heads.filter(F.col("x").isNotNull())
-    alive = members.join(shared.select("word", F.col("x.c1").alias("head")), "word").filter(F.col("y.c1") != F.col("head")).drop("head")
-    alive = materialize(alive, "postings")
-    opened = alive.withColumn("c1", F.col("y.c1")).join(settled, "c1", "left_anti").drop("c1")
-    rest = opened.join(alive.withColumnRenamed("y", "x"), "word").filter(_earlier("x", "y") & _may_be_similar("x", "y"))
-    more = _verified(rest.select(place("x"), place("y")).distinct(), docs, id_column, text)
+    one, two = _postings(classes, "x"), _postings(classes, "y")
+    heads = one.groupBy("word").agg(F.min(F.struct("kx", "ax", "cx", "bx", "px")).alias("h"), F.count("*").alias("m"))
+    heads = materialize(heads.filter("m > 1").select("word", "h.*"), "heads")
+    with_head = materialize(two.join(heads, "word").filter(_may_be_similar()).select("cx", "cy").distinct(), "pairs")
+    settled = materialize(_verified(with_head, classes, docs, id_column, text), "settled")
+    # The lines still open meet the other earlier lines of their prefix words.
+    still_open = _postings(classes.join(settled, "c1", "left_anti"), "y")
+    rest = still_open.join(one, "word").filter(_may_be_similar()).select("cx", "cy").distinct()
+    rest = materialize(rest.join(with_head, ["cx", "cy"], "left_anti"), "pairs")
+    more = _verified(rest, classes, docs, id_column, text)
     similar = materialize(settled.unionByName(more), "similar").withColumn("similar", F.lit(True))
     place_of = classes.select("c1", "c2", F.struct("k_id", "line", "k_text").alias("f"))
     flagged = materialize(place_of.join(similar, "c1", "left"), "flagged")
