@@ -155,10 +155,12 @@ def duplicate_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     )
     group = Window.partitionBy("a", "salt")
     place = group.orderBy("h", "k_id", "start", "k_text")
+    same_block = F.col("b_before.h") == F.col("h")
+    same_place = F.col("b_before") == F.struct("h", "k_id", "start", "k_text")  # of an identical row
     block = (
-        dealt.withColumn("b_first", F.lag("h").over(place))
+        dealt.withColumn("b_before", F.lag(F.struct("h", "k_id", "start", "k_text")).over(place))
         .withColumn("b_more", F.min("h").over(group) != F.max("h").over(group))
-        .withColumn("repeat", F.coalesce(F.col("b_first") == F.col("h"), F.lit(False)))
+        .withColumn("repeat", F.coalesce(same_block & ~same_place, F.lit(False)))
         .filter(F.col("repeat") | F.col("b_more") | (F.col("salt") != 0))
         .select("k_id", "k_text", "start", "windows", "repeat")
     )
