@@ -29,12 +29,16 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's checkpoint directory.
 
-    Only a session without that setting (tests, one machine) gets a temporary folder.
+    Only a session in one process (``local`` master, as in tests) may do without that setting and gets a
+    temporary folder; anywhere else its absence is an error, because executors don't share local folders.
     """
     global _local_scratch
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="creditloom-")
     return _local_scratch

@@ -110,7 +110,8 @@ def read_dataset(
     if suffix not in SUFFIXES:
         raise ValueError(f"unsupported file type {suffix!r}")
     if suffix == ".parquet":
-        return finite_frame(spark.read.parquet(path))
+        df = spark.read.parquet(path)
+        return finite_frame(df.limit(sample_rows) if sample_rows else df)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if suffix in (".csv", ".txt"):
         if encoding is None or delimiter is None:

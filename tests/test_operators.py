@@ -79,6 +79,8 @@ def test_leakage_names():
 def test_auto_cast_decides_on_the_share_of_digits(spark):
     df = spark.createDataFrame([("1a", "x", "9")] * 6 + [("b", "y", "z")] * 4, "a string, b string, c string")
     assert C.auto_cast_columns(df, exclude=["c"]) == ["a"]
+    late = df.sparkSession.createDataFrame([(str(i),) for i in range(50)] + [("word",)] * 950, "t string")
+    assert C.auto_cast_columns(late) == []
 
 
 # -- metrics ---------------------------------------------------------------------------------------------
