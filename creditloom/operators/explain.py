@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.functions.expr import as_double
-from creditloom.functions.scorecard import ScorecardConfig
+from creditloom.functions.scorecard import PointsScale
 from creditloom.operators.models import Champion
 from creditloom.operators.woe import woe_table
 
@@ -34,11 +34,12 @@ def champion_reasons(model: Champion, df: DataFrame, keys: Sequence[str], top_k:
     return df.select(*keys, reason_codes(parts, top_k).alias("factors"))
 
 
-def scorecard_table(model: Champion, train: DataFrame, target: str, cfg: ScorecardConfig = ScorecardConfig(), min_samples: int = 50) -> DataFrame:
+def scorecard_table(model: Champion, train: DataFrame, target: str, cfg: PointsScale = PointsScale(), min_samples: int = 50) -> DataFrame:
     """Points per bin: coefficient x factor next to the WOE table of the training rows."""
     edges = {c: model.woe.edges[c] for c in model.features}
     bins = woe_table(train, edges, target, min_samples)
-    points = coefficient_table(train, model).select("feature", "coefficient", (F.col("coefficient") * cfg.factor).alias("points"))
+    even, slope = cfg.line()
+    points = coefficient_table(train, model).select("feature", "coefficient", (F.col("coefficient") * slope).alias("points"))
     return bins.join(F.broadcast(points), "feature").select(
-        "feature", "bin", "lo", "hi", "n", "bad", "woe", "coefficient", "points", F.lit(cfg.factor).alias("factor"), F.lit(cfg.offset).alias("offset")
+        "feature", "bin", "lo", "hi", "n", "bad", "woe", "coefficient", "points", F.lit(slope).alias("factor"), F.lit(even).alias("offset")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from creditloom.functions.clean import is_safe_feature, normalize_id, prepare_applications
 from creditloom.functions.expr import numeric_columns
-from creditloom.functions.scorecard import ScorecardConfig, pd_to_score
+from creditloom.functions.scorecard import PointsScale
 from creditloom.operators import calibrate, explain
 from creditloom.operators import metrics as M
 from creditloom.operators import models as L
@@ -154,7 +154,7 @@ class TrainConfig:
     sanity_sample: int = 20000
     sanity_auc: float = 0.62
     calibrate: bool = True
-    scorecard: ScorecardConfig = ScorecardConfig()
+    scorecard: PointsScale = PointsScale()
     seed: int = 42
 
 
@@ -164,14 +164,14 @@ class Scorer:
 
     model: L.TrainedModel
     calibrator: calibrate.Calibrator | None
-    scorecard: ScorecardConfig
+    scorecard: PointsScale
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``pd`` and ``score``; inputs the frame lacks count as 0."""
         out = self.model.score(df, "pd")
         if self.calibrator:
             out = self.calibrator.apply(out, "pd")
-        return out.withColumn("score", pd_to_score(F.col("pd"), self.scorecard))
+        return out.withColumn("score", self.scorecard.points(F.col("pd")))
 
 
 @dataclass

@@ -6,6 +6,7 @@ iterative fit reads only what it needs and a lost executor re-reads a file.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -49,6 +50,10 @@ def input_column(df: DataFrame, name: str, fill: float | None = None) -> Column:
     return x if fill is None else F.coalesce(x, F.lit(fill))
 
 
+#: A fit whose mean weighted residual (less the penalty) is larger for some input has not converged.
+MAX_GRADIENT = 1e-3
+
+
 def logistic_fit(df: DataFrame, inputs: Sequence[str], target: str, weight: str | None, total: float) -> tuple[list[float], float]:
     """Logistic regression with an L2 penalty of strength one on the summed loss."""
     vec = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(df)
@@ -59,12 +64,23 @@ def logistic_fit(df: DataFrame, inputs: Sequence[str], target: str, weight: str
         regParam=1.0 / total,
         elasticNetParam=0.0,
         standardization=False,
-        tol=1e-9,
+        tol=1e-7,
     )
     if weight:
         lr = lr.setWeightCol(weight)
     model = lr.fit(vec)
-    return [float(c) for c in model.coefficients], float(model.intercept)
+    coefs, intercept = [float(c) for c in model.coefficients], float(model.intercept)
+    # The equations of the maximum: weighted residuals of every input against its penalty, per unit of weight.
+    z = F.lit(intercept)
+    for c, b in zip(inputs, coefs):
+        z = z + F.lit(b) * F.col(c)
+    w = F.col(weight) if weight else F.lit(1.0)
+    r = w * (F.col(target) - sigmoid(z))
+    left = df.agg(F.sum(w), F.sum(r), *[F.sum(r * F.col(c)) for c in inputs]).first()
+    slope = max(abs(g - b) for g, b in zip(left[1:], [0.0, *(c * left[0] / total for c in coefs)])) / left[0]
+    if not slope <= MAX_GRADIENT:
+        raise RuntimeError(f"the logistic fit did not reach its maximum: gradient {slope:.2g}")
+    return coefs, intercept
 
 
 @dataclass
@@ -391,17 +407,25 @@ def mean_importance(models: Sequence[TreeModel]) -> list[tuple[str, float]]:
     return sorted(((c, float(np.mean(v))) for c, v in total.items()), key=lambda t: (-t[1], t[0]))
 
 
+#: Rows that exchange their values in one bucket.
+BUCKET_ROWS = 10_000
+
+
 def permutation_importance(model: TrainedModel, df: DataFrame, target: str, key: str, columns: Sequence[str], seed: int = 42) -> dict[str, float]:
     """AUC lost when one input is replaced by the same input of another row (pairs by hash bucket order).
 
-    The replacement is the previous row's value in a hash order inside each hash bucket, so no row moves
-    further than its bucket and all columns are measured in one job.
+    The replacement is the previous row's value in a hash order inside each hash bucket, the first row taking
+    the last one's, so no row moves further than its bucket and all columns are measured in one job.  The number
+    of buckets follows the number of rows.
     """
     from pyspark.sql import Window
 
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1024))
+    buckets = max(1, df.count() // BUCKET_ROWS)
+    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets))
     order = Window.partitionBy(bucket).orderBy(F.xxhash64(F.col(key), F.lit(seed + 1)))
-    moved = df.select("*", *[F.lag(c, 1).over(order).alias(f"__x_{c}") for c in columns])
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.row_number().over(order) == 1
+    moved = df.select("*", *[F.when(first, F.last(c).over(whole)).otherwise(F.lag(c, 1).over(order)).alias(f"__x_{c}") for c in columns])
     scored = model.score(moved, "__base")
     names = ["__base"]
     for c in columns:
@@ -412,13 +436,29 @@ def permutation_importance(model: TrainedModel, df: DataFrame, target: str, key:
     return {c: found["__base"] - found[f"__p_{c}"] for c in columns}
 
 
+def poisson_copies(df: DataFrame, key: str, rate: float, seed: int) -> DataFrame:
+    """Bootstrap of ``df``: every row as often as a Poisson draw with mean ``rate`` from the hash of its key.
+
+    The draw depends on key and seed alone, so it is the same however the rows are partitioned.
+    """
+    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2**52)) / F.lit(float(2**52))
+    n, p, below = F.lit(0), math.exp(-rate), 0.0
+    for k in range(1, 64):
+        below += p
+        if below >= 1.0:
+            break
+        n = n + (u >= below).cast("int")
+        p *= rate / k
+    return df.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n))).drop("__copy")
+
+
 def stability_selection(
-    fit: Callable[[DataFrame], TreeModel], df: DataFrame, rounds: int = 20, share: float = 0.8, seed: int = 42
+    fit: Callable[[DataFrame], TreeModel], df: DataFrame, key: str, rounds: int = 20, share: float = 0.8, seed: int = 42
 ) -> list[tuple[str, float]]:
     """Share of bootstrap fits in which a feature's importance reaches the 75th percentile."""
     hits: dict[str, int] = {}
     for i in range(rounds):
-        imp = fit(df.sample(True, share, seed + i)).importances()
+        imp = fit(poisson_copies(df, key, share, seed + i)).importances()
         bar = float(np.percentile(list(imp.values()), 75))
         for c, v in imp.items():
             hits[c] = hits.get(c, 0) + int(v >= bar)

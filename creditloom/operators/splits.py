@@ -23,9 +23,9 @@ def _after(key: Column, tie: Column, cut: tuple[float, float]) -> Column:
 
 
 def tie_order(df: DataFrame, name: str) -> Column:
-    """Number that orders rows of one date: the column itself, or a 52-bit hash of a text key."""
+    """Number that orders rows of one date: the column itself (missing first), or a 52-bit hash of a text key."""
     if isinstance(df.schema[name].dataType, NUMERIC_TYPES):
-        return F.col(name).cast("double")
+        return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
     return F.pmod(F.xxhash64(F.col(name)), F.lit(2**52)).cast("double")
 
 
@@ -87,11 +87,16 @@ def _fold_column(key: Column, tie: Column, cuts: Sequence[tuple[float, float]])
 
 
 def row_folds(df: DataFrame, date: str, tie: str, folds: int) -> DataFrame:
-    """``block`` per row: fold i trains on blocks below i and validates on block i."""
+    """``block`` per row: fold i trains on blocks below i and validates on block i.
+
+    Blocks are cut over the rows with a date; rows without one come last, so they are in the last block.
+    """
     frame = df.withColumn("__k", epoch(F.col(date))).withColumn("__t", tie_order(df, tie))
-    n = frame.count()
-    cuts = rows_at(frame, "__k", "__t", fold_starts(n, folds), n)
-    return frame.withColumn("block", _fold_column(F.col("__k"), F.col("__t"), cuts)).drop("__k", "__t")
+    dated = frame.filter(F.col("__k").isNotNull())
+    n = dated.count()
+    cuts = rows_at(dated, "__k", "__t", fold_starts(n, folds), n)
+    block = F.when(F.col("__k").isNull(), F.lit(folds)).otherwise(_fold_column(F.col("__k"), F.col("__t"), cuts))
+    return frame.withColumn("block", block).drop("__k", "__t")
 
 
 def group_folds(df: DataFrame, date: str, group: str, folds: int) -> DataFrame:

@@ -39,7 +39,11 @@ class SlicedFrame:
         tiebreak: Sequence[str],
         limit_rows: int = DEFAULT_LIMIT,
     ):
-        self.entity, self.date, self.tiebreak = entity, date, list(tiebreak)
+        self.entity, self.date = entity, date
+        # Without a tiebreak all orderable columns order the rows of one date.
+        self.tiebreak = list(tiebreak) or [
+            f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType) and f.name not in (entity, date)
+        ] or [entity]
         spread = F.pmod(F.xxhash64(*self.tiebreak), F.lit(NULL_SPREAD)).cast("int")
         known = df.filter(F.col(entity).isNotNull())
         size = known.groupBy(entity).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import logging
 from collections.abc import Iterator
@@ -11,7 +12,8 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.errors import AnalysisException
+from pyspark.sql.types import NumericType, StructType
 
 from creditloom.functions.clean import application_date, auto_cast_numeric, standardize_id
 from creditloom.functions.expr import finite_frame
@@ -40,6 +42,11 @@ def guess_encoding(head: bytes) -> str:
             return "utf-8"
         except UnicodeDecodeError:
             continue
+    return _one_byte_encoding(head)
+
+
+def _one_byte_encoding(head: bytes) -> str:
+    """Cyrillic or Western, by the letters of bytes that are not UTF-8."""
     high = [b for b in head if b >= 0x80]
     cyrillic = sum(1 for b in high if b >= 0xC0 or b in (0xA8, 0xB8))
     text = head.decode("cp1251", errors="ignore")
@@ -47,6 +54,23 @@ def guess_encoding(head: bytes) -> str:
     return "cp1251" if cyrillic >= 0.8 * len(high) and runs * 2 >= len(high) / 2 else "cp1252"
 
 
+def stream_encoding(stream) -> tuple[str, bytes]:
+    """Encoding of all that a stream holds, read piece by piece, and its head.
+
+    The first piece that is not UTF-8 tells the one-byte encodings apart, so an ASCII beginning decides nothing.
+    """
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    head = piece = stream.read(HEAD_BYTES)
+    before = b""
+    while piece:
+        try:
+            decoder.decode(piece)
+        except UnicodeDecodeError:
+            return _one_byte_encoding(before[-3:] + piece), head
+        before, piece = piece, stream.read(HEAD_BYTES)
+    return "utf-8", head
+
+
 def guess_delimiter(head: bytes, encoding: str, suffix: str) -> str | None:
     if suffix not in DELIMITED:
         return None
@@ -65,7 +89,8 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 def file_profile(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: path, length, encoding, delimiter.
 
-    The listing is distributed and each task opens its files itself, reading only their first bytes.
+    The listing is distributed and each task reads its files itself, in pieces of ``HEAD_BYTES``: text files up
+    to the first piece that is not UTF-8, so a UTF-8 file is read once.  The delimiter is that of the first lines.
     """
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,11 +101,11 @@ def file_profile(spark: SparkSession, path: str) -> DataFrame:
             for uri, length in zip(batch["path"], batch["length"]):
                 place = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
                 system, inner = fs.FileSystem.from_uri(place)
-                with system.open_input_stream(inner) as f:
-                    head = f.read(HEAD_BYTES)
                 suffix = suffix_of(inner)
-                text = suffix in DELIMITED or suffix in (".json", ".jsonl", ".xml")
-                encoding = guess_encoding(head) if text else None
+                encoding, head = None, b""
+                if suffix in DELIMITED or suffix in (".json", ".jsonl", ".xml"):
+                    with system.open_input_stream(inner) as f:
+                        encoding, head = stream_encoding(f)
                 delimiter = guess_delimiter(head, encoding, suffix) if encoding else None
                 out.append((uri, length, encoding, delimiter))
             yield pd.DataFrame(out, columns=["path", "length", "encoding", "delimiter"])
@@ -93,6 +118,37 @@ def _data_files(profile: DataFrame) -> DataFrame:
     return profile.filter(~name.startswith("_") & ~name.startswith(".") & (F.col("length") > 0))
 
 
+def _read_delimited(
+    spark: SparkSession, path: str, schema: StructType | str | None, encoding: str | None, delimiter: str | None
+) -> DataFrame:
+    """Files of one encoding and delimiter are read together, each group with its own, and united by column name."""
+    if encoding and delimiter:
+        groups = [(encoding, delimiter, [path])]
+    else:
+        own = F.lit(encoding) if encoding else F.coalesce("encoding", F.lit("utf-8"))
+        sep = F.lit(delimiter) if delimiter else F.coalesce("delimiter", F.lit(","))
+        profile = _data_files(file_profile(spark, path)).select(own.alias("e"), sep.alias("d"), "path")
+        groups = sorted(tuple(r) for r in profile.groupBy("e", "d").agg(F.sort_array(F.collect_list("path"))).collect())
+        if len(groups) < 2:
+            groups = [(*(groups[0][:2] if groups else (encoding or "utf-8", delimiter or ",")), [path])]
+    if any(e.lower().startswith("cp") for e, _, _ in groups):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    reader = lambda: spark.read if schema is None else spark.read.schema(schema)
+    parts = [
+        reader().options(header=True, sep=d, encoding=e, inferSchema=schema is None, escape='"').csv(files) for e, d, files in groups
+    ]
+    kinds: dict[str, list] = {}
+    for f in (f for part in parts for f in part.schema.fields):
+        kinds.setdefault(f.name, []).append(f.dataType)
+    # A column that is no number in one group is text in all.
+    mixed = {c for c, k in kinds.items() if any(t != k[0] for t in k) and not all(isinstance(t, NumericType) for t in k)}
+    out = None
+    for part in parts:
+        part = part.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in mixed else F.col(f"`{c}`") for c in part.columns])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def read_dataset(
     spark: SparkSession,
     path: str,
@@ -102,7 +158,7 @@ def read_dataset(
     delimiter: str | None = None,
     row_tag: str = "row",
 ) -> DataFrame:
-    """Read by suffix.  CSV encoding and delimiter are taken from the first file's head unless given.
+    """Read by suffix.  CSV encoding and delimiter are found per file unless given.
 
     Pass a schema for large text sources: inference needs a pass over the data.
     """
@@ -114,17 +170,7 @@ def read_dataset(
         return finite_frame(df.limit(sample_rows) if sample_rows else df)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if suffix in (".csv", ".txt"):
-        if encoding is None or delimiter is None:
-            seen = _data_files(file_profile(spark, path)).agg(F.min(F.struct("path", "encoding", "delimiter")).alias("f")).first()
-            if seen is not None and seen["f"] is not None:
-                encoding = encoding or seen["f"]["encoding"]
-                delimiter = delimiter or seen["f"]["delimiter"]
-        encoding = encoding or "utf-8"
-        if encoding.lower().startswith("cp"):
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        df = reader.options(
-            header=True, sep=delimiter or ",", encoding=encoding, inferSchema=schema is None, escape='"'
-        ).csv(path)
+        df = _read_delimited(spark, path, schema, encoding, delimiter)
     elif suffix == ".jsonl":
         df = reader.json(path)
     elif suffix == ".json":
@@ -171,14 +217,16 @@ class SourceConfig:
 
 
 def load_source(spark: SparkSession, cfg: SourceConfig, name: str, evaluation: bool = False) -> DataFrame | None:
-    """A missing or unreadable source is None."""
+    """A source that is not there is None; any other failure to read one is raised."""
     base = cfg.evaluation_dir if evaluation and cfg.evaluation_dir else cfg.data_dir
     if name not in cfg.sources:
         return None
     try:
         return read_dataset(spark, f"{base.rstrip('/')}/{cfg.sources[name]}")
-    except Exception as exc:  # the reader reports a missing path only when it is asked for it
-        LOG.warning("source %s skipped: %s", name, type(exc).__name__)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        LOG.warning("source %s is not there", name)
         return None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.scorecard import ScorecardConfig
+from creditloom.functions.scorecard import PointsScale
 from creditloom.operators import calibrate as K
 from creditloom.operators import jobs as J
 from creditloom.operators import models as L
@@ -95,7 +95,7 @@ def small_scorer(v: Views) -> J.Scorer:
     train, valid, _ = parts(v)
     champion = L.train_champion(train, "target", INPUTS)
     scored = champion.score(valid, "p").select(F.col("target").alias("y"), "p")
-    return J.Scorer(champion, K.fit_platt(scored), ScorecardConfig())
+    return J.Scorer(champion, K.fit_platt(scored), PointsScale())
 
 
 @query("score_batch")
@@ -105,7 +105,7 @@ def score_batch(v: Views) -> DataFrame:
 
 
 GIVEN_SLOPE, GIVEN_SHIFT, GIVEN_INTERCEPT = 1.5, -0.2, -1.0
-SCALE = ScorecardConfig()
+SCALE = PointsScale()
 SCORED_SQL = (
     WOE_SQL
     + ", ct as ("

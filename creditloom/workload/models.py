@@ -74,7 +74,7 @@ def stability_selection(v: Views) -> DataFrame:
     def forest(df: DataFrame) -> L.TreeModel:
         return L.train_trees(df, "target", INPUTS, "forest", numTrees=5, maxDepth=4)
 
-    return v.spark.createDataFrame(L.stability_selection(forest, train, rounds=3), "feature string, stability double")
+    return v.spark.createDataFrame(L.stability_selection(forest, train, "application_id", rounds=3), "feature string, stability double")
 
 
 @query("random_search")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.scorecard import ScorecardConfig, pd_to_score, score_to_pd
+from creditloom.functions.scorecard import PointsScale
 from creditloom.operators import metrics as M
 from creditloom.operators.drift import psi
 from creditloom.operators.fairness import fairness_report
@@ -138,7 +138,7 @@ def best_threshold(v: Views) -> DataFrame:
     return M.best_thresholds(v.scored).withColumn("f_score", F.round("f_score", 9))
 
 
-CFG = ScorecardConfig()
+CFG = PointsScale()
 
 
 @query(
@@ -147,7 +147,7 @@ CFG = ScorecardConfig()
 from (select application_id, least(greatest(p, 1e-6), 1 - 1e-6) as q from {{scored}} s)""",
 )
 def pd_to_score_query(v: Views) -> DataFrame:
-    return v.scored.select("application_id", F.round(pd_to_score(F.col("p")), 6).alias("score"))
+    return v.scored.select("application_id", F.round(CFG.points(F.col("p")), 6).alias("score"))
 
 
 @query(
@@ -155,7 +155,7 @@ def pd_to_score_query(v: Views) -> DataFrame:
     f"select application_id, round(1 / (1 + exp((300 + 600 * p - {CFG.offset!r}e0) / {CFG.factor!r}e0)), 9) as pd from {{scored}} s",
 )
 def score_to_pd_query(v: Views) -> DataFrame:
-    return v.scored.select("application_id", F.round(score_to_pd(300 + 600 * F.col("p")), 9).alias("pd"))
+    return v.scored.select("application_id", F.round(CFG.probability(300 + 600 * F.col("p")), 9).alias("pd"))
 
 
 PSI_COLS = ["loan_amount", "monthly_income", "age"]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from creditloom.functions.scorecard import ScorecardConfig
+from creditloom.functions.scorecard import PointsScale
 from creditloom.operators import calibrate as K
 from creditloom.operators import explain as E
 from creditloom.operators import jobs as J
@@ -128,7 +128,7 @@ def test_stacking_beats_or_falls_back_to_the_mean(spark, table):
 
 def test_stream_scores_equal_batch_scores(spark, table, tmp_path):
     model = L.train_champion(table, "target", ["x1", "x2"])
-    scorer = J.Scorer(model, None, ScorecardConfig())
+    scorer = J.Scorer(model, None, PointsScale())
     rows = table.select("id", "x1", "x2")
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     q = score_stream(spark, str(tmp_path / "in"), rows.schema, scorer, str(tmp_path / "out"), str(tmp_path / "cp"), ["id"], 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions import clean as C
 from creditloom.functions.expr import clip, compare, correlation, finite_frame, flag, safe_ratio
-from creditloom.functions.scorecard import pd_to_score, score_to_pd
+from creditloom.functions.scorecard import PointsScale
 from creditloom.operators import diagnostics as D
 from creditloom.operators import metrics as M
 from creditloom.operators import prep as P
@@ -127,13 +127,13 @@ def test_lift_of_a_perfect_order(spark):
 
 def test_scores_and_probabilities_round_trip(spark):
     df = spark.createDataFrame([(p,) for p in (0.01, 0.05, 0.2, 0.5, 0.0, 1.0)], "p double")
-    rows = df.select("p", pd_to_score(F.col("p")).alias("s"), score_to_pd(pd_to_score(F.col("p"))).alias("q")).collect()
+    rows = df.select("p", PointsScale().points(F.col("p")).alias("s"), PointsScale().probability(PointsScale().points(F.col("p"))).alias("q")).collect()
     assert all(300 <= r.s <= 900 for r in rows)
     assert all(r.q == pytest.approx(r.p) for r in rows[:3])
 
 
 def test_base_odds_give_the_base_score(spark):
-    s = spark.range(1).select(pd_to_score(F.lit(1 / 21)).alias("s")).first().s
+    s = spark.range(1).select(PointsScale().points(F.lit(1 / 21)).alias("s")).first().s
     assert s == pytest.approx(650.0)
 
 
