@@ -106,6 +106,7 @@ def score_batch(v: Views) -> DataFrame:
 
 GIVEN_SLOPE, GIVEN_SHIFT, GIVEN_INTERCEPT = 1.5, -0.2, -1.0
 SCALE = PointsScale()
+EVEN, SLOPE = SCALE.line()
 SCORED_SQL = (
     WOE_SQL
     + ", ct as ("
@@ -115,7 +116,7 @@ SCORED_SQL = (
     )
     + f"""), pr as (select application_id, 1 / (1 + exp(-(sum(c) - 1.0e0))) as p from ct group by application_id),
 cal as (select application_id, 1 / (1 + exp(-(p * {GIVEN_SLOPE}e0 + ({GIVEN_SHIFT}e0)))) as pd from pr)
-select application_id, round(pd, 9) as pd, round(least(greatest({SCALE.offset!r}e0 + {SCALE.factor!r}e0 * ln((1 - pd) / pd), 300), 900), 6) as score from cal"""
+select application_id, round(pd, 9) as pd, round(least(greatest({EVEN!r}e0 + {SLOPE!r}e0 * ln((1 - pd) / pd), 300), 900), 6) as score from cal"""
 )
 
 

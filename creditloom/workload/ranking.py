@@ -139,11 +139,12 @@ def best_threshold(v: Views) -> DataFrame:
 
 
 CFG = PointsScale()
+EVEN, SLOPE = CFG.line()
 
 
 @query(
     "pd_to_score",
-    f"""select application_id, round(least(greatest({CFG.offset!r}e0 + {CFG.factor!r}e0 * ln((1 - q) / q), 300), 900), 6) as score
+    f"""select application_id, round(least(greatest({EVEN!r}e0 + {SLOPE!r}e0 * ln((1 - q) / q), 300), 900), 6) as score
 from (select application_id, least(greatest(p, 1e-6), 1 - 1e-6) as q from {{scored}} s)""",
 )
 def pd_to_score_query(v: Views) -> DataFrame:
@@ -152,7 +153,7 @@ def pd_to_score_query(v: Views) -> DataFrame:
 
 @query(
     "score_to_pd",
-    f"select application_id, round(1 / (1 + exp((300 + 600 * p - {CFG.offset!r}e0) / {CFG.factor!r}e0)), 9) as pd from {{scored}} s",
+    f"select application_id, round(1 / (1 + exp((300 + 600 * p - {EVEN!r}e0) / {SLOPE!r}e0)), 9) as pd from {{scored}} s",
 )
 def score_to_pd_query(v: Views) -> DataFrame:
     return v.scored.select("application_id", F.round(CFG.probability(300 + 600 * F.col("p")), 9).alias("pd"))
