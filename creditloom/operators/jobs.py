@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,16 +158,72 @@ class TrainConfig:
     seed: int = 42
 
 
+@dataclass(frozen=True)
+class FeatureRecipe:
+    """How the training job made its inputs from raw rows; ``apply`` does the same to others.
+
+    Statistics of a feature (segment means, winsor limits, rule cuts) are those of the rows given, as they are
+    those of each split in training.
+    """
+
+    spec: FeatureSpec
+    date: str
+    entity: str
+    application_id: str
+    detection: bool = True
+    families: Sequence[str] | None = None
+    rolling_columns: Sequence[str] | None = None
+    strong: Sequence[str] = ()
+    max_pairs: int = 20
+
+    def build(self, df: DataFrame) -> DataFrame:
+        extra = {} if self.families is None else {"families": self.families}
+        return build_features(
+            df,
+            self.spec,
+            date=self.date,
+            entity=self.entity,
+            tiebreak=(self.application_id,),
+            detection=self.detection,
+            rolling_columns=self.rolling_columns,
+            **extra,
+        )
+
+    def pairs(self, features: DataFrame) -> dict[str, Column]:
+        return smart_interactions(features, list(self.strong), self.max_pairs)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        made = self.build(df)
+        # Pairs with a feature that can't be built here are left out; the order of the others stays.
+        gone = [c for c in self.strong if c not in made.columns]
+        wide = made.select("*", *[F.lit(None).cast("double").alias(c) for c in gone])
+        lost = {n for g in gone for c in self.strong for pair in ((g, c), (c, g)) for n in smart_interactions(wide, pair)}
+        return wide.select("*", *[c.alias(n) for n, c in self.pairs(wide).items() if n not in lost]).drop(*gone)
+
+
 @dataclass
 class Scorer:
-    """Everything scoring needs: model, calibrator and score scale."""
+    """Everything scoring needs: model, calibrator and score scale, and how its inputs are made.
+
+    ``derived`` names the inputs that no source delivers.
+    """
 
     model: L.TrainedModel
     calibrator: calibrate.Calibrator | None
     scorecard: PointsScale
-
-    def score(self, df: DataFrame) -> DataFrame:
-        """Adds ``pd`` and ``score``; inputs the frame lacks count as 0."""
+    derived: Sequence[str] = ()
+    recipe: FeatureRecipe | None = None
+
+    def missing(self, df: DataFrame) -> list[str]:
+        """Derived inputs that the frame lacks."""
+        return [c for c in self.derived if c not in df.columns]
+
+    def score(self, df: DataFrame, allow_missing: bool = False) -> DataFrame:
+        """Adds ``pd`` and ``score``; source columns the frame lacks count as 0.  A derived input it lacks raises,
+        unless the caller lets it count as 0 too."""
+        gone = self.missing(df)
+        if gone and not allow_missing:
+            raise ValueError(f"these rows lack derived inputs (score_raw builds them): {', '.join(gone)}")
         out = self.model.score(df, "pd")
         if self.calibrator:
             out = self.calibrator.apply(out, "pd")
@@ -189,23 +245,18 @@ class Training:
     columns: list[str]
 
 
+def feature_recipe(cfg: TrainConfig) -> FeatureRecipe:
+    return FeatureRecipe(
+        cfg.features, cfg.date, cfg.entity, cfg.application_id, cfg.detection, cfg.families, cfg.rolling_columns, (), cfg.max_pairs
+    )
+
+
 def feature_frame(master: DataFrame, cfg: TrainConfig) -> DataFrame:
     """Splits by time and builds the features inside each split."""
     ready = master.filter(F.col(cfg.target).isNotNull() & F.col(cfg.date).isNotNull())
     marked = materialize(split_by_time(ready, cfg.date, cfg.train_end, cfg.valid_end, cfg.application_id), "master")
-    extra = {} if cfg.families is None else {"families": cfg.families}
-    frames = {}
-    for name in ("train", "valid", "oot"):
-        frames[name] = build_features(
-            marked.filter(F.col("split") == name),
-            cfg.features,
-            date=cfg.date,
-            entity=cfg.entity,
-            tiebreak=(cfg.application_id,),
-            detection=cfg.detection,
-            rolling_columns=cfg.rolling_columns,
-            **extra,
-        )
+    recipe = feature_recipe(cfg)
+    frames = {name: recipe.build(marked.filter(F.col("split") == name)) for name in ("train", "valid", "oot")}
     return materialize(align_frames(frames), "features")
 
 
@@ -229,13 +280,15 @@ def train_job(master: DataFrame, cfg: TrainConfig) -> Training:
     checked = materialize(diagnose(part(frame, "train"), part(frame, "valid"), columns, cfg.target, cfg.selection), "diagnostics")
     verdicts = checked.orderBy(F.abs("spearman").desc(), "feature").collect()
     kept = [r["feature"] for r in verdicts if not r["drop"]]
+    recipe = feature_recipe(cfg)
     if cfg.interactions:
         ranked = [(r["feature"], r["spearman"]) for r in verdicts if not r["drop"]]
         bad = [r["feature"] for r in verdicts if r["suspicious"]]
         strong = interaction_candidates(
             ranked, frame, cfg.top_k, cfg.min_spearman, [cfg.entity, cfg.application_id, *cfg.id_like], bad
         )
-        pairs = smart_interactions(frame, strong, cfg.max_pairs)
+        recipe = replace(recipe, strong=tuple(strong))
+        pairs = recipe.pairs(frame)
         frame = frame.select("*", *[c.alias(n) for n, c in pairs.items()])
         kept += list(pairs)
     inputs = sorted(c for c in kept if c in set(numeric_columns(frame)))
@@ -273,7 +326,8 @@ def train_job(master: DataFrame, cfg: TrainConfig) -> Training:
     calibrator, fitted = (None, {})
     if cfg.calibrate:
         calibrator, fitted = calibrate.fit_best(scored_valid)
-    scorer = Scorer(production, calibrator, cfg.scorecard)
+    derived = [c for c in L.model_inputs(production) if c not in master.columns]
+    scorer = Scorer(production, calibrator, cfg.scorecard, derived, recipe)
     keep = ["split", cfg.application_id, cfg.date, cfg.target]
     predictions = materialize(scorer.score(part(narrow, "valid").unionByName(oot)).select(*keep, "pd", "score"), "predictions")
     after = M.metric_report(predictions.select("split", F.col(cfg.target).cast("int").alias("y"), F.col("pd").alias("p")), keys=["split"])
@@ -310,10 +364,16 @@ def train_job(master: DataFrame, cfg: TrainConfig) -> Training:
 
 
 def score_job(df: DataFrame, scorer: Scorer, keep: Sequence[str] = ()) -> DataFrame:
-    """Batch scores: the kept columns with ``pd`` and ``score``."""
+    """Batch scores of rows that hold the model's inputs: the kept columns with ``pd`` and ``score``."""
     return scorer.score(df).select(*keep, "pd", "score")
 
 
+def score_raw(df: DataFrame, scorer: Scorer, keep: Sequence[str] = (), allow_missing: bool = False) -> DataFrame:
+    """Batch scores of raw rows: features and pairs are built as in training, then scored."""
+    made = scorer.recipe.apply(df) if scorer.recipe else df
+    return scorer.score(made, allow_missing).select(*keep, "pd", "score")
+
+
 def evaluate_job(
     predictions: DataFrame, target: str, pred: str = "pd", score: str | None = "score", sensitive: Sequence[str] = (), bins: int = 10
 ) -> DataFrame:

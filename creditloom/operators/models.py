@@ -313,6 +313,12 @@ def with_members(members: Sequence[TrainedModel], df: DataFrame) -> DataFrame:
     return df
 
 
+def model_inputs(model: TrainedModel) -> list[str]:
+    """Every column a model or one of its members reads."""
+    nested = [c for m in getattr(model, "members", []) for c in model_inputs(m)]
+    return sorted({*model.features, *nested})
+
+
 def train_ensemble(
     members: Sequence[TrainedModel], valid: DataFrame, target: str, metric: str = "roc_auc", trials: int = 64, min_weight: float = 0.0, seed: int = 42
 ) -> Ensemble:

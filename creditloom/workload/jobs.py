@@ -12,6 +12,7 @@ from creditloom.operators import models as L
 from creditloom.operators.drift import psi
 from creditloom.operators.features import EventMarker, FeatureSpec
 from creditloom.operators.prep import PrepConfig
+from creditloom.operators.store import load_scorer, save_scorer
 from creditloom.operators.woe import WoeModel
 from creditloom.plans.session import materialize, scratch_path
 from creditloom.streaming.scoring import score_stream as run_stream
@@ -136,6 +137,13 @@ def score_given(v: Views) -> DataFrame:
     return rounded_scores(J.score_job(v.messy, given_scorer(v, v.messy), keep=["application_id"]))
 
 
+@query("score_saved", SCORED_SQL)
+def score_saved(v: Views) -> DataFrame:
+    path = scratch_path(v.spark, "scorer")
+    save_scorer(v.spark, given_scorer(v, v.messy), path)
+    return rounded_scores(J.score_job(v.messy, load_scorer(v.spark, path), keep=["application_id"]))
+
+
 @query("score_stream", SCORED_SQL)
 def score_stream(v: Views) -> DataFrame:
     scorer = given_scorer(v, v.messy)
