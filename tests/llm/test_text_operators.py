@@ -225,6 +225,22 @@ def test_licences(spark, empty):
     assert licence_query(empty).count() == 0
 
 
+def test_licences_of_every_template_alone_and_inside_lines(spark):
+    from creditloom.llm.licenses import TEMPLATES, licence_query
+
+    texts, want = [" ".join(words(i, 12)) for i in range(60)] + [" ".join(words(i, 90)) for i in range(60)], {}
+    for family, templates in TEMPLATES.items():
+        for t in templates:
+            for before, after in [(0, 0), (5, 0), (20, 0), (40, 0), (17, 30), (200, 3), (0, 60)]:
+                texts.append(" ".join([*words(before, before), t, *words(after + 1, after)]))
+                want[len(texts)] = (1, family)
+    texts += ["All rights reserved.", "tail " * 50 + "All rights reserved.", "Released under the MIT License. " + " ".join(words(4, 9)) + " Licensed under CC BY 4.0."]
+    want |= {len(texts) - 2: (1, "proprietary"), len(texts) - 1: (1, "proprietary"), len(texts): (2, "cc-by,mit")}
+    texts += ["the film was released under the title of the work", "it is subject to the terms of the house, and you may not use this file"]
+    got = {r.doc_id: (r.n_licences, r.families) for r in licence_query(spark.createDataFrame(rows(texts), DOC)).collect()}
+    assert {k: (got[k], texts[k - 1]) for k in got if got[k] != want.get(k, (0, ""))} == {}
+
+
 SF = "/root/testdata/sf0.001"
 
 
