@@ -1,7 +1,8 @@
 """Shared pieces of the text operators: Arrow batches, vectorised words, scratch tables.
 
-Rows are told apart by ``row_key``: the document id and a hash of the text, so repeated ids with other
-texts stay separate rows and identical rows count once and share their result.  A null id sorts first.
+Rows are told apart by ``row_key``: the document id and a 64-bit hash of the text, so repeated ids with other
+texts stay separate rows and identical rows count once and share their result.  Null and empty text differ.
+A null id sorts first.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 U64 = np.uint64
 NULL_ID = -(2**63)
+#: The text key of a null text.
+NULL_TEXT = -(2**63)
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 2_000_000
@@ -144,5 +147,5 @@ def row_key(id_column: str, text: str):
     """Columns that order and identify rows."""
     return (
         F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("k_id"),
-        F.hash(F.coalesce(F.col(text), F.lit(""))).alias("k_text"),
+        F.when(F.col(text).isNull(), F.lit(NULL_TEXT)).otherwise(F.xxhash64(text)).alias("k_text"),
     )

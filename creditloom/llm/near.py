@@ -206,7 +206,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     counts, documents = frequencies(keyed.select("text"))
     shared = spark.sparkContext.broadcast(rarity(counts, documents))
     signed = materialize(
-        keyed.mapInArrow(_signatures(shared), "k_id long, k_text int, c1 long, c2 long, some boolean, bands array<long>"), "signed"
+        keyed.mapInArrow(_signatures(shared), "k_id long, k_text long, c1 long, c2 long, some boolean, bands array<long>"), "signed"
     )
     node = F.concat_ws(":", "k_id", "k_text")
     equal = signed.filter("some").groupBy("c1", "c2").agg(

@@ -77,7 +77,7 @@ def factors(column: pa.Array, size: int = SIZE, anchor: int = ANCHOR):
     return row, start - first[row], count, grams[place], whole
 
 
-_FACTOR = "a long, h long, k_id long, k_text int, start int, windows int, settled boolean"
+_FACTOR = "a long, h long, k_id long, k_text long, start int, windows int, settled boolean"
 
 
 def _parse(batches):
@@ -177,7 +177,7 @@ def duplicate_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         keyed.dropDuplicates(["k_id", "k_text"])
         .join(to_compare, ["k_id", "k_text"])
         .select("k_id", "k_text", "text", "blocks")
-        .mapInArrow(_compare_windows, "v long, w long, k_id long, k_text int, start int"),
+        .mapInArrow(_compare_windows, "v long, w long, k_id long, k_text long, start int"),
         "windows",
     )
     order = F.struct("k_id", "start", "k_text")

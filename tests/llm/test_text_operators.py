@@ -241,6 +241,25 @@ def test_licences_of_every_template_alone_and_inside_lines(spark):
     assert {k: (got[k], texts[k - 1]) for k in got if got[k] != want.get(k, (0, ""))} == {}
 
 
+def test_texts_of_one_id_with_equal_32_bit_hashes_stay_apart(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from creditloom.llm.common import row_key
+
+    tail = " ".join(words(1, 40))
+    made = spark.range(300_000).select(F.concat(F.lit(tail + " "), F.col("id").cast("string"), F.lit(" end")).alias("text"))
+    twins = made.groupBy(F.hash("text")).agg(F.collect_list("text").alias("t")).filter("size(t) > 1").first().t[:2]
+    both = spark.createDataFrame([(None, twins[0]), (None, twins[1]), (None, None), (None, ""), (None, twins[0])], "doc_id long, text string")
+    assert both.select(*row_key("doc_id", "text")).distinct().count() == 4
+    assert both.select(F.hash(F.coalesce("text", F.lit("")))).distinct().count() == 2
+    # Unlike texts of equal keys would lose one of them here.
+    plain = spark.range(300_000).select(F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(" "), F.sha2(F.concat(F.lit("x"), F.col("id").cast("string")), 256)).alias("text"))
+    unlike = plain.groupBy(F.hash("text")).agg(F.collect_list("text").alias("t")).filter("size(t) > 1").first().t[:2]
+    docs = spark.createDataFrame([(None, t) for t in unlike], "doc_id long, text string")
+    assert {r.text for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()} == set(unlike)
+
+
 SF = "/root/testdata/sf0.001"
 
 
