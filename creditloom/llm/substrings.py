@@ -1,8 +1,8 @@
-"""Removal of repeated passages by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Removal of repeated passages by winnowing: equal runs of windows by hash, the rest window by window.
 
-Every text is parsed into factors: stretches of consecutive windows of ``size`` words that share their
+Every text is cut into factors: stretches of consecutive windows of ``size`` words that share their
 anchor, the least hash among the runs of ``ANCHOR`` words of a window.  Equal windows have the same anchor
-at the same place, so a repeated passage is parsed alike wherever it stands, and every window lies in one
+at the same place, so a repeated passage is cut alike wherever it stands, and every window lies in one
 factor.  The index holds each distinct factor at its earliest place, the reference block.
 
 * A factor equal to a reference block is a duplicate span as a whole.
