@@ -1,12 +1,15 @@
-"""The registered queries of the ten operators, each over its whole table."""
+"""The registered queries of the operators, each over its whole table."""
 
 from __future__ import annotations
 
+from creditloom.llm.chats import chats_query
 from creditloom.llm.decontaminate import contamination_query
 from creditloom.llm.licenses import licence_query
 from creditloom.llm.lines import lines_query
 from creditloom.llm.near import near_query
 from creditloom.llm.pack import pack
+from creditloom.llm.periods import runs_query
+from creditloom.llm.phrases import phrases
 from creditloom.llm.quality import quality_query
 from creditloom.llm.rules import BOILERPLATE, MENU, rules_query
 from creditloom.llm.scratch import table
@@ -202,3 +205,74 @@ from docs d left join per_doc p on d.doc_id = p.doc_id""",
 )
 def op1_line_dedup(spark, sf_dir):
     return lines_query(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_chat_formatting",
+    r"""
+with rows as (
+  select conv_id, turn, role, text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+turns as (select *, coalesce(role, '') as r, coalesce(text, '') as t from rows),
+escaped as (
+  select *, replace(r, '\', '\\') as r1, replace(t, '\', '\\') as t1 from turns),
+sized as (
+  select *, length(r1) + length(t1) + length('<|turn|><|text|><|end|>')
+    + (select sum((length(r1) - length(replace(r1, c, '')) + length(t1) - length(replace(t1, c, ''))) // length(c)) from
+       (select unnest(['<|turn|>', '<|text|>', '<|end|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<|im_start|>',
+        '<|im_end|>', '<|endoftext|>', '<|eot_id|>']) as c)) as chars
+  from escaped)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn nulls first, role nulls first, text nulls first)) as turns_sha256,
+  cast(coalesce(sum(length(t)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(t, '' order by turn nulls first, role nulls first, text nulls first) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars) as bigint) as formatted_chars
+from sized group by conv_id
+""",
+)
+def op11_chat_formatting(spark, sf_dir):
+    return chats_query(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op12_phrase_collocations",
+    r"""
+with words as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents)),
+counted as (
+  select lang, k, phrase, count(*) as f from (
+    select lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) as phrase
+    from words, (select unnest(range(1, 6)) as k) where len(w) >= k)
+  group by all having k = 1 or count(*) >= 100),
+totals as (select lang, sum(f)::hugeint as n from counted where k = 1 group by lang),
+longer as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from counted where k > 1),
+inside as (
+  select lang, part, max(a) as most from (
+    select lang, a, array_to_string(w[:k - 1], ' ') as part from longer where k > 2
+    union all select lang, a, array_to_string(w[2:], ' ') from longer where k > 2)
+  group by all),
+cuts as (
+  select l.lang, l.phrase, l.a, l.c, x.f as l, y.f as r, (1000 * l.a::hugeint * n) // (x.f::hugeint * y.f) as score
+  from (select *, unnest(range(1, k)) as c from longer) l
+  join counted x on x.lang = l.lang and x.phrase = array_to_string(l.w[:l.c], ' ')
+  join counted y on y.lang = l.lang and y.phrase = array_to_string(l.w[l.c + 1:], ' ')
+  join totals t on t.lang = l.lang),
+best as (select *, row_number() over (partition by lang, phrase order by score, c) as place from cuts),
+ranked as (
+  select b.*, row_number() over (partition by b.lang order by b.score desc, b.a desc, b.phrase) as rank
+  from best b left join inside i on i.lang = b.lang and i.part = b.phrase
+  where place = 1 and (i.most is null or i.most < b.a))
+select r.lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked r join totals t on t.lang = r.lang where rank <= 2000
+""",
+)
+def op12_phrase_collocations(spark, sf_dir):
+    return phrases(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    return runs_query(table(spark, sf_dir, "documents"))
