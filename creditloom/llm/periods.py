@@ -38,11 +38,13 @@ RUN = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length",
 
 def word_array(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The words as a string array; spans are in order and do not overlap."""
-    sizes = ends - starts
     offsets = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(sizes, out=offsets[1:])
-    places = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
-    return pa.Array.from_buffers(pa.large_utf8(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[places]))])
+    np.cumsum(ends - starts, out=offsets[1:])
+    inside = np.zeros(len(raw) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    letters = raw[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    return pa.Array.from_buffers(pa.large_utf8(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
 
 
 def numbered(keys: np.ndarray) -> np.ndarray:

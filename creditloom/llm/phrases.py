@@ -3,8 +3,8 @@
 Each prefix keys a stripe, an associative counter of the words that follow it.  A pass over the texts makes the
 stripes of all frequent prefixes of one length, summed up in the task before they are shuffled; equal keys are
 merged elementwise, and one merged stripe gives three things: its extensions (the entries frequent enough are the
-phrases one word longer), the prefix's total (its entries and the occurrences that end a piece or go on rarely), and
-the largest extension, which subsumes the prefix if it is as frequent.  The stripe of the empty prefix counts single words, so there
+phrases one word longer, and their counts the totals of the next prefixes), the total of a group in the stripe of its
+empty prefix, and the largest extension, which subsumes the prefix if it is as frequent.  The empty prefix counts single words, so there
 are ``longest`` passes.
 
 A phrase is frequent only if both its parts without the last and without the first word are.  The passes know the
@@ -13,10 +13,11 @@ their number; a hash that is set by chance makes a needless entry, no wrong coun
 phrases of one length the table fills up and leaves out less, with the same result.  Words and phrases are counted exactly:
 in a task by dictionary codes and numbered pairs, in the merge by their text.
 
-The stripe of a prefix that makes up 1 / ``HOT`` of all words or more, and that of the empty prefix, is
-cut by its next words into ``SHARDS`` rows of the shuffle; by their share there are at most ``HOT`` such prefixes.  A task
-sends a prefix once for each ``CHUNK`` bytes of text, however often it occurs there.  The merge reads sorted rows
-and holds one stripe at a time.  Whole phrases are only handled once they are frequent.
+Stripes travel in buckets, one for about ``BUCKET_WORDS`` words of the whole corpus: a row holds those stripes of a task
+that fall into one bucket.  A stripe has its bucket by the hash of its prefix; that of a prefix that makes up 1 / ``HOT`` of
+all words or more is dealt over ``SHARDS`` buckets by its next words, that of the empty prefix over all.  By
+their share there are at most ``HOT`` such prefixes.  A task sends an entry once for each ``CHUNK`` bytes of text, however
+often it occurs there.  The merge reads sorted rows and holds one bucket at a time.
 
 A group is a value of the group column, null is ``und``.  Null and empty texts have no words.  Repeated ids and
 rows count each; an empty table gives no phrases.  Phrases are ranked by score, count and UTF-8 bytes, so there are no ties.
@@ -28,7 +29,6 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
@@ -42,10 +42,13 @@ LONGEST = 5
 TOP = 2000
 
 #: Bytes of text whose stripes are summed up in a task before they are sent.
-CHUNK = 16_000_000
-#: A prefix with this share of all words has its stripe cut into shards.
+CHUNK = 12_000_000
+#: A prefix with this share of all words has its stripe dealt over several buckets.
 HOT = 256
-SHARDS = 256
+SHARDS = 64
+#: Words of the corpus to a bucket, and the buckets there are at least.
+BUCKET_WORDS = 2**18
+LEAST_BUCKETS = 1024
 #: Bits for each frequent phrase, and the bounds of the table as powers of two.
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 30
 
@@ -54,7 +57,9 @@ _CUTS, _BREAKS = delimiter_table(BLANKS + BREAKS), delimiter_table(BREAKS)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-_STRIPE = "lang string, prefix string, shard int, nexts array<string>, counts array<bigint>, rest bigint"
+#: Stripes on their way: prefixes by lines, their next words by lines and spaces, and 32-bit counts.
+_STRIPE = "lang string, bucket int, prefixes string, nexts string, counts binary"
+_KEYS = ["lang", "bucket"]
 _MERGED = "lang string, prefix string, total bigint, nexts array<string>, counts array<bigint>, hashes array<bigint>"
 _SALTS = 64
 
@@ -96,7 +101,7 @@ def bits_of(level: DataFrame) -> Bits:
     return Bits(table, power)
 
 
-def chunk_stripes(groups: pa.Array, texts: pa.Array, k: int, bits: Bits | None, hot: set[tuple[str, str]]) -> pa.RecordBatch | None:
+def chunk_stripes(groups: pa.Array, texts: pa.Array, k: int, bits: Bits | None, hot: set[tuple[str, str]], buckets: int) -> pa.RecordBatch | None:
     """The stripes of all frequent prefixes of ``k`` words in some texts, summed up."""
     raw, borders = utf8(texts)
     raw = _LOWER[raw]
@@ -104,92 +109,105 @@ def chunk_stripes(groups: pa.Array, texts: pa.Array, k: int, bits: Bits | None,
     n = len(starts)
     if n == 0:
         return None
-    row = np.repeat(np.arange(len(texts)), np.diff(first))
-    breaks = np.cumsum(_BREAKS[raw])[starts]
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
+    breaks = np.cumsum(_BREAKS[raw], dtype=np.int32)[starts] if len(raw) < 2**31 else np.cumsum(_BREAKS[raw])[starts]
     # left: how many words a piece has from each word on.
     begins = np.r_[np.flatnonzero((np.diff(breaks) != 0) | (np.diff(row) != 0)) + 1, n]
-    left = begins[np.searchsorted(begins, np.arange(n), side="right")] - np.arange(n)
+    left = np.repeat(begins, np.diff(np.r_[0, begins])) - np.arange(n)
     coded = word_array(raw, starts, ends).dictionary_encode()
-    code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    del raw, starts, ends, breaks, begins
+    code, words = coded.indices.to_numpy(), coded.dictionary
     named = groups.cast(pa.large_string()).fill_null("und").dictionary_encode()
-    group = named.indices.to_numpy().astype(np.int64)[row]
+    group = named.indices.to_numpy()[row]
     word_hash = text_hashes(words)
-    size = len(words) + 1
+    size = len(words)
     if k == 0:
-        at, going_on = np.arange(n), np.ones(n, bool)
+        at = np.arange(n)
     else:
-        by_code, by_group = word_hash[code], text_hashes(named.dictionary)[group]
         whole = np.flatnonzero(left >= k)
-        hashes = gram_hashes(by_group[whole], [by_code[whole + j] for j in range(k)])
+        hashes = gram_hashes(text_hashes(named.dictionary)[group[whole]], [word_hash[code[whole + j]] for j in range(k)])
         frequent = np.zeros(n + 1, bool)
         frequent[whole] = bits(hashes)
-        at = np.flatnonzero(frequent)
-        going_on = (left[at] > k) & frequent[at + 1]
+        del whole, hashes
+        at = np.flatnonzero(frequent[:-1] & frequent[1:] & (left > k))
     if len(at) == 0:
         return None
+    del left
     prefix = numbered(group[at])
     for j in range(k):
         prefix = numbered(prefix * size + code[at + j])
-    following = np.zeros(len(at), np.int64)
-    following[going_on] = code[at[going_on] + k] + 1
-    entry, counts = np.unique(prefix * size + following, return_counts=True)
-    owner, word = entry // size, entry % size - 1
-    sample = np.zeros(owner.max() + 1, np.int64)
+    sample = np.zeros(prefix.max() + 1, np.int64)
     sample[prefix] = at
+    entry, counts = np.unique(prefix * size + code[at + k], return_counts=True)
+    del prefix, at
+    owner, word = entry // size, entry % size
     sample_group = named.dictionary.take(pa.array(group[sample]))
     columns = [words.take(pa.array(code[sample + j])) for j in range(k)]
     text = pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string())) if k else pa.array([""] * len(sample), pa.large_string())
-    # Entries that go on rarely or end a piece are the rest; a hot stripe is dealt out by its next words.
-    shard = np.zeros(len(entry), np.int64)
+    # A hot stripe is dealt out by its next words.
+    bucket = text_hashes(text)[owner]
     if k == 0:
-        is_hot = np.ones(len(sample), bool)
-    else:
-        is_hot = np.array([x in hot for x in zip(sample_group.to_pylist(), text.to_pylist())]) if hot else np.zeros(len(sample), bool)
-    dealt = is_hot[owner] & (word >= 0)
-    shard[dealt] = (word_hash[word[dealt]] % U64(SHARDS)).astype(np.int64)
-    order = np.lexsort((word, shard, owner))
-    owner, word, shard, counts = owner[order], word[order], shard[order], counts[order]
-    cut = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(shard) != 0)])
-    rest_at = word < 0
-    rest = np.add.reduceat(np.where(rest_at, counts, 0), cut)
-    kept = np.r_[0, np.cumsum(~rest_at)]
-    offsets = pa.array(np.r_[kept[cut], kept[-1]], pa.int32())
-    nexts = pa.ListArray.from_arrays(offsets, words.take(pa.array(word[~rest_at])).cast(pa.string()))
-    values = pa.ListArray.from_arrays(offsets, pa.array(counts[~rest_at], pa.int64()))
-    heads = pa.array(owner[cut])
-    keys = [sample_group.take(heads).cast(pa.string()), text.take(heads).cast(pa.string()), pa.array(shard[cut], pa.int32())]
-    return pa.RecordBatch.from_arrays([*keys, nexts, values, pa.array(rest, pa.int64())], names=["lang", "prefix", "shard", "nexts", "counts", "rest"])
+        bucket = word_hash[word]
+    elif hot:
+        dealt = np.array([x in hot for x in zip(sample_group.to_pylist(), text.to_pylist())])[owner]
+        bucket[dealt] += word_hash[word[dealt]] % U64(SHARDS)
+    bucket = (bucket % U64(buckets)).astype(np.int64)
+    lang = group[sample][owner]
+    order = np.lexsort((owner, bucket, lang))
+    owner, word, bucket, lang, counts = owner[order], word[order], bucket[order], lang[order], counts[order].astype(np.int32)
+    new_row = np.r_[True, (np.diff(bucket) != 0) | (np.diff(lang) != 0)]
+    new_stripe = np.flatnonzero(new_row | np.r_[True, np.diff(owner) != 0])
+    rows = np.flatnonzero(new_row)
+    stripes = np.r_[np.flatnonzero(new_row[new_stripe]), len(new_stripe)]
+    keys = [named.dictionary.take(pa.array(lang[rows])), pa.array(bucket[rows], pa.int32())]
+    nexts = _joined(words.take(pa.array(word)), np.r_[new_stripe, len(word)], " ")
+    places = pa.py_buffer((np.r_[rows, len(word)] * counts.itemsize).astype(np.int32))
+    numbers = pa.Array.from_buffers(pa.binary(), len(rows), [None, places, pa.py_buffer(counts)])
+    lines = [_joined(text.take(pa.array(owner[new_stripe])), stripes, "\n"), _joined(nexts, stripes, "\n")]
+    return pa.RecordBatch.from_arrays([keys[0].cast(pa.string()), keys[1], *(x.cast(pa.string()) for x in lines), numbers], names=[*_KEYS, "prefixes", "nexts", "counts"])
+
+
+def _joined(texts: pa.Array, borders: np.ndarray, by: str) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(borders, pa.int32()), texts), pa.scalar(by, texts.type))
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """One row per stripe: lang, bucket, prefix, next words and 64-bit counts."""
+    table = table.combine_chunks()
+    column = lambda name: table.column(name).combine_chunks()
+    prefixes, stripes = pc.split_pattern(column("prefixes"), "\n"), pc.split_pattern(column("nexts"), "\n")
+    nexts = pc.split_pattern(stripes.flatten(), " ")
+    raw = column("counts")
+    borders = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    counts = np.frombuffer(raw.buffers()[2], np.int32, (borders[-1] - borders[0]) // 4, borders[0]).astype(np.int64)
+    sizes = pc.list_value_length(nexts).to_numpy()
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(counts))
+    keys = table.select(_KEYS).take(pc.list_parent_indices(prefixes))
+    return pa.table([*keys.columns, prefixes.flatten(), nexts, lists], names=[*_KEYS, "prefix", "nexts", "counts"])
 
 
 def merge_stripes(table: pa.Table) -> pa.Table:
-    """Stripes of equal keys, which stand together, as one: counters are added word by word."""
+    """Stripes of one bucket, which stand together, merged prefix by prefix: counters are added word by word."""
     table = table.combine_chunks()
     changed = np.zeros(len(table), bool)
-    changed[0] = True
-    for name in ("lang", "prefix", "shard"):
+    for name in _KEYS:
         key = table.column(name)
         changed[1:] |= pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
-    group = np.cumsum(changed) - 1
+    coded = table.column("prefix").combine_chunks().dictionary_encode()
+    group = numbered(np.cumsum(changed) * len(coded.dictionary) + coded.indices.to_numpy())
     nexts, counts = table.column("nexts").combine_chunks(), table.column("counts").combine_chunks()
     coded = nexts.flatten().dictionary_encode()
-    size = len(coded.dictionary) + 1
-    sizes = pc.list_value_length(nexts).to_numpy()
-    entry = np.repeat(group, sizes) * size + coded.indices.to_numpy()
+    size = len(coded.dictionary)
+    entry = np.repeat(group, pc.list_value_length(nexts).to_numpy()) * size + coded.indices.to_numpy()
     order = np.argsort(entry, kind="stable")
     entry = entry[order]
-    begins = np.flatnonzero(np.r_[True, np.diff(entry) != 0]) if len(entry) else np.zeros(0, np.int64)
-    summed = np.add.reduceat(counts.flatten().to_numpy()[order], begins) if len(entry) else np.zeros(0, np.int64)
+    begins = np.flatnonzero(np.r_[True, np.diff(entry) != 0])
+    summed = np.add.reduceat(counts.flatten().to_numpy()[order], begins)
     owner, word = entry[begins] // size, entry[begins] % size
-    heads = np.flatnonzero(changed)
+    heads = np.flatnonzero(np.r_[True, np.diff(np.maximum.accumulate(group)) > 0])  # groups are numbered as they come
     offsets = pa.array(np.searchsorted(owner, np.arange(len(heads) + 1)), pa.int32())
-    rest = np.add.reduceat(table.column("rest").to_numpy(), heads)
-    keys = table.select(["lang", "prefix", "shard"]).take(pa.array(heads))
-    merged = [
-        pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(word))),
-        pa.ListArray.from_arrays(offsets, pa.array(summed, pa.int64())),
-        pa.array(rest, pa.int64()),
-    ]
-    return pa.table([*keys.columns, *merged], names=table.schema.names)
+    merged = [pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(word))), pa.ListArray.from_arrays(offsets, pa.array(summed, pa.int64()))]
+    return pa.table([*table.select([*_KEYS, "prefix"]).take(pa.array(heads)).columns, *merged], names=table.schema.names)
 
 
 def frequent_entries(merged: pa.Table, k: int, least: int) -> pa.RecordBatch:
@@ -198,7 +216,7 @@ def frequent_entries(merged: pa.Table, k: int, least: int) -> pa.RecordBatch:
     nexts, counts = merged.column("nexts").combine_chunks(), merged.column("counts").combine_chunks()
     values = counts.flatten().to_numpy()
     borders = np.r_[0, np.cumsum(pc.list_value_length(counts).to_numpy())]
-    total = np.diff(np.r_[0, np.cumsum(values)][borders]) + merged.column("rest").to_numpy()
+    total = np.diff(np.r_[0, np.cumsum(values)][borders])
     enough = values >= least
     offsets = pa.array(np.r_[0, np.cumsum(enough)][borders], pa.int32())
     words = nexts.flatten().filter(pa.array(enough))
@@ -218,7 +236,7 @@ def frequent_entries(merged: pa.Table, k: int, least: int) -> pa.RecordBatch:
     return out if k == 0 else out.filter(pa.array(np.diff(np.asarray(offsets)) > 0))
 
 
-def level(texts: DataFrame, k: int, bits: Bits | None, hot: set[tuple[str, str]], least: int) -> DataFrame:
+def level(texts: DataFrame, k: int, bits: Bits | None, hot: set[tuple[str, str]], buckets: int, least: int) -> DataFrame:
     """Merged stripes of the frequent prefixes of ``k`` words: total and frequent entries."""
     known = texts.sparkSession.sparkContext.broadcast((bits and (bits.table, bits.power), hot))
 
@@ -240,24 +258,27 @@ def level(texts: DataFrame, k: int, bits: Bits | None, hot: set[tuple[str, str]]
         if pending:
             table = pa.Table.from_batches(pending).combine_chunks()
             columns = [table.column(i).cast(pa.large_string()).combine_chunks() for i in (0, 1)]
-            out = chunk_stripes(columns[0], columns[1], k, found, hot_prefixes)
+            out = chunk_stripes(columns[0], columns[1], k, found, hot_prefixes, buckets)
             if out is not None:
-                for at in range(0, out.num_rows, 20_000):
-                    yield out.slice(at, 20_000)
+                for at in range(0, out.num_rows, 2_000):
+                    yield out.slice(at, 2_000)
 
     def merge(batches):
         carry = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = merge_stripes(table if carry is None else pa.concat_tables([carry, table]))
-            if len(table) > 1:
-                yield frequent_entries(table.slice(0, len(table) - 1), k, least)
-            carry = table.slice(len(table) - 1)
+            for at in range(0, batch.num_rows, 1_000):
+                table = unpacked(pa.Table.from_batches([batch.slice(at, 1_000)]))
+                table = merge_stripes(table if carry is None else pa.concat_tables([carry, table]))
+                last = [table.column(n)[len(table) - 1] for n in _KEYS]
+                open_ = pc.and_(*(pc.equal(table.column(n), x) for n, x in zip(_KEYS, last)))
+                done = table.filter(pc.invert(open_))
+                if len(done):
+                    yield frequent_entries(done, k, least)
+                carry = table.filter(open_)
         if carry is not None:
             yield frequent_entries(carry, k, least)
 
-    keys = ["lang", "prefix", "shard"]
-    dealt = texts.mapInArrow(count, _STRIPE).repartition(*keys).sortWithinPartitions(*keys)
+    dealt = texts.mapInArrow(count, _STRIPE).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     return materialize(dealt.mapInArrow(merge, _MERGED), f"stripes_{k}")
 
 
@@ -270,13 +291,14 @@ def phrases(
     floor(1000 * a * n / (l * r)).  A phrase in a longer one of the same count is left out.
     """
     texts = docs.select(F.col(group).cast("string").alias("lang"), F.col(text).alias("text"))
-    levels, hot, bits = [], set(), None
+    levels, hot, bits, buckets = [], set(), None, 4 * LEAST_BUCKETS
     for k in range(longest):
-        now = level(texts, k, bits, hot, least)
+        now = level(texts, k, bits, hot, buckets, least)
         levels.append(now)
         if k + 1 < longest:
             if k == 0:
                 everything = now.agg(F.sum("total")).first()[0] or 0
+                buckets = max(LEAST_BUCKETS, everything // BUCKET_WORDS)
             entries = _entries(now, k)
             share = -(-everything // HOT)
             hot = {(r.lang, r.phrase) for r in entries.filter(F.col("f") >= max(share, 1)).select("lang", "phrase").collect()}  # at most HOT rows
