@@ -75,13 +75,15 @@ def _ranks(tokenizer_json: dict) -> dict[bytes, int] | None:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, or only their number.
 
-    The tokenizers library encodes what is rare: whole texts with special strings and pieces with
+    The tokenizers library encodes what is rare: whole texts with special strings, very long pieces and pieces with
     characters beyond the Latin blocks.  The many other pieces go through tiktoken with the ranks of the same
     file, which gives the same ids several times faster; a file of another kind uses the one library only.
     """
 
     #: Below this code point both libraries class letters, digits and marks alike.
     SAME_CLASSES = 0x250
+    #: Longer pieces go to the tokenizers library: tiktoken overflows its stack on a run of a million blanks.
+    LONG_PIECE = 10_000
 
     def __init__(self, path: str | None = None, lengths_only: bool = False):
         import tiktoken
@@ -110,7 +112,7 @@ class Encoder:
             rare = list(pieces)
         else:
             form, encode, top = self._form, self.quick.encode_ordinary, chr(self.SAME_CLASSES)
-            rare = [p for p in pieces if max(p) >= top]
+            rare = [p for p in pieces if len(p) > self.LONG_PIECE or max(p) >= top]
             self.known.update((p, form(encode(p))) for p in pieces.difference(rare))
         self.known.update(zip(rare, self._whole(rare)))
 

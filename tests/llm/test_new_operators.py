@@ -270,3 +270,18 @@ def test_conversations_read_back(spark, part):
         assert (r.n_turns, r.loss_chars, r.formatted_chars) == (len(said), len(learnt), len(formatted[r.tree]))
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in said).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(learnt.encode()).hexdigest()
+
+
+# Tokens of very long runs
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "a", "-", "\r\n \t"])
+def test_long_runs_have_the_library_s_ids(run):
+    from tokenizers import Tokenizer
+
+    from creditloom.llm.tokens import Encoder, default_tokenizer
+
+    text = "x" + run * 1_500_000 + "y"
+    want = Tokenizer.from_file(default_tokenizer()).encode(text, add_special_tokens=False).ids
+    assert Encoder().batch([text])[0] == np.array(want, "<u4").tobytes()
+    assert Encoder(lengths_only=True).batch([text])[0] == len(want)
