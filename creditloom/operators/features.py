@@ -128,10 +128,12 @@ class FeaturePlan:
         self.date = date if date in df.columns else None
         self.entity = entity if entity in df.columns else None
         self.tiebreak = list(tiebreak)
-        self.totals: dict[str, Column] = {}
+        # Name -> (statistic, what it is taken of).
+        self.totals: dict[str, tuple[str, Column]] = {}
         self.trailing: dict[str, tuple[Column, int]] = {}
         self.segments: dict[str, set[str]] = {}
         self.features: dict[str, Column] = {}
+        self.limits: dict[str, tuple[float, float]] = {}
         self.ordered_by = F.struct(
             *([F.col(self.date).isNull(), F.col(self.date)] if self.date else []), *[F.col(c) for c in self.tiebreak]
         )
@@ -142,10 +144,15 @@ class FeaturePlan:
     def num(self, name: str) -> Column:
         return as_double(self.df, name)
 
-    def total(self, key: str, agg: Column) -> Column:
-        self.totals[f"__t_{key}"] = agg
+    def total(self, key: str, stat: str, x: Column) -> Column:
+        self.totals[f"__t_{key}"] = (stat, x)
         return F.col(f"__t_{key}")
 
+    def aggregate(self, stat: str, x: Column) -> Column:
+        if stat in ("first", "last"):
+            return (F.min_by if stat == "first" else F.max_by)(x, self.ordered_by)
+        return AGGREGATES[stat](x)
+
     def roll(self, name: str, window: int) -> Column:
         key = f"__r_{name}_{window}"
         self.trailing[key] = (self.num(name), window)
@@ -164,7 +171,7 @@ class FeaturePlan:
         for col, stats in self.spec.numeric_aggregations.items():
             if self.has(col):
                 for s in stats:
-                    self.features[f"{col}_{s}_by_{self.entity}"] = self.total(f"{col}_{s}", AGGREGATES[s](self.num(col)))
+                    self.features[f"{col}_{s}_by_{self.entity}"] = self.total(f"{col}_{s}", s, self.num(col))
 
     def rolling(self, columns: Sequence[str] | None = None) -> None:
         if not (self.entity and self.date):
@@ -181,9 +188,9 @@ class FeaturePlan:
         for col in self.spec.trend_features:
             if self.has(col):
                 x = self.num(col)
-                first = self.total(f"{col}_first", F.min_by(x, self.ordered_by))
-                last = self.total(f"{col}_last", F.max_by(x, self.ordered_by))
-                several = self.total("rows", F.count(F.lit(1))) > 1
+                first = self.total(f"{col}_first", "first", x)
+                last = self.total(f"{col}_last", "last", x)
+                several = self.total("rows", "count", F.lit(1)) > 1
                 change = last - first
                 single = ~several  # NULL without an entity, so neither branch applies
                 self.features[f"{col}_delta"] = F.when(several, change).when(single, F.lit(0.0))
@@ -222,8 +229,8 @@ class FeaturePlan:
             return
         for col in self.spec.volatility_features:
             if self.has(col):
-                std = F.coalesce(self.total(f"{col}_std", F.stddev_samp(self.num(col))), F.lit(0.0))
-                mean = self.total(f"{col}_mean", F.avg(self.num(col)))
+                std = F.coalesce(self.total(f"{col}_std", "std", self.num(col)), F.lit(0.0))
+                mean = self.total(f"{col}_mean", "mean", self.num(col))
                 known = F.col(self.entity).isNotNull()
                 self.features[f"{col}_std"] = F.when(known, std)
                 self.features[f"{col}_cv"] = F.when(known, std / F.nullif(mean, F.lit(0.0)))
@@ -233,16 +240,16 @@ class FeaturePlan:
             return
         for col in self.spec.time_since_event_cols:
             if self.has(col):
-                latest = self.total("last_date", F.max(self.date))
-                event = self.total(f"{col}_when", F.max(F.when(self.num(col) > 0, F.col(self.date))))
+                latest = self.total("last_date", "max", F.col(self.date))
+                event = self.total(f"{col}_when", "max", F.when(self.num(col) > 0, F.col(self.date)))
                 self.features[f"time_since_{col}"] = F.timestamp_diff("DAY", event, latest)
 
     def active_loans(self) -> None:
         col = self.spec.active_loan_indicator
         if col and self.entity and self.has(col):
             status = F.lower(F.col(col).cast("string"))
-            active = self.total("active", F.sum(flag(status.isin(*ACTIVE_STATUSES))))
-            known = self.total("status", F.count(col))
+            active = self.total("active", "sum", flag(status.isin(*ACTIVE_STATUSES)))
+            known = self.total("status", "count", F.col(col))
             self.features["active_loans_count"] = active
             self.features["active_loans_share"] = active / F.nullif(known, F.lit(0))
 
@@ -275,6 +282,7 @@ class FeaturePlan:
         for q in sorted(set(todo.values())):
             names = [c for c, own in todo.items() if own == q]
             found |= {c: tuple(b) for c, b in quantile_map(self.df, names, q).items()}
+        self.limits = {c: found[c] for c in limits if c in found}
         for col in limits:
             if col in found:
                 self.features[f"{col}_winsor"] = clip(self.num(col), *found[col])
@@ -290,6 +298,17 @@ class FeaturePlan:
 
     # -- assembly ------------------------------------------------------------------------------------
 
+    def declare(
+        self, families: Sequence[str], rolling_columns: Sequence[str] | None = None, bounds: dict[str, tuple[float, float]] | None = None
+    ) -> None:
+        for family in families:
+            if family == "rolling":
+                self.rolling(rolling_columns)
+            elif family == "winsorized":
+                self.winsorized(bounds)
+            else:
+                getattr(self, family)()
+
     def run(self, limit_rows: int = DEFAULT_LIMIT) -> DataFrame:
         df = self.df
         if self.entity and (self.trailing or self.totals):
@@ -305,17 +324,20 @@ class FeaturePlan:
                 totals = (
                     df.filter(F.col(self.entity).isNotNull())
                     .groupBy(self.entity)
-                    .agg(*[c.alias(k) for k, c in self.totals.items()])
+                    .agg(*[self.aggregate(*t).alias(k) for k, t in self.totals.items()])
                 )
                 sliced.attach(totals)
             df = sliced.result()
-        for segment, values in self.segments.items():
-            means = (
-                self.df.filter(F.col(segment).isNotNull())
-                .groupBy(segment)
-                .agg(*[F.avg(self.num(v)).alias(f"__s_{segment}_{v}") for v in sorted(values)])
-            )
-            df = df.join(means, segment, "left")
+        for segment in self.segments:
+            df = df.join(self.segment_means(segment), segment, "left")
+        return self.finish(df)
+
+    def segment_means(self, segment: str) -> DataFrame:
+        known = self.df.filter(F.col(segment).isNotNull()).groupBy(segment)
+        return known.agg(*[F.avg(self.num(v)).alias(f"__s_{segment}_{v}") for v in sorted(self.segments[segment])])
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """The input columns and the features, once everything they need is a column of ``df``."""
         own = self.df.columns
         fresh = [
             (finite(c) if self._is_real(name) else c).alias(name)
@@ -359,24 +381,19 @@ def build_features(
     rolling_columns: Sequence[str] | None = None,
     bounds: dict[str, tuple[float, float]] | None = None,
     limit_rows: int = DEFAULT_LIMIT,
+    cuts: dict[str, float | None] | None = None,
 ) -> DataFrame:
     """The input columns plus every feature whose inputs exist.
 
-    ``tiebreak`` names columns that order rows of one entity and date; ``bounds`` passes winsor limits
-    fitted elsewhere (for example on the training rows) instead of this frame's own quantiles.
+    ``tiebreak`` names columns that order rows of one entity and date; ``bounds`` passes winsor limits and
+    ``cuts`` rule cuts fitted elsewhere (for example on the training rows) instead of this frame's own quantiles.
     """
     if not isinstance(spec, FeatureSpec):
         spec = FeatureSpec.from_config(spec)
     plan = FeaturePlan(df, spec, date, entity, tiebreak)
-    for family in families:
-        if family == "rolling":
-            plan.rolling(rolling_columns)
-        elif family == "winsorized":
-            plan.winsorized(bounds)
-        else:
-            getattr(plan, family)()
+    plan.declare(families, rolling_columns, bounds)
     if detection:
-        plan.features |= detection_features(df)
+        plan.features |= detection_features(df, cuts)
     return plan.run(limit_rows)
 
 

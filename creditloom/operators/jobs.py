@@ -19,7 +19,8 @@ from creditloom.operators import models as L
 from creditloom.operators.diagnostics import SelectionConfig, diagnose
 from creditloom.operators.drift import psi
 from creditloom.operators.fairness import fairness_report
-from creditloom.operators.features import FeatureSpec, build_features, interaction_candidates, smart_interactions
+from creditloom.operators.factory import FactoryState, apply_factory, fit_factory
+from creditloom.operators.features import FAMILIES, FeaturePlan, FeatureSpec, build_features, interaction_candidates, smart_interactions
 from creditloom.operators.history import (
     HistoryConfig,
     customer_summary,
@@ -30,9 +31,11 @@ from creditloom.operators.history import (
 )
 from creditloom.operators.joins import left_merge, merge_coverage
 from creditloom.operators.prep import PrepConfig, PrepModel, fit_prep
+from creditloom.operators.rules import needs_cuts
 from creditloom.operators.splits import split_by_time
 from creditloom.operators.stats import all_null_columns
 from creditloom.plans.session import materialize
+from creditloom.sources.readers import SourceConfig, load_master, read_dataset, write_output
 
 
 def align_frames(frames: dict[str, DataFrame], columns: Sequence[str] | None = None) -> DataFrame:
@@ -160,10 +163,10 @@ class TrainConfig:
 
 @dataclass(frozen=True)
 class FeatureRecipe:
-    """How the training job made its inputs from raw rows; ``apply`` does the same to others.
+    """How the training job made its inputs from raw rows.
 
-    Statistics of a feature (segment means, winsor limits, rule cuts) are those of the rows given, as they are
-    those of each split in training.
+    ``fit`` learns the factory's state on the training rows, ``build`` makes their features, and ``apply`` makes those
+    of any other row from that state, so they don't depend on the rows that come along with it.
     """
 
     spec: FeatureSpec
@@ -176,8 +179,15 @@ class FeatureRecipe:
     strong: Sequence[str] = ()
     max_pairs: int = 20
 
-    def build(self, df: DataFrame) -> DataFrame:
-        extra = {} if self.families is None else {"families": self.families}
+    @property
+    def _families(self) -> Sequence[str]:
+        return FAMILIES if self.families is None else self.families
+
+    def fit(self, train: DataFrame) -> FactoryState:
+        return fit_factory(train, self.spec, self.date, self.entity, (self.application_id,), self._families, self.rolling_columns, self.detection)
+
+    def build(self, df: DataFrame, state: FactoryState | None = None) -> DataFrame:
+        """Features of the training rows; limits and cuts are those of ``state`` where it is there already."""
         return build_features(
             df,
             self.spec,
@@ -185,15 +195,33 @@ class FeatureRecipe:
             entity=self.entity,
             tiebreak=(self.application_id,),
             detection=self.detection,
+            families=self._families,
             rolling_columns=self.rolling_columns,
-            **extra,
+            bounds=state.limits if state else None,
+            cuts=state.cuts if state else None,
+        )
+
+    def build_from(self, df: DataFrame, state: FactoryState) -> DataFrame:
+        """Features of rows that come after the fit."""
+        return apply_factory(
+            df, state, self.spec, self.date, self.entity, (self.application_id,), self._families, self.rolling_columns, self.detection
         )
 
+    def depends_on_rows(self, df: DataFrame) -> bool:
+        """Whether a feature of a row needs anything but the row."""
+        plan = FeaturePlan(df, self.spec, self.date, self.entity, (self.application_id,))
+        bounds = dict.fromkeys(self.spec.winsorize, (0.0, 0.0))
+        plan.declare(self._families, self.rolling_columns, bounds)
+        return bool(plan.totals or plan.trailing or plan.segments or plan.limits or (self.detection and needs_cuts(df)))
+
     def pairs(self, features: DataFrame) -> dict[str, Column]:
         return smart_interactions(features, list(self.strong), self.max_pairs)
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        made = self.build(df)
+    def apply(self, df: DataFrame, state: FactoryState | None = None) -> DataFrame:
+        """Features and pairs.  Without a state only features of the row itself can be made."""
+        if state is None and self.depends_on_rows(df):
+            raise ValueError("features of other rows need the state that fit() learns")
+        made = self.build(df) if state is None else self.build_from(df, state)
         # Pairs with a feature that can't be built here are left out; the order of the others stays.
         gone = [c for c in self.strong if c not in made.columns]
         wide = made.select("*", *[F.lit(None).cast("double").alias(c) for c in gone])
@@ -213,6 +241,7 @@ class Scorer:
     scorecard: PointsScale
     derived: Sequence[str] = ()
     recipe: FeatureRecipe | None = None
+    factory: FactoryState | None = None
 
     def missing(self, df: DataFrame) -> list[str]:
         """Derived inputs that the frame lacks."""
@@ -251,13 +280,15 @@ def feature_recipe(cfg: TrainConfig) -> FeatureRecipe:
     )
 
 
-def feature_frame(master: DataFrame, cfg: TrainConfig) -> DataFrame:
-    """Splits by time and builds the features inside each split."""
+def feature_frame(master: DataFrame, cfg: TrainConfig) -> tuple[DataFrame, FactoryState]:
+    """Splits by time, fits the factory on the training split and builds the features of all; and the fitted state."""
     ready = master.filter(F.col(cfg.target).isNotNull() & F.col(cfg.date).isNotNull())
     marked = materialize(split_by_time(ready, cfg.date, cfg.train_end, cfg.valid_end, cfg.application_id), "master")
     recipe = feature_recipe(cfg)
-    frames = {name: recipe.build(marked.filter(F.col("split") == name)) for name in ("train", "valid", "oot")}
-    return materialize(align_frames(frames), "features")
+    train, valid, oot = (marked.filter(F.col("split") == name) for name in ("train", "valid", "oot"))
+    state = recipe.fit(train)
+    frames = {"train": recipe.build(train, state), "valid": recipe.build_from(valid, state), "oot": recipe.build_from(oot, state)}
+    return materialize(align_frames(frames), "features"), state
 
 
 def model_columns(df: DataFrame, cfg: TrainConfig) -> list[str]:
@@ -271,7 +302,7 @@ def model_columns(df: DataFrame, cfg: TrainConfig) -> list[str]:
 def train_job(master: DataFrame, cfg: TrainConfig) -> Training:
     """Features, checks, champion and challengers, blends, calibration and reports."""
     spark = master.sparkSession
-    frame = feature_frame(master, cfg)
+    frame, state = feature_frame(master, cfg)
     columns = model_columns(frame, cfg)
 
     def part(df: DataFrame, name: str) -> DataFrame:
@@ -327,7 +358,7 @@ def train_job(master: DataFrame, cfg: TrainConfig) -> Training:
     if cfg.calibrate:
         calibrator, fitted = calibrate.fit_best(scored_valid)
     derived = [c for c in L.model_inputs(production) if c not in master.columns]
-    scorer = Scorer(production, calibrator, cfg.scorecard, derived, recipe)
+    scorer = Scorer(production, calibrator, cfg.scorecard, derived, recipe, state)
     keep = ["split", cfg.application_id, cfg.date, cfg.target]
     predictions = materialize(scorer.score(part(narrow, "valid").unionByName(oot)).select(*keep, "pd", "score"), "predictions")
     after = M.metric_report(predictions.select("split", F.col(cfg.target).cast("int").alias("y"), F.col("pd").alias("p")), keys=["split"])
@@ -369,11 +400,45 @@ def score_job(df: DataFrame, scorer: Scorer, keep: Sequence[str] = ()) -> DataFr
 
 
 def score_raw(df: DataFrame, scorer: Scorer, keep: Sequence[str] = (), allow_missing: bool = False) -> DataFrame:
-    """Batch scores of raw rows: features and pairs are built as in training, then scored."""
-    made = scorer.recipe.apply(df) if scorer.recipe else df
+    """Batch scores of raw rows: features and pairs are built from the fitted state, so a row scores alone as in any batch."""
+    made = scorer.recipe.apply(df, scorer.factory) if scorer.recipe else df
     return scorer.score(made, allow_missing).select(*keep, "pd", "score")
 
 
+def score_sources(
+    spark: SparkSession,
+    cfg: SourceConfig,
+    scorer: Scorer,
+    output: str | None = None,
+    history: HistoryConfig | None = None,
+    evaluation: bool = True,
+    keep: Sequence[str] | None = None,
+    allow_missing: bool = False,
+) -> DataFrame:
+    """Scores source files: master table, history block (where ``history`` is given), features, pairs, model and score.
+
+    Rows without a date are left out.  The result holds ``keep`` (by default the ids, the date and the model's inputs
+    that are there) with ``pd`` and ``score``; ``output`` writes it by its suffix.
+    """
+    master, past = load_master(spark, cfg, evaluation)
+    recipe = scorer.recipe
+    if history is not None and past is not None:
+        block = history_features(past, master, history)
+        taken = set(master.columns) - {history.application_id}
+        master = master.join(block.select(*[c for c in block.columns if c not in taken]), history.application_id, "left")
+    if cfg.date in master.columns:
+        master = master.filter(F.col(cfg.date).isNotNull())
+    made = recipe.apply(master, scorer.factory) if recipe else master
+    if keep is None:
+        first = [cfg.id_col, recipe.application_id if recipe else "application_id", cfg.date]
+        keep = [c for c in dict.fromkeys([*first, *L.model_inputs(scorer.model)]) if c in made.columns]
+    scored = scorer.score(made, allow_missing).select(*keep, "pd", "score")
+    if output is None:
+        return scored
+    write_output(scored, output)
+    return read_dataset(spark, output)
+
+
 def evaluate_job(
     predictions: DataFrame, target: str, pred: str = "pd", score: str | None = "score", sensitive: Sequence[str] = (), bins: int = 10
 ) -> DataFrame:

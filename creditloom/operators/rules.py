@@ -45,29 +45,45 @@ def detection_roles(columns: list[str]) -> dict[str, str]:
     return found
 
 
-def detection_features(df: DataFrame, cuts: dict[str, float] | None = None) -> dict[str, Column]:
-    """Rule columns for every rule whose inputs exist.
-
-    ``cuts`` may carry fitted ``income_q30``, ``support_median`` and ``login_median``; otherwise they are
-    taken from this frame.
-    """
+def _inputs(df: DataFrame) -> tuple[dict[str, str], dict[str, Column], dict[str, Column]]:
+    """Columns by role, their numbers, and those that count as 0 where they are missing."""
     role = detection_roles(df.columns)
-    cuts = dict(cuts or {})
     raw = {r: as_double(df, c) for r, c in role.items()}
-    zero = {r: F.coalesce(raw[r], F.lit(0.0)) for r in ("delinq", "util", "support", "login", "collection") if r in raw}
+    return role, raw, {r: F.coalesce(raw[r], F.lit(0.0)) for r in ("delinq", "util", "support", "login", "collection") if r in raw}
 
-    def given(*roles: str) -> bool:
-        return all(r in role for r in roles)
 
+def detection_cuts(df: DataFrame, known: dict[str, float | None] | None = None) -> dict[str, float | None]:
+    """``income_q30``, ``support_median`` and ``login_median`` of this frame as far as its rules need them; ``known`` ones are kept."""
+    role, raw, zero = _inputs(df)
+    cuts = dict(known or {})
     fitted: dict[str, tuple[Column, int]] = {}
-    if given("income", "dti"):
+    if "income" in role and "dti" in role:
         fitted["income_q30"] = (raw["income"], 0)
-    if given("support", "login"):
+    if "support" in role and "login" in role:
         fitted |= {"support_median": (zero["support"], 1), "login_median": (zero["login"], 1)}
     todo = [name for name in fitted if name not in cuts]
     if todo:
         found = quantile_map(df.select(*[fitted[n][0].alias(n) for n in todo]), todo, [0.3, 0.5])
         cuts |= {n: found[n][fitted[n][1]] if n in found else None for n in todo}
+    return cuts
+
+
+def needs_cuts(df: DataFrame) -> bool:
+    role = detection_roles(df.columns)
+    return ("income" in role and "dti" in role) or ("support" in role and "login" in role)
+
+
+def detection_features(df: DataFrame, cuts: dict[str, float | None] | None = None) -> dict[str, Column]:
+    """Rule columns for every rule whose inputs exist.
+
+    ``cuts`` may carry fitted ``income_q30``, ``support_median`` and ``login_median``; otherwise they are
+    taken from this frame.
+    """
+    role, raw, zero = _inputs(df)
+    cuts = {n: None if c is None else float(c) for n, c in detection_cuts(df, cuts).items()}
+
+    def given(*roles: str) -> bool:
+        return all(r in role for r in roles)
 
     score, dti, income, age, job = (raw.get(r) for r in ("score", "dti", "income", "age", "job"))
     out: dict[str, Column] = {}
@@ -104,8 +120,8 @@ def detection_features(df: DataFrame, cuts: dict[str, float] | None = None) -> d
         out["extreme_dti"] = flag(dti > 0.85)
         out["dti_danger_zone"] = flag((dti > 0.6) & (dti <= 0.85))
     if given("support", "login"):
-        busy = zero["support"] > cuts["support_median"] * 1.5
-        absent = zero["login"] < cuts["login_median"] * 0.5
+        busy = zero["support"] > F.lit(cuts["support_median"]).cast("double") * 1.5
+        absent = zero["login"] < F.lit(cuts["login_median"]).cast("double") * 0.5
         out["support_intensive_low_engagement"] = flag(busy & absent)
     if given("unemployment", "income", "area_income"):
         out["regional_economic_stress"] = flag((raw["unemployment"] > 0.08) & (income < raw["area_income"]))

@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 
 from creditloom.functions.scorecard import PointsScale
 from creditloom.operators.calibrate import Calibrator
+from creditloom.operators.factory import FactoryState
 from creditloom.operators.features import BehavioralFlag, EventMarker, FeatureSpec
 from creditloom.operators.jobs import FeatureRecipe, Scorer
 from creditloom.operators.models import Champion, Ensemble, Stacking, TrainedModel, TreeModel
@@ -58,6 +59,22 @@ def _spec_from(state: dict) -> FeatureSpec:
     return FeatureSpec(**{**state, "event_markers": marks, "behavioral_flags": flags})
 
 
+def _factory_state(state: FactoryState, path: str) -> dict:
+    """Segment means and entity states go to tables, which may be large."""
+    names = sorted(state.segments)
+    for i, name in enumerate(names):
+        state.segments[name].write.mode("overwrite").parquet(f"{path}/segment_{i}")
+    if state.entities is not None:
+        state.entities.write.mode("overwrite").parquet(f"{path}/entities")
+    return {"limits": state.limits, "cuts": state.cuts, "segments": names, "entities": state.entities is not None}
+
+
+def _factory_from(spark: SparkSession, state: dict, path: str) -> FactoryState:
+    segments = {name: spark.read.parquet(f"{path}/segment_{i}") for i, name in enumerate(state["segments"])}
+    entities = spark.read.parquet(f"{path}/entities") if state["entities"] else None
+    return FactoryState({c: tuple(b) for c, b in state["limits"].items()}, state["cuts"], segments, entities)
+
+
 def save_scorer(spark: SparkSession, scorer: Scorer, path: str) -> None:
     path = path.rstrip("/")
     c = scorer.calibrator
@@ -69,6 +86,7 @@ def save_scorer(spark: SparkSession, scorer: Scorer, path: str) -> None:
         "scale": asdict(scorer.scorecard),
         "derived": list(scorer.derived),
         "recipe": asdict(scorer.recipe) if scorer.recipe else None,
+        "factory": _factory_state(scorer.factory, f"{path}/factory") if scorer.factory else None,
     }
     spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/scorer")
 
@@ -82,4 +100,5 @@ def load_scorer(spark: SparkSession, path: str) -> Scorer:
         c = Calibrator(**c, isotonic=steps)
     if recipe:
         recipe = FeatureRecipe(**{**recipe, "spec": _spec_from(recipe["spec"])})
-    return Scorer(_model_from(state["model"], f"{path}/model"), c, PointsScale(**state["scale"]), tuple(state["derived"]), recipe)
+    factory = _factory_from(spark, state["factory"], f"{path}/factory") if state.get("factory") else None
+    return Scorer(_model_from(state["model"], f"{path}/model"), c, PointsScale(**state["scale"]), tuple(state["derived"]), recipe, factory)

@@ -4,7 +4,7 @@ import importlib
 
 from creditloom.workload.base import ORACLES, QUERIES
 
-MODULES = ("history", "joins", "features", "prep", "ranking", "diagnostics", "ingest", "models", "jobs")
+MODULES = ("history", "joins", "features", "prep", "ranking", "diagnostics", "ingest", "models", "jobs", "fitted")
 
 
 def _load() -> None:
