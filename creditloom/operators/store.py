@@ -10,7 +10,6 @@ import json
 from dataclasses import asdict
 
 from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import SparkSession
 
 from creditloom.functions.scorecard import PointsScale
@@ -78,11 +77,9 @@ def _factory_from(spark: SparkSession, state: dict, path: str) -> FactoryState:
 def save_scorer(spark: SparkSession, scorer: Scorer, path: str) -> None:
     path = path.rstrip("/")
     c = scorer.calibrator
-    if c and c.isotonic:
-        c.isotonic.write().overwrite().save(f"{path}/isotonic")
     state = {
         "model": _model_state(scorer.model, f"{path}/model"),
-        "calibrator": {"method": c.method, "slope": c.slope, "intercept": c.intercept, "steps": bool(c.isotonic)} if c else None,
+        "calibrator": {"method": c.method, "slope": c.slope, "intercept": c.intercept, "steps": c.steps} if c else None,
         "scale": asdict(scorer.scorecard),
         "derived": list(scorer.derived),
         "recipe": asdict(scorer.recipe) if scorer.recipe else None,
@@ -96,8 +93,7 @@ def load_scorer(spark: SparkSession, path: str) -> Scorer:
     state = json.loads("".join(r[0] for r in spark.read.text(f"{path}/scorer").collect()))
     c, recipe = state["calibrator"], state["recipe"]
     if c:
-        steps = IsotonicRegressionModel.load(f"{path}/isotonic") if c.pop("steps") else None
-        c = Calibrator(**c, isotonic=steps)
+        c = Calibrator(**{**c, "steps": [tuple(x) for x in c["steps"]]})
     if recipe:
         recipe = FeatureRecipe(**{**recipe, "spec": _spec_from(recipe["spec"])})
     factory = _factory_from(spark, state["factory"], f"{path}/factory") if state.get("factory") else None

@@ -150,10 +150,21 @@ def calibrate_platt(v: Views) -> DataFrame:
     return K.fit_platt(df, "y", "p3").apply(df, "p3", "calibrated").select("application_id", "p3", "calibrated")
 
 
-@query("calibrate_isotonic")
+# The increasing fit at a score is the largest, over lower starts, of the smallest mean over higher ends.
+ISOTONIC = """
+with pt as (select p3 as x, sum(y) as s, cast(count(*) as double) as n from {three_scores} t group by p3),
+cm as (select x, row_number() over (order by x) as i, sum(s) over (order by x) as cs, sum(n) over (order by x) as cn, s, n from pt),
+ab as (select a.i as a, b.i as b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) as m from cm a join cm b on b.i >= a.i),
+lo as (select a, b as i, min(m) over (partition by a order by b desc) as low from ab),
+fit as (select i, max(low) as value from lo group by i)
+select application_id, p3, round(value, 9) as calibrated from {three_scores} t join cm on t.p3 = cm.x join fit on fit.i = cm.i"""
+
+
+@query("calibrate_isotonic", ISOTONIC)
 def calibrate_isotonic(v: Views) -> DataFrame:
     df = v.three_scores
-    return K.fit_isotonic(df, "y", "p3").apply(df, "p3", "calibrated").select("application_id", "p3", "calibrated")
+    out = K.fit_isotonic(df, "y", "p3").apply(df, "p3", "calibrated")
+    return out.select("application_id", "p3", F.round("calibrated", 9).alias("calibrated"))
 
 
 @query("calibrate_best")
