@@ -34,6 +34,21 @@ def champion_reasons(model: Champion, df: DataFrame, keys: Sequence[str], top_k:
     return df.select(*keys, reason_codes(parts, top_k).alias("factors"))
 
 
+def explanation(model: Champion, df: DataFrame, keys: Sequence[str], top_k: int = 3) -> DataFrame:
+    """All that explains the champion in one table: its intercept, its coefficients, and the reason codes of every row.
+
+    Columns: section (``intercept``, ``coefficient``, ``reason``), the keys (null outside reasons), position (from 1; that
+    of a feature in the model or of a reason in its row), feature and value.
+    """
+    numbers = [("intercept", None, None, float(model.intercept))]
+    numbers += [("coefficient", i, c, float(b)) for i, (c, b) in enumerate(zip(model.features, model.coefficients), 1)]
+    fitted = df.sparkSession.createDataFrame(numbers, "section string, position int, feature string, value double")
+    none = [F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys]
+    reasons = champion_reasons(model, df, keys, top_k).select(*keys, F.posexplode("factors").alias("i", "f"))
+    coded = reasons.select(F.lit("reason").alias("section"), *keys, (F.col("i") + 1).alias("position"), "f.feature", F.col("f.contribution").alias("value"))
+    return fitted.select("section", *none, "position", "feature", "value").unionByName(coded)
+
+
 def scorecard_table(model: Champion, train: DataFrame, target: str, cfg: PointsScale = PointsScale(), min_samples: int = 50) -> DataFrame:
     """Points per bin: coefficient x factor next to the WOE table of the training rows."""
     edges = {c: model.woe.edges[c] for c in model.features}

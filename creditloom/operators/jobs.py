@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditloom.functions.clean import is_safe_feature, normalize_id, prepare_applications
+from creditloom.functions.clean import guess_dates, guess_targets, is_safe_feature, normalize_id, prepare_applications
 from creditloom.functions.expr import numeric_columns
 from creditloom.functions.scorecard import PointsScale
 from creditloom.operators import calibrate, explain
 from creditloom.operators import metrics as M
 from creditloom.operators import models as L
+from creditloom.operators import stats as S
 from creditloom.operators.diagnostics import SelectionConfig, diagnose
 from creditloom.operators.drift import psi
 from creditloom.operators.fairness import fairness_report
@@ -35,7 +36,8 @@ from creditloom.operators.rules import needs_cuts
 from creditloom.operators.splits import split_by_time
 from creditloom.operators.stats import all_null_columns
 from creditloom.plans.session import materialize
-from creditloom.sources.readers import SourceConfig, load_master, read_dataset, write_output
+from creditloom.sources.inventory import scan_folder
+from creditloom.sources.readers import SourceConfig, load_master, read_dataset, write_output, write_report
 
 
 def align_frames(frames: dict[str, DataFrame], columns: Sequence[str] | None = None) -> DataFrame:
@@ -462,6 +464,68 @@ def evaluate_job(
     return reduce(DataFrame.unionByName, parts)
 
 
+def export_explanation(model: L.Champion, df: DataFrame, keys: Sequence[str], path: str, top_k: int = 3) -> str:
+    """Intercept, coefficients and reason codes as JSON lines."""
+    return write_report(explain.explanation(model, df, keys, top_k), path)
+
+
+# -- exploration -----------------------------------------------------------------------------------------
+
+
+def eda_job(df: DataFrame, target: str | None = None, date: str | None = None, histograms: int = 4, bins: int = 30, days: int = 7) -> DataFrame:
+    """The tables of an exploration as ``(section, item, x, value, text)``.
+
+    ``describe`` has the statistics of every numeric and text column, ``target_candidate`` and ``date_candidate`` the columns whose names
+    suggest one, ``histogram`` the counts of the first numeric columns, ``trend`` the target's mean over the last days seen.
+    Without ``target`` and ``date`` the first candidates are taken (for the target only if it is a number).
+    """
+    numeric = numeric_columns(df)
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    targets, dates = guess_targets(df.columns), guess_dates(df.columns)
+    target = target or next((c for c in targets if c in numeric), None)
+    date = date or next(iter(dates), None)
+    none, blank = F.lit(None).cast("double"), F.lit(None).cast("string")
+    parts = []
+    if numeric or texts:
+        wide = S.describe(df, numeric, texts)
+        stats = ["count", "mean", "std", "min", "max", "p25", "p50", "p75", "unique", "freq"]
+        cells = [F.struct(F.lit(n).alias("stat"), F.col(n).cast("double").alias("value"), blank.alias("text")) for n in stats]
+        cells.append(F.struct(F.lit("top").alias("stat"), none.alias("value"), F.col("top").cast("string").alias("text")))
+        long = wide.select("column", F.inline(F.array(*cells))).filter("value is not null or text is not null")
+        parts.append(long.select(F.lit("describe").alias("section"), F.concat_ws(".", "column", "stat").alias("item"), none.alias("x"), "value", "text"))
+    named = [("target_candidate", c) for c in targets] + [("date_candidate", c) for c in dates]
+    if named:
+        found = df.sparkSession.createDataFrame(named, "section string, item string")
+        parts.append(found.select("section", "item", none.alias("x"), none.alias("value"), blank.alias("text")))
+    if numeric[:histograms]:
+        counts = S.histogram(df, numeric[:histograms], bins)
+        parts.append(
+            counts.select(
+                F.lit("histogram").alias("section"), F.col("feature").alias("item"), F.col("bin").cast("double").alias("x"),
+                F.col("n").cast("double").alias("value"), blank.alias("text"),
+            )
+        )
+    if target in df.columns and date in df.columns:
+        trend = S.target_trend(df, date, target, days)
+        parts.append(
+            trend.select(F.lit("trend").alias("section"), F.col("day").cast("string").alias("item"), F.col("rate").alias("x"), F.col("rolling_rate").alias("value"), blank.alias("text"))
+        )
+    if not parts:
+        raise ValueError("nothing to explore: no column")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def eda_folder(spark: SparkSession, folder: str, output: str, target: str | None = None, date: str | None = None, bins: int = 30) -> dict[str, str]:
+    """Inventory of a folder and exploration of its first readable dataset, as JSON lines below ``output``."""
+    found = materialize(scan_folder(spark, folder), "inventory")
+    base = output.rstrip("/")
+    first = found.filter("error is null").agg(F.min("path")).first()[0]
+    if first is None:
+        raise ValueError(f"no readable dataset below {folder}")
+    report = eda_job(materialize(read_dataset(spark, first), "explored"), target, date, bins=bins)
+    return {"inventory": write_report(found, f"{base}/inventory.jsonl"), "report": write_report(report, f"{base}/eda.jsonl"), "dataset": first}
+
+
 def save_scorer_metadata(spark: SparkSession, training: Training, path: str) -> None:
     """Report tables next to each other: metrics, drift, diagnostics, scorecard and reasons."""
     for name in ("metrics", "drift", "diagnostics", "scorecard", "reasons"):

@@ -111,6 +111,8 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFram
         cells.append(
             F.struct(F.lit(c).alias("feature"), bin_of(F.col(c).cast("double"), lo, hi, bins).alias("bin"))
         )
+    if not cells:
+        return df.sparkSession.createDataFrame([], "feature string, bin int, n bigint")
     long = df.select(F.inline(F.array(*cells))).filter(F.col("bin").isNotNull())
     return fill_bins(long.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")), ["feature"], bins)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditloom.functions.clean import guess_dates, guess_targets
-from creditloom.sources.readers import SUFFIXES, list_files, read_dataset, write_report
+from creditloom.plans.session import materialize
+from creditloom.sources.readers import SUFFIXES, file_profile, list_files, read_dataset, write_report
 
 LOG = logging.getLogger(__name__)
 BATCH = 12
@@ -55,38 +57,64 @@ def inventory(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def dataset_paths(spark: SparkSession, folder: str) -> list[str]:
-    """Readable files below a folder; a folder with a readable suffix (a partitioned table) is one dataset."""
+def _dataset_of(path: Column, folder: str) -> Column:
+    """The dataset a file belongs to: the file, or the folder with a readable suffix it lies in; null for other files."""
     root = folder.rstrip("/").split(":", 1)[-1] + "/"
-    at = F.instr("path", root) + len(root)
+    at = F.instr(path, root) + len(root)
     endings = "|".join(s[1:] for s in SUFFIXES)
+    rel = F.regexp_extract(F.substring(path, at, F.length(path)), rf"(?i)^(.*?\.(?:{endings}))(?:/.*)?$", 1)
+    return F.when(rel != "", F.concat(F.substring(path, F.lit(1), at - 1), rel))
+
+
+def dataset_paths(spark: SparkSession, folder: str) -> list[str]:
+    """Readable files below a folder; a folder with a readable suffix (a partitioned table) is one dataset."""
     # Part files are folded to their dataset before anything reaches the driver.
-    rel = F.regexp_extract(F.substring(F.col("path"), at, F.length("path")), rf"(?i)^(.*?\.(?:{endings}))(?:/.*)?$", 1)
-    names = (
-        list_files(spark, folder)
-        .select(F.substring(F.col("path"), F.lit(1), at - 1).alias("base"), rel.alias("rel"))
-        .filter(F.col("rel") != "")
-        .distinct()
-    )
-    return sorted(r["base"] + r["rel"] for r in names.collect())
+    names = list_files(spark, folder).select(_dataset_of(F.col("path"), folder).alias("path")).filter("path is not null").distinct()
+    return sorted(r["path"] for r in names.collect())
+
+
+def text_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """path, encoding and delimiter of every dataset below a folder; several of one dataset are joined by commas."""
+    files = file_profile(spark, folder).withColumn("path", _dataset_of(F.col("path"), folder)).filter("path is not null and length > 0")
+    listed = lambda c: F.nullif(F.array_join(F.sort_array(F.collect_set(c)), ","), F.lit("")).alias(c)
+    return files.groupBy("path").agg(listed("encoding"), listed("delimiter"))
+
+
+_ROW = (
+    "dataset string, n_rows long, n_cols int, column_name string, dtype string, null_fraction double, unique long, example string, "
+    "target_candidate int, date_candidate int, path string, error string"
+)
+
+
+def _kind(exc: Exception) -> str:
+    """Spark's name of the error, as its message has it, or else the exception's own."""
+    named = re.search(r"\[([A-Z][A-Z_]+)[.\]]", str(exc))
+    return named[1] if named else type(exc).__name__
 
 
 def scan_folder(spark: SparkSession, folder: str, sample_rows: int | None = None, exact: bool = True) -> DataFrame:
-    """Inventories of every readable dataset below a folder; unreadable ones are skipped."""
-    parts = []
+    """Inventories of every readable dataset below a folder, with its path, encodings and delimiters.
+
+    A dataset that can't be read is one row with the kind of its error and nothing else known.
+    """
+    parts, errors = [], []
     for path in dataset_paths(spark, folder):
+        name = path.rstrip("/").rsplit("/", 1)[-1]
         try:
-            df = read_dataset(spark, path, sample_rows)
-            parts.append(inventory(df, path.rstrip("/").rsplit("/", 1)[-1], exact))
+            found = inventory(read_dataset(spark, path, sample_rows), name, exact)
+            parts.append(materialize(found.withColumn("path", F.lit(path)).withColumn("error", F.lit(None).cast("string")), "inventory"))
         except Exception as exc:
-            LOG.warning("dataset %s skipped: %s", path, type(exc).__name__)
-    if not parts:
-        raise ValueError(f"no readable dataset below {folder}")
-    return reduce(DataFrame.unionByName, parts)
+            errors.append((name, *[None] * 9, path, _kind(exc)))
+            LOG.warning("dataset %s can't be read: %s", path, errors[-1][-1])
+    if not parts and not errors:
+        raise ValueError(f"no dataset below {folder}")
+    if errors:
+        parts.append(spark.createDataFrame(errors, _ROW))
+    return reduce(DataFrame.unionByName, parts).join(text_profiles(spark, folder), "path", "left")
 
 
 def export_inventory(spark: SparkSession, folder: str, output: str) -> str:
     return write_report(scan_folder(spark, folder), output)
 
 
-__all__: Sequence[str] = ["inventory", "dataset_paths", "scan_folder", "export_inventory"]
+__all__: Sequence[str] = ["inventory", "dataset_paths", "text_profiles", "scan_folder", "export_inventory"]

@@ -114,6 +114,33 @@ def inventory_dir(v: Views) -> DataFrame:
     return scan_folder(v.spark, v.dir).select(*INV)
 
 
+FILES = {"a.csv": ("cp1251", ";"), "b.csv": ("utf-8", "\t"), "c.jsonl": ("utf-8", None)}
+_FILE_COLUMNS = {
+    ("a.csv", "customer_ref", "int"): "customer_ref", ("a.csv", "default_note", "string"): "region", ("b.csv", "customer_ref", "int"): "customer_ref",
+    ("b.csv", "monthly_income", "double"): "monthly_income", ("c.jsonl", "age", "bigint"): "age",
+}
+INVENTORY_FILES = "\nunion all\n".join(
+    f"select '{f}' as dataset, cast(count(*) as bigint) as n_rows, '{c}' as column_name, '{kind}' as dtype, "
+    f"round(1 - count({source}) / cast(count(*) as double), 4) as null_fraction, cast(count(distinct {source}) as bigint) as \"unique\", "
+    f"'{FILES[f][0]}' as encoding, {'null' if FILES[f][1] is None else chr(39) + FILES[f][1] + chr(39)} as delimiter, cast(null as varchar) as error from {{demographics}} d"
+    for (f, c, kind), source in _FILE_COLUMNS.items()
+) + "\nunion all\nselect 'd.parquet', null, null, null, null, null, 'utf-8', null, 'FAILED_READ_FILE'"
+
+
+@query("inventory_files", INVENTORY_FILES)
+def inventory_files(v: Views) -> DataFrame:
+    """Files of several encodings and delimiters, and one that can't be read."""
+    base = scratch_path(v.spark, "files")
+    v.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    people = v.demographics.withColumn("default_note", F.concat(F.col("region"), F.lit(" просрочка")))
+    people.select("customer_ref", "default_note").write.options(header=True, sep=";", encoding="cp1251").csv(f"{base}/a.csv")
+    people.select("customer_ref", "monthly_income").write.options(header=True, sep="\t").csv(f"{base}/b.csv")
+    people.select("age").write.json(f"{base}/c.jsonl")
+    people.select(F.col("customer_ref").cast("string").alias("value")).write.text(f"{base}/d.parquet")
+    out = scan_folder(v.spark, base)
+    return out.select("dataset", "n_rows", "column_name", "dtype", "null_fraction", "unique", "encoding", "delimiter", "error")
+
+
 @query(
     "id_normalize",
     "select cast(customer_ref as varchar) as customer_ref, region, age from {demographics} d",

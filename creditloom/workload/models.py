@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from creditloom.operators import calibrate as K
 from creditloom.operators import explain as E
+from creditloom.operators import jobs as J
 from creditloom.operators import models as L
 from creditloom.operators.diagnostics import top_features
 from creditloom.operators.woe import WoeModel
+from creditloom.plans.session import scratch_path
 from creditloom.workload.base import VIEW_SQL, Views, query
 from creditloom.workload import ranking  # noqa: F401  (defines the split view)
 from creditloom.workload.prep import WOE_SQL
@@ -189,6 +191,26 @@ select application_id, cast(rn as int) as position, feature, round(c, 9) + 0 as
     )
 
 
+GIVEN_INTERCEPT = -1.25
+
+
+def _explanation_sql() -> str:
+    fitted = [f"select 'intercept' as section, cast(null as bigint) as application_id, cast(null as int) as position, cast(null as varchar) as feature, {GIVEN_INTERCEPT!r}e0 as value"]
+    fitted += [f"select 'coefficient', null, {i}, '{f}', {b!r}e0" for i, (f, b) in enumerate(GIVEN.items(), 1)]
+    head, _, last = _reasons_sql().rpartition("\nselect ")
+    return head + "\n" + " union all ".join(fitted) + " union all select 'reason', " + last.replace("contribution from", "value from")
+
+
+@query("explain_export", _explanation_sql())
+def explain_export(v: Views) -> DataFrame:
+    """Written as JSON lines and read back."""
+    woe = WoeModel.fit(v.messy, list(GIVEN), "default_flag", bins=5, min_samples=50)
+    model = L.Champion("logistic_woe", list(GIVEN), woe=woe, coefficients=list(GIVEN.values()), intercept=GIVEN_INTERCEPT)
+    path = J.export_explanation(model, v.messy, ["application_id"], scratch_path(v.spark, "explanation"), 2)
+    out = v.spark.read.schema("section string, application_id bigint, position int, feature string, value double").json(path)
+    return out.withColumn("value", F.when(F.col("section") == "reason", F.round("value", 9) + 0).otherwise(F.col("value")))
+
+
 @query("reason_codes", _reasons_sql())
 def reason_codes(v: Views) -> DataFrame:
     df = v.messy

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.operators import jobs as J
 from creditloom.operators import prep as P
 from creditloom.operators import stats as S
 from creditloom.operators import woe as W
@@ -159,6 +160,55 @@ def target_trend(v: Views) -> DataFrame:
     )
 
 
+EDA_NUM = ["application_id", "loan_amount", "default_flag", "monthly_income", "age"]
+
+
+def _eda_sql() -> str:
+    stats = [
+        *[
+            f"select '{c}.{n}' as item, cast({x} as double) as value, cast(null as varchar) as text from {{panel}} x"
+            for c in EDA_NUM
+            for n, x in {
+                "count": f"count({c})", "mean": f"round(avg({c}), 6)", "std": f"round(stddev_samp({c}), 4)", "min": f"min({c})", "max": f"max({c})",
+                "p25": f"round(quantile_cont({c}, 0.25), 6)", "p50": f"round(quantile_cont({c}, 0.5), 6)", "p75": f"round(quantile_cont({c}, 0.75), 6)",
+            }.items()
+        ],
+        *[
+            f"select '{c}.{n}', {value}, {text} from (select {c} as level, count(*) as n, row_number() over (order by {c}) as rk from {{panel}} x where {c} is not null group by {c})"
+            for c in CATS
+            for n, value, text in (
+                ("count", "cast(sum(n) as double)", "null"), ("unique", "cast(count(*) as double)", "null"),
+                ("freq", "cast(max(n) as double)", "null"), ("top", "null", "arg_max(level, (n, -rk))"),
+            )
+        ],
+    ]
+    counts = "\nunion all\n".join(
+        f"""select feature, bin, cast(count(x) as double) as n from (select '{c}' as feature, unnest(range(0, 30)) as bin) g left join (
+  select least(cast(floor((v - lo) / (hi - lo) * 30) as bigint), 29) as x from (select cast({c} as double) as v from {{panel}} p where {c} is not null),
+    (select cast(min({c}) as double) as lo, cast(max({c}) as double) as hi from {{panel}} q)) h on g.bin = h.x
+group by feature, bin"""
+        for c in EDA_NUM[:4]
+    )
+    return (
+        "with st as (" + "\nunion all\n".join(stats) + f"), hs as ({counts}), "
+        "dy as (select cast(application_date as date) as day, avg(cast(default_flag as double)) as rate from {panel} x group by 1) "
+        "select 'describe' as section, item, cast(null as double) as x, value, text from st where value is not null or text is not null "
+        "union all select 'target_candidate', 'default_flag', null, null, null "
+        "union all select 'date_candidate', 'application_date', null, null, null "
+        "union all select 'histogram', feature, cast(bin as double), n, null from hs "
+        "union all select 'trend', cast(day as varchar), round(rate, 9), round(avg(rate) over (order by day rows between 6 preceding and current row), 9), null from dy"
+    )
+
+
+@query("eda_job", _eda_sql())
+def eda_job(v: Views) -> DataFrame:
+    df = v.panel.select(*EDA_NUM, *CATS, "application_date")
+    out = J.eda_job(df)
+    digits = F.when(F.col("section") == "trend", 9).when(F.col("item").endswith(".std"), 4).otherwise(6)
+    rounded = F.when(digits == 9, F.round("value", 9)).when(digits == 4, F.round("value", 4)).otherwise(F.round("value", 6))
+    return out.select("section", "item", F.round("x", 9).alias("x"), rounded.alias("value"), "text")
+
+
 @query(
     "drop_all_null",
     "select application_id, loan_amount, monthly_income from {panel} x",
