@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions.expr import as_double, correlation
+from creditloom.functions.expr import as_double
+from creditloom.plans.gram import correlations
 from creditloom.plans.ranked import quantile_map
 
 SMOOTH = 1e-6
@@ -110,20 +111,9 @@ class WoeModel:
         return df.select("*", *[self.encode(as_double(df, c), c).alias(f"{c}{suffix}") for c in self.features if c in df.columns])
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str], batch: int = 300) -> DataFrame:
-    """Pearson correlation of every column pair, ignoring rows where either is missing."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    out = None
-    for start in range(0, len(pairs), batch):
-        part = pairs[start : start + batch]
-        row = df.agg(*[correlation(as_double(df, a), as_double(df, b)).alias(f"c{i}") for i, (a, b) in enumerate(part)])
-        cells = [
-            F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{i}").alias("corr"))
-            for i, (a, b) in enumerate(part)
-        ]
-        rows = row.select(F.inline(F.array(*cells)))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every column pair, ignoring rows where either is missing; one scan for any number of columns."""
+    return correlations(df, columns)
 
 
 def correlation_filter(df: DataFrame, columns: Sequence[str], threshold: float = 0.9) -> DataFrame:
