@@ -8,11 +8,13 @@ Words are ordered by rarity: occurrences are counted over all documents in ``COU
 table of fixed size, and equal counts are ordered by hash.  Two similar sets share a word of their prefixes
 in this order (prefix filter); a shared word at two positions bounds the overlap (positional filter), so do
 the sizes (length filter) and two words of 64 parity bits (a bit that differs is a word not shared).  What
-is left is verified on the words themselves.
+is left is verified on the words themselves.  The positional filter holds for the first word two lines share: all
+words before it, of either line, are not shared.
 
-A frequent prefix word does not give all pairs of its lines.  First every line is compared with the earliest
-line of each of its prefix words; lines found similar are settled.  Only lines still open are compared with
-the other earlier lines of their prefix words.
+Words of at least ``2**((HOT - 1) / 2)`` occurrences (by their counter) are hot.  Their lines meet in classes of
+length only, each line in two of them, and first every such line is compared with the earliest line of each of its
+hot prefix words: a line found similar is settled, and two settled lines are not compared any more.  So a hot prefix
+word does not give all pairs of its lines when these are near copies.
 
 Earlier means smaller document id, then smaller line number; rows that share an id but not the text are
 ordered by a hash of the text at equal line numbers.  Identical rows count once and share their result.
@@ -21,37 +23,42 @@ Null texts have no lines, empty lines and lines without words are never removed;
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from creditloom.llm.common import free_names, row_key
 from creditloom.llm.rules import words_of
-from creditloom.llm.scratch import materialize
+from creditloom.llm.scratch import Tables
 
 SIMILAR = 0.8
 COUNTERS = 2**18
 #: Sets of fewer words are similar to equal sets only.
 LEAST_WORDS = 4
+#: The rank from which a word is hot: 256 occurrences.
+HOT = 17
 
 
-def word_ranks(docs: DataFrame, text: str = "text") -> bytes:
-    """One letter per counter, later for more occurrences; the sums of at most ``COUNTERS`` counters reach the driver."""
+def word_ranks(docs: DataFrame, text: str = "text") -> list[int]:
+    """One rank per counter, higher for more occurrences; the sums of at most ``COUNTERS`` counters reach the driver."""
     words = docs.select(F.explode(words_of(F.col(text))).alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).cast("int").alias("c")).count()
-    ranks = bytearray(b"\1" * COUNTERS)
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("c")).count()
+    ranks = [1] * COUNTERS
     for c, rank in counts.select("c", F.least(F.lit(126), 1 + F.floor(2 * F.log2(F.col("count") + 0.0))).cast("int")).collect():
         ranks[c] = rank
-    return bytes(ranks)
+    return ranks
 
 
-def word_codes(words: Column, ranks: Column) -> Column:
+def word_codes(words: Column, ranks: list[int]) -> Column:
     """The set of words as sorted numbers: rank in the upper bits, hash in the lower ones."""
+    # Constant folding makes this an array in the plan.
+    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        letter = F.substring(ranks, F.pmod(h, F.lit(COUNTERS)).cast("int") + 1, F.lit(1))
-        return F.shiftleft(F.ascii(letter.cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    def code(h: Column) -> Column:
+        rank = F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int"))
+        return F.call_function("shiftleft", rank.cast("long"), F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(words, code)))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), code))
 
 
 def _parity(codes: Column, shift: int) -> Column:
@@ -59,10 +66,11 @@ def _parity(codes: Column, shift: int) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(bit(x)))
 
 
-def line_table(docs: DataFrame, ranks: bytes, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per line with words: its place, class (c1, c2), number of words, parity bits and prefix."""
+def line_table(docs: DataFrame, ranks: list[int], id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per line: its place, class (c1, c2), number of different words (0: no line to judge), parity bits and prefix."""
     lines = docs.select(*row_key(id_column, text), F.posexplode(F.split(text, "\n")).alias("line", "content"))
-    coded = lines.withColumn("codes", word_codes(words_of(F.col("content")), F.lit(bytearray(ranks)))).filter(F.size("codes") > 0)
+    # No filter on the codes here: it would be pushed below them and code every line twice.
+    coded = lines.withColumn("codes", word_codes(words_of(F.col("content")), ranks))
     n = F.size("codes")
     return coded.select(
         "k_id",
@@ -76,72 +84,105 @@ def line_table(docs: DataFrame, ranks: bytes, id_column: str = "doc_id", text: s
     )
 
 
-def _may_be_similar() -> Column:
-    """Length, positional and bit filters for postings x (earlier) and y."""
-    nx, ny, px, py = F.col("ax") % F.lit(2**32), F.col("ay") % F.lit(2**32), F.col("px"), F.col("py")
-    need = F.ceil(SIMILAR / (1 + SIMILAR) * (nx + ny) - 1e-9)
-    return (
-        (F.struct("kx", "ax", "cx") < F.struct("ky", "ay", "cy"))
-        & (F.least(nx, ny) >= SIMILAR * F.greatest(nx, ny) - 1e-9)
-        & (F.least(nx - px, ny - py) >= need)
-        & (F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) <= nx + ny - 2 * need)
-    )
+def _may_be_similar(nx: Column, ny: Column, px: Column, py: Column) -> Column:
+    """Length, positional and bit filters for two lines of nx and ny words with bits bx and by."""
+    unlike = nx + ny - 2 * F.ceil(SIMILAR / (1 + SIMILAR) * (nx + ny) - 1e-9)
+    near_sizes = F.least(nx, ny) >= SIMILAR * F.greatest(nx, ny) - 1e-9
+    return near_sizes & (px + py <= unlike) & (F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) <= unlike)
+
+
+def _prefix_words(classes: DataFrame) -> DataFrame:
+    named = classes.filter(F.col("n") >= LEAST_WORDS)
+    return named.select("*", F.posexplode("prefix").alias("p", "word")).withColumn("hot", F.shiftrightunsigned("word", 56) >= HOT).drop("prefix")
+
+
+def _with_heads(classes: DataFrame, tables: Tables) -> DataFrame:
+    """Pairs (cx, cy) of a line and the earliest line of one of its hot prefix words that may be similar."""
+    hot = _prefix_words(classes).filter("hot")
+    place = F.struct("k_id", "line", "k_text")
+    heads = hot.groupBy("word").agg(F.min(F.struct(place.alias("at"), "c1", "bits", "n", "p")).alias("h"), F.count("*").alias("m")).filter("m > 1")
+    heads = tables.write(heads.select("word", F.col("h.at").alias("ax"), F.col("h.c1").alias("cx"), F.col("h.bits").alias("bx"), F.col("h.n").alias("nx"), F.col("h.p").alias("px")), "heads")
+    met = hot.select("word", place.alias("ay"), F.col("c1").alias("cy"), F.col("bits").alias("by"), "n", "p").join(heads, "word")
+    near = _may_be_similar(F.col("nx"), F.col("n"), F.col("px"), F.col("p"))
+    return met.filter((F.col("ax") < F.col("ay")) & near).select("cx", "cy").distinct()
+
 
+def _all_open(classes: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs (cx, cy), in no order, that share a prefix word and may be similar, and of which one at least is not settled."""
+    marked = classes.join(settled.select("c1", F.lit(True).alias("settled")), "c1", "left")
+    words = _prefix_words(marked)
+    # Sizes of similar lines lie in the same class or in neighbouring ones: a line is in its own and in the next.
+    size_class = F.floor(F.log("n") / F.lit(-math.log(SIMILAR - 1e-6))).cast("int")
+    sizes = F.when(F.col("hot"), F.array(size_class, size_class + 1)).otherwise(F.array(F.lit(0)))
+    left = F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32))
+    packed = left.bitwiseOR(F.col("p").cast("long") * 2 + F.when(F.col("settled"), 0).otherwise(1))
+    postings = words.select("word", F.explode(sizes).alias("size"), F.col("c1"), "bits", packed.alias("packed"))
+    x, y = (postings.select("word", "size", *(F.col(c).alias(c[0] + side) for c in ("c1", "bits", "packed"))) for side in "xy")
+    n, p = (lambda v: F.shiftrightunsigned(v, 32)), (lambda v: F.shiftrightunsigned(F.col(v).bitwiseAND(F.lit(2**32 - 1)), 1))
+    near = _may_be_similar(n("px"), n("py"), p("px"), p("py"))
+    one_open = F.col("px").bitwiseOR(F.col("py")).bitwiseAND(F.lit(1)) == 1
+    return x.join(y, ["word", "size"]).filter((F.col("cx") < F.col("cy")) & one_open & near).select("cx", "cy").distinct()
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text: str, tables: Tables) -> DataFrame:
     """c1 of the later class of each pair (cx, cy) that is similar in its words."""
-    wanted = pairs.select(F.explode(F.array("cx", "cy")).alias("c1")).distinct()
-    wanted = classes.select("c1", "k_id", "k_text", "line").join(materialize(wanted, "wanted"), "c1")
-    wanted = materialize(wanted.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("line", "c1")).alias("wanted")), "wanted")
+    asked = pairs.select(F.explode(F.array("cx", "cy")).alias("c1")).distinct()
+    asked = classes.select("c1", "k_id", "k_text", "line").join(asked, "c1")
+    wanted = tables.write(asked.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("line", "c1")).alias("wanted")), "wanted")
     keyed = docs.select(*row_key(id_column, text), F.col(text).alias("content"))
-    found = keyed.join(wanted, ["k_id", "k_text"]).select(F.split("content", "\n").alias("content"), F.explode("wanted").alias("w"))
-    sets = found.select("w.c1", F.array_distinct(words_of(F.get("content", F.col("w.line")))).alias("words"))
-    sets = materialize(sets.dropDuplicates(["c1"]), "sets")
-    joined = pairs.join(sets.select(F.col("c1").alias("cx"), F.col("words").alias("wx")), "cx").join(
-        sets.select(F.col("c1").alias("cy"), F.col("words").alias("wy")), "cy"
-    )
+    found = keyed.join(wanted, ["k_id", "k_text"]).select("k_id", "k_text", F.split("content", "\n").alias("content"), F.explode("wanted").alias("w"))
+    place = F.struct("k_id", "w.line", "k_text").alias("at")
+    sets = found.select("w.c1", place, F.array_distinct(words_of(F.get("content", F.col("w.line")))).alias("words"))
+    sets = tables.write(sets.dropDuplicates(["c1"]), "sets")
+    tables.drop("wanted")
+    x, y = (sets.select(*(F.col(c).alias(c[0] + side) for c in ("c1", "at", "words"))) for side in "xy")
     both = F.size(F.array_intersect("wx", "wy"))
-    return joined.filter(both >= SIMILAR * (F.size("wx") + F.size("wy") - both) - 1e-9).select(F.col("cy").alias("c1")).distinct()
-
+    similar = both >= SIMILAR * (F.size("wx") + F.size("wy") - both) - 1e-9
+    later = F.when(F.col("ax") > F.col("ay"), F.col("cx")).otherwise(F.col("cy"))
+    return pairs.join(x, "cx").join(y, "cy").filter(similar).select(later.alias("c1")).distinct()
 
-def _postings(classes: DataFrame, side: str) -> DataFrame:
-    """One row per prefix word: the word, its position, the class, its bits, its id, and line and size in one number."""
-    place = F.call_function("shiftleft", F.col("line").cast("long"), F.lit(32)).bitwiseOR(F.col("n").cast("long"))
-    named = classes.filter(F.col("n") >= LEAST_WORDS).select(
-        F.col("k_id").alias(f"k{side}"), place.alias(f"a{side}"), F.col("c1").alias(f"c{side}"), F.col("bits").alias(f"b{side}"), "prefix"
-    )
-    return named.select("*", F.posexplode("prefix").alias(f"p{side}", "word")).drop("prefix")
 
+def repeated_lines(docs: DataFrame, tables: Tables, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """k_id, k_text and line of every line to remove, with whether an equal set or only a similar one came before.
 
-def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """k_id, k_text and line of every line to remove, with whether an equal set or only a similar one came before."""
-    lines = materialize(line_table(docs, word_ranks(docs, text), id_column, text), "lines")
+    The result reads tables that ``tables`` still holds; all others are dropped as soon as they are read.
+    """
+    lines = tables.write(line_table(docs, word_ranks(docs, text), id_column, text), "lines").filter("n > 0")
     first = F.min(F.struct("k_id", "line", "k_text")).alias("f")
     kept = F.first(F.struct("n", "bits", "prefix")).alias("s")
-    classes = materialize(lines.groupBy("c1", "c2").agg(first, kept).select("c1", "c2", "f.*", "s.*"), "classes")
-    one, two = _postings(classes, "x"), _postings(classes, "y")
-    heads = one.groupBy("word").agg(F.min(F.struct("kx", "ax", "cx", "bx", "px")).alias("h"), F.count("*").alias("m"))
-    heads = materialize(heads.filter("m > 1").select("word", "h.*"), "heads")
-    with_head = materialize(two.join(heads, "word").filter(_may_be_similar()).select("cx", "cy").distinct(), "pairs")
-    settled = materialize(_verified(with_head, classes, docs, id_column, text), "settled")
-    # The lines still open meet the other earlier lines of their prefix words.
-    still_open = _postings(classes.join(settled, "c1", "left_anti"), "y")
-    rest = still_open.join(one, "word").filter(_may_be_similar()).select("cx", "cy").distinct()
-    rest = materialize(rest.join(with_head, ["cx", "cy"], "left_anti"), "pairs")
-    more = _verified(rest, classes, docs, id_column, text)
-    similar = materialize(settled.unionByName(more), "similar").withColumn("similar", F.lit(True))
-    place_of = classes.select("c1", "c2", F.struct("k_id", "line", "k_text").alias("f"))
-    flagged = materialize(place_of.join(similar, "c1", "left"), "flagged")
-    judged = lines.select("k_id", "line", "k_text", "c1", "c2").join(flagged, ["c1", "c2"])
+    grouped = lines.groupBy("c1", "c2").agg(first, kept, F.count("*").alias("m"))
+    classes = tables.write(grouped.select("c1", "c2", "m", "f.*", "s.*"), "classes")
+    places = tables.write(lines.select("k_id", "k_text", "line", "c1", "c2"), "places")
+    tables.drop("lines")
+    pairs = tables.write(_with_heads(classes, tables), "pairs")
+    tables.drop("heads")
+    settled = tables.write(_verified(pairs, classes, docs, id_column, text, tables), "settled")
+    tables.drop("pairs", "sets")
+    pairs = tables.write(_all_open(classes, settled), "pairs")
+    similar = tables.write(settled.unionByName(_verified(pairs, classes, docs, id_column, text, tables)).distinct(), "similar")
+    tables.drop("pairs", "sets", "settled")
+    marked = classes.select("c1", "c2", "m", F.struct("k_id", "line", "k_text").alias("f"))
+    marked = marked.join(similar.withColumn("similar", F.lit(True)), "c1", "left").filter("m > 1 or similar").drop("m")
+    marked = tables.write(marked, "marked")
+    tables.drop("classes", "similar")
     equal = F.struct("k_id", "line", "k_text") > F.col("f")
-    return judged.filter(equal | F.coalesce("similar", F.lit(False))).select("k_id", "k_text", "line", equal.alias("equal")).distinct()
+    judged = places.join(marked, ["c1", "c2"]).filter(equal | F.coalesce("similar", F.lit(False)))
+    return judged.select("k_id", "k_text", "line", equal.alias("equal")).distinct()
+
+
+def _removed_lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """k_id, k_text and the sorted numbers of the lines to remove, for each row that has any."""
+    tables = Tables(docs.sparkSession)
+    gone = repeated_lines(docs, tables, id_column, text)
+    per_row = tables.write(gone.groupBy("k_id", "k_text").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removed")
+    tables.drop("places", "marked")
+    return per_row
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
     """``docs`` with the numbers (from 0) of the lines to remove, null for none; and the column's name."""
     a, b, name = free_names(docs, ["k_id", "k_text", "removed_lines"])
-    gone = repeated_lines(docs.select(id_column, text), id_column, text)
-    per_row = gone.groupBy("k_id", "k_text").agg(F.sort_array(F.collect_list("line")))
+    per_row = _removed_lines(docs.select(id_column, text), id_column, text)
     keys = row_key(id_column, text)
     out = docs.select("*", keys[0].alias(a), keys[1].alias(b)).join(per_row.toDF(a, b, name), [a, b], "left")
     return out.drop(a, b), [name]
@@ -154,8 +195,7 @@ def without_lines(text: str, removed: str) -> Column:
 
 def lines_query(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the removed line numbers (from 0) of every row."""
-    gone = repeated_lines(docs.select("doc_id", "text"))
-    per_row = materialize(gone.groupBy("k_id", "k_text").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removed")
+    per_row = _removed_lines(docs.select("doc_id", "text"), "doc_id", "text")
     rows = docs.select("doc_id", *row_key("doc_id", "text"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     n = F.coalesce(F.size("removed"), F.lit(0))
     return rows.join(per_row, ["k_id", "k_text"], "left").select(
