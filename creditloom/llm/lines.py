@@ -11,10 +11,10 @@ the sizes (length filter) and two words of 64 parity bits (a bit that differs is
 is left is verified on the words themselves.  The positional filter holds for the first word two lines share: all
 words before it, of either line, are not shared.
 
-Words of at least ``2**((HOT - 1) / 2)`` occurrences (by their counter) are hot.  Their lines meet in classes of
-length only, each line in two of them, and first every such line is compared with the earliest line of each of its
-hot prefix words: a line found similar is settled, and two settled lines are not compared any more.  So a hot prefix
-word does not give all pairs of its lines when these are near copies.
+A prefix word does not give all pairs of its lines.  First every line is compared with the earliest line of each of
+its prefix words; lines found similar are settled, so a family of near copies costs one pair for each member and word.
+Then the lines still open are compared with the earlier lines of their prefix words.  Words of at least
+``2**((HOT - 1) / 2)`` occurrences (by their counter) are hot: their lines meet in classes of length only, each line in two.
 
 Earlier means smaller document id, then smaller line number; rows that share an id but not the text are
 ordered by a hash of the text at equal line numbers.  Identical rows count once and share their result.
@@ -97,18 +97,18 @@ def _prefix_words(classes: DataFrame) -> DataFrame:
 
 
 def _with_heads(classes: DataFrame, tables: Tables) -> DataFrame:
-    """Pairs (cx, cy) of a line and the earliest line of one of its hot prefix words that may be similar."""
-    hot = _prefix_words(classes).filter("hot")
+    """Pairs (cx, cy) of a line and the earliest line of one of its prefix words that may be similar."""
+    words = _prefix_words(classes)
     place = F.struct("k_id", "line", "k_text")
-    heads = hot.groupBy("word").agg(F.min(F.struct(place.alias("at"), "c1", "bits", "n", "p")).alias("h"), F.count("*").alias("m")).filter("m > 1")
+    heads = words.groupBy("word").agg(F.min(F.struct(place.alias("at"), "c1", "bits", "n", "p")).alias("h"), F.count("*").alias("m")).filter("m > 1")
     heads = tables.write(heads.select("word", F.col("h.at").alias("ax"), F.col("h.c1").alias("cx"), F.col("h.bits").alias("bx"), F.col("h.n").alias("nx"), F.col("h.p").alias("px")), "heads")
-    met = hot.select("word", place.alias("ay"), F.col("c1").alias("cy"), F.col("bits").alias("by"), "n", "p").join(heads, "word")
+    met = words.select("word", place.alias("ay"), F.col("c1").alias("cy"), F.col("bits").alias("by"), "n", "p").join(heads, "word")
     near = _may_be_similar(F.col("nx"), F.col("n"), F.col("px"), F.col("p"))
     return met.filter((F.col("ax") < F.col("ay")) & near).select("cx", "cy").distinct()
 
 
 def _all_open(classes: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs (cx, cy), in no order, that share a prefix word and may be similar, and of which one at least is not settled."""
+    """Pairs (cx, cy) of lines that share a prefix word and may be similar, if the later one is not settled."""
     marked = classes.join(settled.select("c1", F.lit(True).alias("settled")), "c1", "left")
     words = _prefix_words(marked)
     # Sizes of similar lines lie in the same class or in neighbouring ones: a line is in its own and in the next.
@@ -116,12 +116,15 @@ def _all_open(classes: DataFrame, settled: DataFrame) -> DataFrame:
     sizes = F.when(F.col("hot"), F.array(size_class, size_class + 1)).otherwise(F.array(F.lit(0)))
     left = F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32))
     packed = left.bitwiseOR(F.col("p").cast("long") * 2 + F.when(F.col("settled"), 0).otherwise(1))
-    postings = words.select("word", F.explode(sizes).alias("size"), F.col("c1"), "bits", packed.alias("packed"))
-    x, y = (postings.select("word", "size", *(F.col(c).alias(c[0] + side) for c in ("c1", "bits", "packed"))) for side in "xy")
+    postings = words.select("word", F.explode(sizes).alias("size"), "k_id", "c1", "bits", packed.alias("packed"))
+    x, y = (postings.select("word", "size", *(F.col(c).alias(c[0] + side) for c in ("k_id", "c1", "bits", "packed"))) for side in "xy")
     n, p = (lambda v: F.shiftrightunsigned(v, 32)), (lambda v: F.shiftrightunsigned(F.col(v).bitwiseAND(F.lit(2**32 - 1)), 1))
     near = _may_be_similar(n("px"), n("py"), p("px"), p("py"))
-    one_open = F.col("px").bitwiseOR(F.col("py")).bitwiseAND(F.lit(1)) == 1
-    return x.join(y, ["word", "size"]).filter((F.col("cx") < F.col("cy")) & one_open & near).select("cx", "cy").distinct()
+    is_open = lambda v: F.col(v).bitwiseAND(F.lit(1)) == 1
+    # Inside one document the order is left to the verification.
+    one = (F.col("kx") == F.col("ky")) & (F.col("cx") < F.col("cy")) & (is_open("px") | is_open("py"))
+    ordered = one | ((F.col("kx") < F.col("ky")) & is_open("py"))
+    return x.join(y, ["word", "size"]).filter(ordered & near).select("cx", "cy").distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text: str, tables: Tables) -> DataFrame:
@@ -132,12 +135,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column:
     keyed = docs.select(*row_key(id_column, text), F.col(text).alias("content"))
     found = keyed.join(wanted, ["k_id", "k_text"]).select("k_id", "k_text", F.split("content", "\n").alias("content"), F.explode("wanted").alias("w"))
     place = F.struct("k_id", "w.line", "k_text").alias("at")
-    sets = found.select("w.c1", place, F.array_distinct(words_of(F.get("content", F.col("w.line")))).alias("words"))
-    sets = tables.write(sets.dropDuplicates(["c1"]), "sets")
+    sets = found.select("w.c1", place, F.get("content", F.col("w.line")).alias("text"))
+    sets = sets.dropDuplicates(["c1"]).withColumn("size", F.size(F.array_distinct(words_of("text"))))
+    sets = tables.write(sets, "sets")
     tables.drop("wanted")
-    x, y = (sets.select(*(F.col(c).alias(c[0] + side) for c in ("c1", "at", "words"))) for side in "xy")
-    both = F.size(F.array_intersect("wx", "wy"))
-    similar = both >= SIMILAR * (F.size("wx") + F.size("wy") - both) - 1e-9
+    x, y = (sets.select(*(F.col(c).alias(c[0] + side) for c in ("c1", "at", "text", "size"))) for side in "xy")
+    # Texts travel as they are, an array of words takes several times their room.
+    both = F.size(F.array_intersect(words_of("tx"), words_of("ty")))
+    similar = (1 + SIMILAR) * both >= SIMILAR * (F.col("sx") + F.col("sy")) - 1e-9
     later = F.when(F.col("ax") > F.col("ay"), F.col("cx")).otherwise(F.col("cy"))
     return pairs.join(x, "cx").join(y, "cy").filter(similar).select(later.alias("c1")).distinct()
 
