@@ -24,6 +24,7 @@ Null texts have no lines, empty lines and lines without words are never removed;
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,6 +38,8 @@ COUNTERS = 2**18
 LEAST_WORDS = 4
 #: The rank from which a word is hot: 256 occurrences.
 HOT = 17
+#: Pairs are verified in so many parts, one after the other, so that only the texts of one part are on disk.
+PARTS = 4
 
 
 def word_ranks(docs: DataFrame, text: str = "text") -> list[int]:
@@ -127,8 +130,8 @@ def _all_open(classes: DataFrame, settled: DataFrame) -> DataFrame:
     return x.join(y, ["word", "size"]).filter(ordered & near).select("cx", "cy").distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text: str, tables: Tables) -> DataFrame:
-    """c1 of the later class of each pair (cx, cy) that is similar in its words."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text: str, tables: Tables, name: str) -> DataFrame:
+    """c1 of the later class of each pair (cx, cy) that is similar in its words, as a table of this name."""
     asked = pairs.select(F.explode(F.array("cx", "cy")).alias("c1")).distinct()
     asked = classes.select("c1", "k_id", "k_text", "line").join(asked, "c1")
     wanted = tables.write(asked.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("line", "c1")).alias("wanted")), "wanted")
@@ -144,7 +147,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column:
     both = F.size(F.array_intersect(words_of("tx"), words_of("ty")))
     similar = (1 + SIMILAR) * both >= SIMILAR * (F.col("sx") + F.col("sy")) - 1e-9
     later = F.when(F.col("ax") > F.col("ay"), F.col("cx")).otherwise(F.col("cy"))
-    return pairs.join(x, "cx").join(y, "cy").filter(similar).select(later.alias("c1")).distinct()
+    found = []
+    for i in range(PARTS):
+        mine = F.col("cy").bitwiseAND(F.lit(PARTS - 1)) == i
+        met = pairs.filter(mine).join(x, "cx").join(y.filter(mine), "cy").filter(similar)
+        found.append(tables.write(met.select(later.alias("c1")).distinct(), f"{name}{i}"))
+    tables.drop("sets")
+    out = tables.write(reduce(DataFrame.unionByName, found).distinct(), name)
+    tables.drop(*(f"{name}{i}" for i in range(PARTS)))
+    return out
 
 
 def repeated_lines(docs: DataFrame, tables: Tables, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,15 +172,16 @@ def repeated_lines(docs: DataFrame, tables: Tables, id_column: str = "doc_id", t
     tables.drop("lines")
     pairs = tables.write(_with_heads(classes, tables), "pairs")
     tables.drop("heads")
-    settled = tables.write(_verified(pairs, classes, docs, id_column, text, tables), "settled")
-    tables.drop("pairs", "sets")
+    settled = _verified(pairs, classes, docs, id_column, text, tables, "settled")
+    tables.drop("pairs")
     pairs = tables.write(_all_open(classes, settled), "pairs")
-    similar = tables.write(settled.unionByName(_verified(pairs, classes, docs, id_column, text, tables)).distinct(), "similar")
-    tables.drop("pairs", "sets", "settled")
+    more = _verified(pairs, classes, docs, id_column, text, tables, "more")
+    tables.drop("pairs")
+    similar = settled.unionByName(more).distinct()
     marked = classes.select("c1", "c2", "m", F.struct("k_id", "line", "k_text").alias("f"))
     marked = marked.join(similar.withColumn("similar", F.lit(True)), "c1", "left").filter("m > 1 or similar").drop("m")
     marked = tables.write(marked, "marked")
-    tables.drop("classes", "similar")
+    tables.drop("classes", "settled", "more")
     equal = F.struct("k_id", "line", "k_text") > F.col("f")
     judged = places.join(marked, ["c1", "c2"]).filter(equal | F.coalesce("similar", F.lit(False)))
     return judged.select("k_id", "k_text", "line", equal.alias("equal")).distinct()
