@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.operators import jobs as J
+from creditloom.operators import neighbours as N
 from creditloom.operators import prep as P
 from creditloom.operators import stats as S
 from creditloom.operators import woe as W
@@ -501,6 +502,34 @@ def mutual_information(v: Views) -> DataFrame:
     return m.withColumn("mutual_info", F.round("mutual_info", 9))
 
 
+KNN_COLS = ["loan_amount", "monthly_income", "age"]
+
+
+@query(
+    "mutual_information_knn",
+    "with x as ("
+    + "\nunion all\n".join(f"select '{c}' as feature, default_flag as y, coalesce(cast({c} as double), 0) as v from {{messy}} x" for c in KNN_COLS)
+    + """), sized as (select *, count(*) over (partition by feature, y) as ny, count(*) over (partition by feature) as t from x),
+near as (select *, least(3, ny - 1) as k, list_sort([v - lag(v, 1) over w, v - lag(v, 2) over w, v - lag(v, 3) over w,
+    lead(v, 1) over w - v, lead(v, 2) over w - v, lead(v, 3) over w - v], 'ASC', 'NULLS LAST') as d
+  from sized window w as (partition by feature, y order by v)),
+far as (select *, d[k] as r from near),
+upto as (select feature, v as u, sum(count(*)) over (partition by feature order by v) as le from x group by feature, v),
+high as (select f.*, a.le as hi from far f asof left join upto a on f.feature = a.feature and f.v + f.r > a.u where f.r > 0
+  union all select f.*, a.le from far f join upto a on f.feature = a.feature and f.v = a.u where f.r = 0),
+low as (select f.*, coalesce(a.le, 0) as lo from high f asof left join upto a on f.feature = a.feature and f.v - f.r >= a.u where f.r > 0
+  union all select f.*, coalesce(a.le, 0) from high f asof left join upto a on f.feature = a.feature and f.v > a.u where f.r = 0),
+harmonic as (select i + 1 as n, sum(cast(1 as double) / nullif(i, 0)) over (order by i) as h from range(0, (select max(t) + 1 from sized)) g(i)),
+psi as (select n, coalesce(h, 0) as h from harmonic)
+select feature, round(greatest(0, max(pt.h) + avg(pk.h) - avg(py.h) - avg(pm.h)), 9) as mutual_info
+from low l join psi pt on pt.n = l.t join psi pk on pk.n = l.k join psi py on py.n = l.ny join psi pm on pm.n = cast(l.hi - l.lo as bigint)
+group by feature""",
+)
+def mutual_information_knn(v: Views) -> DataFrame:
+    m = N.neighbour_information(v.messy, KNN_COLS, "default_flag")
+    return m.withColumn("mutual_info", F.round("mutual_info", 9))
+
+
 # -- whole pipelines -------------------------------------------------------------------------------------
 
 
