@@ -1,18 +1,19 @@
 """Licence families of documents, by a trained classifier of word windows and template comparison.
 
 A line is cut into overlapping windows of ``WINDOW`` words, so a notice is judged alike wherever it stands in a
-line.  Windows are bags of words and word pairs, hashed to ``2**BITS`` places.  A multinomial logistic
-regression is fitted to the templates of each family, whole, cut short and inside plain windows, and to plain
-windows of the corpus as the unknown class: at most ``UNKNOWN_ROWS`` from lines without licence words, drawn by
-a hash of the line.  The bars are calibrated on another such draw: a family must be at least as likely as it
-is for all but one in a thousand of those windows.
+line.  A window is the set of the words and word pairs in it that some template has.  The classifier is a naive
+Bayes model of such sets, each template against the unknown class: a term of the template is there because the
+notice has it (the share of the template's whole and cut texts that hold it) or because the text around it has it
+(the share of plain windows that hold it).  A family is as likely as the likeliest of its templates.  The unknown class is counted over every window of every line without
+licence words that holds no template, as often as it occurs.  The bars are worked out over the same windows: a family
+must be at least as likely as it is for all but one in a thousand of them (a quantile sketch, to a rank of 1/10,000).
 
 A likely family counts when the window also holds at least ``CONFIRM`` of the word pairs of one of its
 templates, one of them a pair that no other family has.  Of several such families the one with most pairs
 comes first, and another counts only if that still holds without the pairs of those before it.
 
 Lines and windows without a pair of one family alone are left out before the classifier, which does not
-change the result.  Everything is DataFrame functions and Spark ML, no Python runs on the executors.  Null and
+change the result.  Everything is DataFrame functions and Spark ML transformers, no Python runs on the executors.  Null and
 empty texts have no lines.  A licence is a family on a line: a line with notices of two families counts twice,
 with two of one family once.  Identical rows share their result; documents without a licence get zero and an
 empty list.
@@ -20,24 +21,22 @@ empty list.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, functions as F
 
 from creditloom.llm.common import free_names, row_key
 from creditloom.llm.scratch import materialize
 
-BITS = 13
-UNKNOWN_ROWS = 2000
 CONFIRM = 0.5
 #: Words of a window and from one to the next; any ``WINDOW - STEP + 1`` words in a row lie in one window.
 WINDOW, STEP = 32, 16
-#: Plain windows that each template is put into for the fit.
-INSIDE = 16
+#: Share of the plain windows that stay below the bar of a family.
+BAR = 0.999
 
 # Licence families and short notices of each.
 TEMPLATES = {
@@ -89,8 +88,6 @@ TEMPLATES = {
         "Copyright. All rights reserved.",
     ),
 }
-UNKNOWN = "unknown"
-FAMILIES = (*TEMPLATES, UNKNOWN)
 LICENCE_WORDS = r"(?i)licen[sc]|copyright|all rights|spdx|permission|redistribut|creative commons|\bgpl\b|\bbsd\b|\bmit\b|apache|mozilla"
 
 
@@ -98,8 +95,12 @@ def tokens(paragraph: str | Column) -> Column:
     return F.array_remove(F.split(F.lower(paragraph), r"[^\p{L}\p{N}+-]+"), "")
 
 
+def _words(template: str) -> list[str]:
+    return [w for w in re.split(r"[^\w+-]+", template.lower()) if w]
+
+
 def _pairs(template: str) -> list[str]:
-    words = [w for w in re.split(r"[^\w+-]+", template.lower()) if w]
+    words = _words(template)
     return sorted({" ".join(p) for p in zip(words, words[1:])})
 
 
@@ -117,6 +118,23 @@ def _may_be_confirmed(pairs: str) -> Column:
     return F.arrays_overlap(pairs, F.lit(sorted(set().union(*OWN_PAIRS.values()))))
 
 
+def _term_rows() -> list[tuple[str, int, Counter]]:
+    """The family of each template, its texts (whole and cut short at either end), and how many of them hold a term."""
+    out = []
+    for family, templates in TEMPLATES.items():
+        for template in templates:
+            parts = template.split()
+            cuts = range(0, max(1, len(parts) // 3))
+            texts = [" ".join(part) for cut in cuts for part in (parts[cut:], parts[: len(parts) - cut])]
+            out.append((family, len(texts), Counter(t for text in texts for t in {*_words(text), *_pairs(text)})))
+    return out
+
+
+TERM_ROWS = _term_rows()
+#: Words and word pairs of the templates, those of most templates first; a term's code is its place from 1.
+TERMS = sorted({t for _, _, held in TERM_ROWS for t in held}, key=lambda t: (-sum(t in held for _, _, held in TERM_ROWS), " " in t, t))
+
+
 def windows_of(words: str | Column) -> Column:
     """The windows of an array of words; the last one ends with it."""
     words = F.col(words) if isinstance(words, str) else words
@@ -124,6 +142,15 @@ def windows_of(words: str | Column) -> Column:
     return F.transform(starts, lambda at: F.slice(words, at + 1, WINDOW))
 
 
+def _codes(terms: str) -> Column:
+    """The code of each term of an array, 0 for those that no template has."""
+    return F.transform(terms, lambda t: F.when(t.isin(TERMS), F.array_position(F.lit(TERMS), t)).otherwise(0).cast("short"))
+
+
+def _held(word_codes: Column, pair_codes: Column) -> Column:
+    return F.array_distinct(F.filter(F.concat(word_codes, pair_codes), lambda c: c > 0))
+
+
 def _templates() -> Column:
     """All templates as an array of (family, place of the family, pairs, own pairs)."""
     rows = []
@@ -135,7 +162,7 @@ def _templates() -> Column:
     return F.array(*rows)
 
 
-def _confirmed(pairs: str, p: Column, bars: list[float]) -> Column:
+def _confirmed(pairs: str | Column, p: Column, bars: list[float]) -> Column:
     """Templates (matched, probability, family, shared, ...) that a window with these pairs and probabilities confirms, best first."""
 
     def holds(shared: Column, t: Column) -> Column:
@@ -159,78 +186,88 @@ def _confirmed(pairs: str, p: Column, bars: list[float]) -> Column:
     return F.aggregate(best_first, none, add)
 
 
-def training_rows(paragraphs: DataFrame, rows: int = UNKNOWN_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Rows (paragraph, label) to fit on, and unknown rows to calibrate on."""
-    spark = paragraphs.sparkSession
-    known = []
-    for label, family in enumerate(TEMPLATES):
-        for template in TEMPLATES[family]:
-            words = template.split()
-            for cut in range(0, max(1, len(words) // 3)):
-                known.append((" ".join(words[cut:]), float(label)))
-                known.append((" ".join(words[: len(words) - cut]), float(label)))
-    draw = F.xxhash64("paragraph")
-    plain = paragraphs.filter(~F.col("paragraph").rlike(LICENCE_WORDS)).select("paragraph").distinct().orderBy(draw, "paragraph").limit(2 * rows)
-    # One window of each line; what holds a template without licence words is not plain.
-    cut = plain.withColumn("w", windows_of(tokens("paragraph"))).withColumn("words", F.get("w", F.pmod(F.shiftright(draw, 8), F.size("w")).cast("int")))
-    cut = NGram(n=2, inputCol="words", outputCol="pairs").transform(cut)
-    any_family = _confirmed("pairs", F.lit([1.0] * len(TEMPLATES)), [0.0] * len(TEMPLATES))
-    cut = cut.filter(~_may_be_confirmed("pairs") | (F.size(any_family) == 0))
-    label = F.lit(float(len(TEMPLATES))).alias("label")
-    plain = materialize(cut.select(F.array_join("words", " ").alias("paragraph"), label, (draw % 2 == 0).alias("fit"), draw.alias("draw")), "plain")
-    fit_rows, calibrate = plain.filter("fit").select("paragraph", "label"), plain.filter("not fit").select("paragraph", "label")
-    whole = [(t, float(i)) for i, templates in enumerate(TEMPLATES.values()) for t in templates]
-    around = plain.filter("fit").orderBy("draw", "paragraph").limit(INSIDE).select(F.split("paragraph", " ").alias("w"), "draw")  # fixed size
-    # The template after, before or between plain words, up to a window in all.
-    room = F.greatest(F.lit(0), WINDOW - F.size(tokens("template")))
-    before = F.pmod(F.shiftright("draw", 16), room + 1).cast("int")
-    placed = around.crossJoin(F.broadcast(spark.createDataFrame(whole, "template string, label double"))).select(
-        F.concat_ws(" ", F.slice("w", F.lit(1), before), "template", F.slice("w", before + 1, room - before)).alias("paragraph"), "label"
-    )
-    return spark.createDataFrame(known, "paragraph string, label double").unionByName(fit_rows).unionByName(placed), calibrate
-
-
 def _featured(paragraphs: DataFrame) -> DataFrame:
-    return paragraphs.withColumn("words", tokens("paragraph"))
+    return NGram(n=2, inputCol="words", outputCol="pairs").transform(paragraphs.withColumn("words", tokens("paragraph")))
 
 
-def _stages() -> list:
-    return [
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        HashingTF(numFeatures=2**BITS, binary=True, inputCol="words", outputCol="word_bag"),
-        HashingTF(numFeatures=2**BITS, binary=True, inputCol="pairs", outputCol="pair_bag"),
-    ]
+def plain_windows(paragraphs: DataFrame) -> DataFrame:
+    """``held``, the codes of the terms in it, of every window of a line without licence words that holds no template."""
+    lines = paragraphs.filter(~F.col("paragraph").rlike(LICENCE_WORDS)).select(tokens("paragraph").alias("words"))
+    windows = NGram(n=2, inputCol="words", outputCol="pairs").transform(lines.select(F.explode(windows_of("words")).alias("words")))
+    # Stored first, as a filter on the codes would have them worked out once more.
+    windows = materialize(windows.select(_held(_codes("words"), _codes("pairs")).alias("held")), "plain")
+    named = F.transform("held", lambda c: F.get(F.lit(TERMS), c.cast("int") - 1))
+    any_family = _confirmed(named, F.lit([1.0] * len(TEMPLATES)), [0.0] * len(TEMPLATES))
+    own = sorted(TERMS.index(t) + 1 for t in set().union(*OWN_PAIRS.values()))
+    return windows.filter(~F.arrays_overlap("held", F.lit(own).cast("array<smallint>")) | (F.size(any_family) == 0))
 
 
+@dataclass
 class LicenceModel:
-    """The fitted stages, and the probability that each family needs, in the order of ``TEMPLATES``."""
-
-    def __init__(self, stages: PipelineModel, bars: list[float]):
-        self.stages, self.bars = stages, bars
-
-
-def fit(paragraphs: DataFrame, rows: int = UNKNOWN_ROWS) -> LicenceModel:
-    fit_rows, calibrate = training_rows(paragraphs, rows)
-    model = Pipeline(
-        stages=[
-            *_stages(),
-            VectorAssembler(inputCols=["word_bag", "pair_bag"], outputCol="bag"),
-            LogisticRegression(featuresCol="bag", family="multinomial", regParam=1e-3, maxIter=40, standardization=False),
-        ]
-    ).fit(_featured(materialize(fit_rows, "licence_rows")))
-    scored = model.transform(_featured(calibrate)).select(vector_to_array("probability").alias("p"))
-    tops = scored.agg(*(F.percentile_approx(F.get("p", F.lit(i)), 0.999, 10_000) for i in range(len(TEMPLATES)))).first()
-    return LicenceModel(model, [top or 0.0 for top in tops])
+    """The fitted classifier.
+
+    ``windows`` plain windows were counted, ``background`` of them hold a term.  A template's log odds are its base and the
+    weights of the terms that a window holds, by their code less one (``bases`` and ``weights`` in the order of ``TERM_ROWS``);
+    ``bars`` are the probabilities that the families need, in the order of ``TEMPLATES``.
+    """
+
+    windows: int
+    background: dict[str, int]
+    bases: list[float]
+    weights: list[list[float]]
+    bars: list[float]
+
+    def probabilities(self, held: str | Column) -> Column:
+        def odds(base: float, weights: list[float]) -> Column:
+            return F.aggregate(held, F.lit(base), lambda so_far, c: so_far + F.get(F.lit(weights), c.cast("int") - 1))
+
+        of_family: dict[str, list[Column]] = {family: [] for family in TEMPLATES}
+        for (family, _, _), base, weights in zip(TERM_ROWS, self.bases, self.weights):
+            of_family[family].append(odds(base, weights))
+        return F.array(*[1 / (1 + F.exp(-F.array_max(F.array(*found)))) for found in of_family.values()])
+
+
+def _weights(windows: int, background: dict[str, int]) -> tuple[list[float], list[list[float]]]:
+    """Bases and weights of the templates, with half a window or text added to every count."""
+    bases, weights = [], []
+    for _, rows, held in TERM_ROWS:
+        base, of_terms = 0.0, []
+        for term in TERMS:
+            if term not in held:
+                of_terms.append(0.0)
+                continue
+            around = (background.get(term, 0) + 0.5) / (windows + 1)
+            own = (held[term] + 0.5) / (rows + 1)
+            absent = math.log(1 - own)
+            base += absent
+            of_terms.append(math.log((1 - (1 - own) * (1 - around)) / around) - absent)
+        bases.append(base)
+        weights.append(of_terms)
+    return bases, weights
+
+
+def fit(paragraphs: DataFrame) -> LicenceModel:
+    plain = plain_windows(paragraphs)
+    # One row per term of the templates; code 0 counts the windows.
+    counts = plain.select(F.explode(F.concat(F.array(F.lit(0).cast("short")), "held")).alias("code")).groupBy("code").count().collect()
+    by_code = {r["code"]: r["count"] for r in counts}
+    windows, background = by_code.pop(0, 0), {TERMS[c - 1]: n for c, n in by_code.items() if c}
+    model = LicenceModel(windows, background, *_weights(windows, background), [])
+    scored = plain.select(model.probabilities("held").alias("p"))
+    tops = scored.agg(*(F.percentile_approx(F.get("p", F.lit(i)), BAR, 10_000) for i in range(len(TEMPLATES)))).first()
+    model.bars = [top or 0.0 for top in tops]
+    return model
 
 
 def licence_paragraphs(paragraphs: DataFrame, model: LicenceModel) -> DataFrame:
     """A row for every window of ``paragraphs`` (with a column of that name) and family that it holds, with family and probability."""
     given = paragraphs.columns
     pairs = NGram(n=2, inputCol="words", outputCol="pairs")
-    lines = pairs.transform(_featured(paragraphs)).filter(_may_be_confirmed("pairs"))
+    lines = _featured(paragraphs).filter(_may_be_confirmed("pairs"))
     windows = lines.select(*given, F.explode(windows_of("words")).alias("words"))
-    windows = pairs.transform(windows).filter(_may_be_confirmed("pairs")).drop("pairs")
-    scored = model.stages.transform(windows).select(*given, "pairs", vector_to_array("probability").alias("p"))
+    windows = pairs.transform(windows).filter(_may_be_confirmed("pairs"))
+    held = windows.select(*given, "pairs", _held(_codes("words"), _codes("pairs")).alias("held"))
+    scored = held.select(*given, "pairs", model.probabilities("held").alias("p"))
     # Stored, as the comparison would otherwise run the classifier again for each template.
     scored = materialize(scored, "licence_windows")
     found = scored.select(*given, F.explode(_confirmed("pairs", F.col("p"), model.bars)).alias("found"))

@@ -225,6 +225,24 @@ def test_licences(spark, empty):
     assert licence_query(empty).count() == 0
 
 
+def test_licence_model_counts_every_plain_window(spark):
+    from creditloom.llm.licenses import LICENCE_WORDS, TERMS, fit, paragraphs_of
+
+    # More lines than any sample would hold; rare terms and copies of lines count as often as they occur.
+    texts = [f"line {i} of the corpus {'is governed by rain' if i % 900 == 0 else 'tells nothing'}" for i in range(4500)]
+    texts += ["copied words " * 24] * 10 + ["a license line does not count", None, ""]
+    docs = spark.createDataFrame(rows(texts), DOC)
+    model = fit(paragraphs_of(docs))
+    assert not any(w in LICENCE_WORDS for w in ("governed", "corpus"))
+    assert model.windows == 4500 + 10 * 2
+    assert model.background["of"] == model.background["the"] == 4500
+    assert model.background["governed"] == model.background["governed by"] == 5
+    assert "license" in TERMS and "license" not in model.background
+    assert all(0 <= b < 0.01 for b in model.bars)
+    empty_model = fit(paragraphs_of(docs.limit(0)))
+    assert empty_model.windows == 0 and set(empty_model.bars) == {0.0}
+
+
 def test_licences_of_every_template_alone_and_inside_lines(spark):
     from creditloom.llm.licenses import TEMPLATES, licence_query
 
