@@ -19,28 +19,60 @@ LOG = logging.getLogger(__name__)
 BATCH = 12
 
 
-def _example(f: T.StructField) -> Column:
-    c = F.col(f"`{f.name}`")
-    text = F.to_json(c) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
-    return F.first(text, ignorenulls=True)
+def _text(c: Column, kind: T.DataType) -> Column:
+    return F.to_json(c) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
+
+
+def _counted(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """``i, value_0, ..., n``: how often every value (nulls too) of each column, by its place in ``fields``, occurs.
+
+    Columns of one type share a value column, whole numbers are all longs.  A row holds one value, so what is grouped
+    and shuffled is as narrow as that value, and buffers are whole numbers that a hash aggregation updates in place.
+    """
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    kinds = [T.LongType() if isinstance(f.dataType, whole) else f.dataType for f in fields]
+    slots = list(dict.fromkeys(kinds))
+    cells = []
+    for i, (f, kind) in enumerate(zip(fields, kinds)):
+        values = [F.col(f"`{f.name}`").cast(kind) if kind == slot else F.lit(None).cast(slot) for slot in slots]
+        cells.append(F.struct(F.lit(i).alias("i"), *[v.alias(f"value_{j}") for j, v in enumerate(values)]))
+    names = [f"value_{j}" for j in range(len(slots))]
+    out = df.select(F.inline(F.array(*cells))).groupBy("i", *names).agg(F.count(F.lit(1)).alias("n"))
+    return out.select("i", "n", *[F.col(names[slots.index(kind)]).alias(f"v{i}") for i, kind in enumerate(kinds)])
+
+
+def _exact_row(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """One row of the rows, and for each column its non-null rows, distinct values and a value, from the counted values."""
+    aggs = [F.coalesce(F.sum(F.when(F.col("i") == 0, F.col("n"))), F.lit(0)).alias("__rows")]
+    for i, f in enumerate(fields):
+        here = (F.col("i") == i) & F.col(f"v{i}").isNotNull()
+        aggs += [
+            F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias(f"n{i}"),
+            F.count(F.when(here, 1)).alias(f"u{i}"),
+            F.first(F.when(here, _text(F.col(f"v{i}"), f.dataType)), ignorenulls=True).alias(f"e{i}"),
+        ]
+    return _counted(df, fields).agg(*aggs)
+
+
+def _sketched_row(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for i, f in enumerate(fields):
+        c = F.col(f"`{f.name}`")
+        aggs += [F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"u{i}"), F.first(_text(c, f.dataType), ignorenulls=True).alias(f"e{i}")]
+    return df.agg(*aggs)
 
 
 def inventory(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
     """One row per column: type, null share, distinct count, an example, and name-based roles.
 
-    Exact distinct counts shuffle every value; ``exact=False`` uses the sketch for very large tables.
+    Exact distinct counts shuffle every distinct value; ``exact=False`` uses the sketch for very large tables.
     """
     columns = df.columns
     targets, dates = set(guess_targets(columns)), set(guess_dates(columns))
     parts = []
     for start in range(0, len(columns), BATCH):
         fields = df.schema.fields[start : start + BATCH]
-        aggs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
-        for i, f in enumerate(fields):
-            c = F.col(f"`{f.name}`")
-            distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
-            aggs += [F.count(c).alias(f"n{i}"), distinct.alias(f"u{i}"), _example(f).alias(f"e{i}")]
-        row = df.agg(*aggs)
+        row = _exact_row(df, fields) if exact else _sketched_row(df, fields)
         cells = [
             F.struct(
                 F.lit(f.name).alias("column_name"),

@@ -65,3 +65,17 @@ def test_names():
     ]
     assert pick_id(["a_client_id", "Customer_Ref"], ["client_id", "customer_ref"]) == "Customer_Ref"
     assert pick_id(["other"], ["client_id"]) is None
+
+
+def test_inventory_counts_narrow_values_without_sorting_them(spark):
+    from creditloom.sources.inventory import _exact_row, inventory
+
+    rows = [(1, 10, 0.5, "a", [1]), (2, None, float("nan"), "a", None), (2, 10, -0.0, None, [1]), (None, 7, 0.0, "b", [2])]
+    df = spark.createDataFrame(rows, "k long, s short, x double, t string, l array<int>").repartition(2)
+    plan = _exact_row(df, df.schema.fields)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "distinct" not in plan
+    got = {r.column_name: (r.n_rows, r.dtype, r.null_fraction, r.unique) for r in inventory(df, "d").collect()}
+    assert got == {"k": (4, "bigint", 0.25, 2), "s": (4, "smallint", 0.25, 2), "x": (4, "double", 0.0, 3), "t": (4, "string", 0.25, 2), "l": (4, "array<int>", 0.25, 2)}
+    assert {r.column_name: r.example in (x, y) for r, (x, y) in zip(inventory(df.select("k", "l"), "d").collect(), [("1", "2"), ("[1]", "[2]")])} == {"k": True, "l": True}
+    none = inventory(df.limit(0), "d").collect()
+    assert [(r.n_rows, r.null_fraction, r.unique, r.example) for r in none] == [(0, 0.0, 0, None)] * 5
