@@ -156,19 +156,17 @@ def train_trees(
 ) -> TreeModel:
     """Challenger on numeric inputs; the positive class is weighted by negatives / positives."""
     inputs = safe_features(columns, target)
-    narrow = train.select(F.col(target).cast("int").alias(target), *[as_double(train, c).alias(c) for c in inputs])
+    # Written before anything is counted, so the rows are worked out once.
+    narrow = materialize(train.select(F.col(target).cast("int").alias(target), *[as_double(train, c).alias(c) for c in inputs]), "trees")
     if fills is None:
         row = narrow.agg(*[F.percentile_approx(c, 0.5, 10000).alias(c) for c in inputs]).first()
         fills = {c: float(row[c]) if row[c] is not None else 0.0 for c in inputs}
     counts = {int(r[0]): r[1] for r in narrow.groupBy(target).count().collect()}
     ratio = counts.get(0, 0) / max(counts.get(1, 0), 1)
-    ready = materialize(
-        narrow.select(
-            target,
-            F.when(F.col(target) == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)).alias("w"),
-            *[F.coalesce(c, F.lit(fills[c])).alias(f"__in_{c}") for c in inputs],
-        ),
-        "trees",
+    ready = narrow.select(
+        target,
+        F.when(F.col(target) == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)).alias("w"),
+        *[F.coalesce(c, F.lit(fills[c])).alias(f"__in_{c}") for c in inputs],
     )
     vec = VectorAssembler(inputCols=[f"__in_{c}" for c in inputs], outputCol="__features").transform(ready)
     learner = TREE_KINDS[kind](featuresCol="__features", labelCol=target, weightCol="w", seed=seed)

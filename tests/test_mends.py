@@ -79,3 +79,19 @@ def test_inventory_counts_narrow_values_without_sorting_them(spark):
     assert {r.column_name: r.example in (x, y) for r, (x, y) in zip(inventory(df.select("k", "l"), "d").collect(), [("1", "2"), ("[1]", "[2]")])} == {"k": True, "l": True}
     none = inventory(df.limit(0), "d").collect()
     assert [(r.n_rows, r.null_fraction, r.unique, r.example) for r in none] == [(0, 0.0, 0, None)] * 5
+
+
+def test_trees_work_out_their_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from creditloom.operators.models import train_trees
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def value(i):
+        seen.add(1)
+        return float(i % 7)
+
+    df = spark.range(60).select((F.col("id") % 3 == 0).cast("int").alias("target"), F.udf(value, "double")("id").alias("x"))
+    train_trees(df, "target", ["x"], maxIter=1, maxDepth=1)
+    assert seen.value == 60
