@@ -95,3 +95,7 @@ def test_trees_work_out_their_rows_once(spark):
     df = spark.range(60).select((F.col("id") % 3 == 0).cast("int").alias("target"), F.udf(value, "double")("id").alias("x"))
     train_trees(df, "target", ["x"], maxIter=1, maxDepth=1)
     assert seen.value == 60
+
+
+def test_partitions_of_tasks_that_expand_their_rows_are_small(spark):
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
