@@ -7,8 +7,8 @@ more; lines are judged on the input, whether or not the earlier one is removed i
 Words are ordered by rarity: occurrences are counted over all documents in ``COUNTERS`` hashed counters, a
 table of fixed size, and equal counts are ordered by hash.  Two similar sets share a word of their prefixes
 in this order (prefix filter); a shared word at two positions bounds the overlap (positional filter), so do
-the sizes (length filter) and two words of 64 parity bits (a bit that differs is a word not shared).  What
-is left is verified on the words themselves.  The positional filter holds for the first word two lines share: all
+the sizes (length filter) and parity bits (a bit that differs is a word not shared; 64 of them tell nothing of lines
+of 150 words, so lines of ``WIDE`` words have 256).  What is left is verified on the words themselves.  The positional filter holds for the first word two lines share: all
 words before it, of either line, are not shared.
 
 A prefix word does not give all pairs of its lines.  First every line is compared with the earliest line of each of
@@ -24,6 +24,7 @@ Null texts have no lines, empty lines and lines without words are never removed;
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,7 +39,10 @@ COUNTERS = 2**18
 LEAST_WORDS = 4
 #: The rank from which a word is hot: 256 occurrences.
 HOT = 17
-#: Pairs are verified in so many parts, one after the other, so that only the texts of one part are on disk.
+#: Lines of so many words have ``SIGNS`` columns of 64 parity bits, shorter ones use the first.
+WIDE = 80
+SIGNS = 4
+#: Prefix words are joined and pairs are verified in so many parts, one after the other, so that only the rows of one part are on disk.
 PARTS = 4
 
 
@@ -64,9 +68,19 @@ def word_codes(words: Column, ranks: list[int]) -> Column:
     return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), code))
 
 
-def _parity(codes: Column, shift: int) -> Column:
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(bit(x)))
+def _parities(codes: Column, n: Column) -> list[Column]:
+    """The parity columns b0, b1, ...; together (by exclusive or) they are the 64 parity bits of all words."""
+
+    def bits(mine) -> Column:
+        bit = lambda x: F.call_function("shiftleft", mine(x), x.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(codes, F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(bit(x)))
+
+    own = [bits(lambda x, i=i: (F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(SIGNS - 1)) == i).cast("long")) for i in range(SIGNS)]
+    short = [bits(lambda x: F.lit(1).cast("long")), *[F.lit(0).cast("long")] * (SIGNS - 1)]
+    return [F.when(n >= WIDE, w).when(n >= LEAST_WORDS, s).alias(f"b{i}") for i, (w, s) in enumerate(zip(own, short))]
+
+
+BITS = [f"b{i}" for i in range(SIGNS)]
 
 
 def line_table(docs: DataFrame, ranks: list[int], id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -82,45 +96,51 @@ def line_table(docs: DataFrame, ranks: list[int], id_column: str = "doc_id", tex
         F.xxhash64("codes").alias("c1"),
         F.xxhash64(F.lit(1), "codes").alias("c2"),
         n.alias("n"),
-        F.when(n >= LEAST_WORDS, _parity(F.col("codes"), 0)).alias("bits"),
+        *_parities(F.col("codes"), n),
         F.when(n >= LEAST_WORDS, F.slice("codes", F.lit(1), n - F.ceil(SIMILAR * n - 1e-9).cast("int") + 1)).alias("prefix"),
     )
 
 
 def _may_be_similar(nx: Column, ny: Column, px: Column, py: Column) -> Column:
-    """Length, positional and bit filters for two lines of nx and ny words with bits bx and by."""
+    """Length, positional and bit filters for two lines of nx and ny words with bits b0x, ... and b0y, ..."""
     unlike = nx + ny - 2 * F.ceil(SIMILAR / (1 + SIMILAR) * (nx + ny) - 1e-9)
     near_sizes = F.least(nx, ny) >= SIMILAR * F.greatest(nx, ny) - 1e-9
-    return near_sizes & (px + py <= unlike) & (F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) <= unlike)
+    differ = [F.col(b + "x").bitwiseXOR(F.col(b + "y")) for b in BITS]
+    wide = reduce(Column.__add__, (F.bit_count(d) for d in differ))
+    folded = F.bit_count(reduce(Column.bitwiseXOR, differ))
+    return near_sizes & (px + py <= unlike) & (F.when((nx >= WIDE) & (ny >= WIDE), wide).otherwise(folded) <= unlike)
 
 
-def _prefix_words(classes: DataFrame) -> DataFrame:
+def _prefix_words(classes: DataFrame, part: int) -> DataFrame:
     named = classes.filter(F.col("n") >= LEAST_WORDS)
-    return named.select("*", F.posexplode("prefix").alias("p", "word")).withColumn("hot", F.shiftrightunsigned("word", 56) >= HOT).drop("prefix")
+    words = named.select("*", F.posexplode("prefix").alias("p", "word")).drop("prefix").filter(F.col("word").bitwiseAND(F.lit(PARTS - 1)) == part)
+    return words.withColumn("hot", F.shiftrightunsigned("word", 56) >= HOT)
 
 
-def _with_heads(classes: DataFrame, tables: Tables) -> DataFrame:
-    """Pairs (cx, cy) of a line and the earliest line of one of its prefix words that may be similar."""
-    words = _prefix_words(classes)
+def _with_heads(classes: DataFrame, tables: Tables, part: int) -> DataFrame:
+    """Pairs (cx, cy) of a line and the earliest line of one of its prefix words (of this part) that may be similar."""
+    words = _prefix_words(classes, part)
     place = F.struct("k_id", "line", "k_text")
-    heads = words.groupBy("word").agg(F.min(F.struct(place.alias("at"), "c1", "bits", "n", "p")).alias("h"), F.count("*").alias("m")).filter("m > 1")
-    heads = tables.write(heads.select("word", F.col("h.at").alias("ax"), F.col("h.c1").alias("cx"), F.col("h.bits").alias("bx"), F.col("h.n").alias("nx"), F.col("h.p").alias("px")), "heads")
-    met = words.select("word", place.alias("ay"), F.col("c1").alias("cy"), F.col("bits").alias("by"), "n", "p").join(heads, "word")
+    heads = words.groupBy("word").agg(F.min(F.struct(place.alias("at"), "c1", *BITS, "n", "p")).alias("h"), F.count("*").alias("m")).filter("m > 1")
+    bits = [F.col(f"h.{b}").alias(b + "x") for b in BITS]
+    heads = tables.write(heads.select("word", F.col("h.at").alias("ax"), F.col("h.c1").alias("cx"), *bits, F.col("h.n").alias("nx"), F.col("h.p").alias("px")), "heads")
+    bits = [F.col(b).alias(b + "y") for b in BITS]
+    met = words.select("word", place.alias("ay"), F.col("c1").alias("cy"), *bits, "n", "p").join(heads, "word")
     near = _may_be_similar(F.col("nx"), F.col("n"), F.col("px"), F.col("p"))
     return met.filter((F.col("ax") < F.col("ay")) & near).select("cx", "cy").distinct()
 
 
-def _all_open(classes: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs (cx, cy) of lines that share a prefix word and may be similar, if the later one is not settled."""
-    marked = classes.join(settled.select("c1", F.lit(True).alias("settled")), "c1", "left")
-    words = _prefix_words(marked)
+def _all_open(classes: DataFrame, part: int) -> DataFrame:
+    """Pairs (cx, cy) of lines that share a prefix word (of this part) and may be similar, if the later one is not ``settled``."""
+    words = _prefix_words(classes, part)
     # Sizes of similar lines lie in the same class or in neighbouring ones: a line is in its own and in the next.
     size_class = F.floor(F.log("n") / F.lit(-math.log(SIMILAR - 1e-6))).cast("int")
     sizes = F.when(F.col("hot"), F.array(size_class, size_class + 1)).otherwise(F.array(F.lit(0)))
     left = F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32))
     packed = left.bitwiseOR(F.col("p").cast("long") * 2 + F.when(F.col("settled"), 0).otherwise(1))
-    postings = words.select("word", F.explode(sizes).alias("size"), "k_id", "c1", "bits", packed.alias("packed"))
-    x, y = (postings.select("word", "size", *(F.col(c).alias(c[0] + side) for c in ("k_id", "c1", "bits", "packed"))) for side in "xy")
+    postings = words.select("word", F.explode(sizes).alias("size"), "k_id", "c1", *BITS, packed.alias("packed"))
+    short = {"k_id": "k", "c1": "c", "packed": "p"}
+    x, y = (postings.select("word", "size", *(F.col(c).alias(short.get(c, c) + side) for c in ("k_id", "c1", *BITS, "packed"))) for side in "xy")
     n, p = (lambda v: F.shiftrightunsigned(v, 32)), (lambda v: F.shiftrightunsigned(F.col(v).bitwiseAND(F.lit(2**32 - 1)), 1))
     near = _may_be_similar(n("px"), n("py"), p("px"), p("py"))
     is_open = lambda v: F.col(v).bitwiseAND(F.lit(1)) == 1
@@ -130,6 +150,18 @@ def _all_open(classes: DataFrame, settled: DataFrame) -> DataFrame:
     return x.join(y, ["word", "size"]).filter(ordered & near).select("cx", "cy").distinct()
 
 
+def _in_parts(make: Callable[[int], DataFrame], tables: Tables) -> DataFrame:
+    """The pairs of all parts, each once, as the table ``pairs``."""
+    found = []
+    for part in range(PARTS):
+        found.append(tables.write(make(part), f"pairs{part}"))
+        if "heads" in tables.paths:
+            tables.drop("heads")
+    out = tables.write(reduce(DataFrame.unionByName, found).distinct(), "pairs")
+    tables.drop(*(f"pairs{part}" for part in range(PARTS)))
+    return out
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text: str, tables: Tables, name: str) -> DataFrame:
     """c1 of the later class of each pair (cx, cy) that is similar in its words, as a table of this name."""
     asked = pairs.select(F.explode(F.array("cx", "cy")).alias("c1")).distinct()
@@ -165,16 +197,16 @@ def repeated_lines(docs: DataFrame, tables: Tables, id_column: str = "doc_id", t
     """
     lines = tables.write(line_table(docs, word_ranks(docs, text), id_column, text), "lines").filter("n > 0")
     first = F.min(F.struct("k_id", "line", "k_text")).alias("f")
-    kept = F.first(F.struct("n", "bits", "prefix")).alias("s")
+    kept = F.first(F.struct("n", *BITS, "prefix")).alias("s")
     grouped = lines.groupBy("c1", "c2").agg(first, kept, F.count("*").alias("m"))
     classes = tables.write(grouped.select("c1", "c2", "m", "f.*", "s.*"), "classes")
     places = tables.write(lines.select("k_id", "k_text", "line", "c1", "c2"), "places")
     tables.drop("lines")
-    pairs = tables.write(_with_heads(classes, tables), "pairs")
-    tables.drop("heads")
+    pairs = _in_parts(lambda part: _with_heads(classes, tables, part), tables)
     settled = _verified(pairs, classes, docs, id_column, text, tables, "settled")
     tables.drop("pairs")
-    pairs = tables.write(_all_open(classes, settled), "pairs")
+    marked = classes.join(settled.select("c1", F.lit(True).alias("settled")), "c1", "left")
+    pairs = _in_parts(lambda part: _all_open(marked, part), tables)
     more = _verified(pairs, classes, docs, id_column, text, tables, "more")
     tables.drop("pairs")
     similar = settled.unionByName(more).distinct()
