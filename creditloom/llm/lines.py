@@ -8,7 +8,8 @@ Words are ordered by rarity: occurrences are counted over all documents in ``COU
 table of fixed size, and equal counts are ordered by hash.  Two similar sets share a word of their prefixes
 in this order (prefix filter); a shared word at two positions bounds the overlap (positional filter), so do
 the sizes (length filter) and parity bits (a bit that differs is a word not shared; 64 of them tell nothing of lines
-of 150 words, so lines of ``WIDE`` words have 256).  What is left is verified on the words themselves.  The positional filter holds for the first word two lines share: all
+of 150 words and little inside
+a family of copies of 70, so lines of ``WIDE`` words have 256).  What is left is verified on the words themselves.  The positional filter holds for the first word two lines share: all
 words before it, of either line, are not shared.
 
 A prefix word does not give all pairs of its lines.  First every line is compared with the earliest line of each of
@@ -40,7 +41,7 @@ LEAST_WORDS = 4
 #: The rank from which a word is hot: 256 occurrences.
 HOT = 17
 #: Lines of so many words have ``SIGNS`` columns of 64 parity bits, shorter ones use the first.
-WIDE = 80
+WIDE = 40
 SIGNS = 4
 #: Prefix words are joined and pairs are verified in so many parts, one after the other, so that only the rows of one part are on disk.
 PARTS = 4

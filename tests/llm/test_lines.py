@@ -65,3 +65,42 @@ def test_long_lines_with_a_rare_word_in_common_are_not_all_verified(spark):
     assert lines.repeated_lines(docs, tables).count() == 0
     # All pairs: 3,160.
     assert tables.pairs < 32
+
+
+def _family(rng, members):
+    """Copies of one line of 72 words, each with other words changed, so that most are similar to the first, but few to one another."""
+    base = [f"w{i}" for i in range(72)]
+    out = [base]
+    for m in range(members):
+        at = set(rng.sample(range(72), 6))
+        out.append([f"x{rng.randrange(4000)}" if i in at else w for i, w in enumerate(base)])
+    return out
+
+
+def test_copies_of_medium_lines_that_are_not_similar_are_not_all_verified(spark):
+    rng = random.Random(5)
+    base, *rest = _family(rng, 120)
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(rest)], "doc_id long, text string")
+    tables = Counted(spark)
+    got = {r.k_id for r in lines.repeated_lines(docs, tables).collect()}
+    sets = [frozenset(words) for words in rest]
+    assert got == {i for i, w in enumerate(sets) if any(len(w & v) >= 0.8 * len(w | v) - 1e-9 for v in sets[:i])}
+    # All pairs: 7,140.
+    assert tables.pairs < 1500
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_lines_around_the_wide_signature_match_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    common = [f"w{i}" for i in range(300)]
+    made = []
+    for _ in range(25):
+        base = rng.sample(common, rng.choice([38, lines.WIDE - 1, lines.WIDE, lines.WIDE + 1, 48, 60]))
+        made.append(base)
+        for _ in range(4):
+            changed = [w for w in base if rng.random() > rng.choice([0.02, 0.1, 0.2])]
+            made.append(changed + rng.sample(common, rng.randrange(6)))
+    rng.shuffle(made)
+    texts = ["\n".join(" ".join(line) for line in made[i : i + 3]) for i in range(0, len(made), 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.removed_lines for r in lines.lines_query(docs).collect()} == brute(texts)
