@@ -12,8 +12,9 @@ A likely family counts when the window also holds at least ``CONFIRM`` of the wo
 templates, one of them a pair that no other family has.  Of several such families the one with most pairs
 comes first, and another counts only if that still holds without the pairs of those before it.
 
-Lines and windows without a pair of one family alone are left out before the classifier, which does not
-change the result.  Everything is DataFrame functions and Spark ML transformers, no Python runs on the executors.  Null and
+Each line is coded once: a short code for every word and every pair of neighbouring words, 0 for those no template has;
+windows are cut from the codes.  Lines and windows without a pair of one family alone are left out before the classifier,
+which does not change the result.  Everything is DataFrame functions, no Python runs on the executors.  Null and
 empty texts have no lines.  A licence is a family on a line: a line with notices of two families counts twice,
 with two of one family once.  Identical rows share their result; documents without a licence get zero and an
 empty list.
@@ -25,8 +26,8 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, functions as F
 
 from creditloom.llm.common import free_names, row_key
@@ -113,11 +114,6 @@ def _own_pairs() -> dict[str, set[str]]:
 OWN_PAIRS = _own_pairs()
 
 
-def _may_be_confirmed(pairs: str) -> Column:
-    """Whether one of the pairs belongs to one family alone, without which nothing is confirmed."""
-    return F.arrays_overlap(pairs, F.lit(sorted(set().union(*OWN_PAIRS.values()))))
-
-
 def _term_rows() -> list[tuple[str, int, Counter]]:
     """The family of each template, its texts (whole and cut short at either end), and how many of them hold a term."""
     out = []
@@ -135,35 +131,83 @@ TERM_ROWS = _term_rows()
 TERMS = sorted({t for _, _, held in TERM_ROWS for t in held}, key=lambda t: (-sum(t in held for _, _, held in TERM_ROWS), " " in t, t))
 
 
-def windows_of(words: str | Column) -> Column:
-    """The windows of an array of words; the last one ends with it."""
-    words = F.col(words) if isinstance(words, str) else words
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - (WINDOW - STEP + 1), F.lit(0)), F.lit(STEP))
-    return F.transform(starts, lambda at: F.slice(words, at + 1, WINDOW))
+#: The code of each pair of word codes that is a term, by ``_pair_key``.
+PAIR_CODES = {TERMS.index(t.split(" ")[0]) + 1 << 16 | TERMS.index(t.split(" ")[1]) + 1: c for c, t in enumerate(TERMS, 1) if " " in t}
+OWN_CODES = sorted(TERMS.index(t) + 1 for t in set().union(*OWN_PAIRS.values()))
+#: In lower case; a line without any of them has no licence words.
+LICENCE_HINTS = ("licens", "licenc", "copyright", "all rights", "spdx", "permission", "redistribut", "creative commons", "gpl", "bsd", "mit", "apache", "mozilla")
+
+
+def _has_licence_words(paragraph: str) -> Column:
+    """Whether a line has ``LICENCE_WORDS``; the expression runs only on lines with one of the hints."""
+    lower = F.lower(paragraph)
+    hinted = reduce(Column.__or__, (lower.contains(hint) for hint in LICENCE_HINTS))
+    return hinted & F.col(paragraph).rlike(LICENCE_WORDS)
+
+
+def _codes(words: str) -> Column:
+    """The code of each word of an array, 0 for those that no template has."""
+    known = [t for t in TERMS if " " not in t]
+    codes = F.lit([TERMS.index(t) + 1 for t in known])
+    return F.transform(words, lambda t: F.when(t.isin(known), F.get(codes, F.array_position(F.lit(known), t).cast("int") - 1)).otherwise(0).cast("short"))
+
+
+def _pair_codes(word_codes: str) -> Column:
+    """The code of each pair of neighbouring words, by the codes of its words."""
+    n = F.greatest(F.size(word_codes) - 1, F.lit(0))
+    keys, codes = F.lit(list(PAIR_CODES)), F.lit(list(PAIR_CODES.values()))
+
+    def code(x: Column, y: Column) -> Column:
+        key = F.call_function("shiftleft", x.cast("int"), F.lit(16)).bitwiseOR(y.cast("int"))
+        found = F.when(key.isin(list(PAIR_CODES)), F.get(codes, F.array_position(keys, key).cast("int") - 1)).otherwise(0)
+        return F.when((x > 0) & (y > 0), found).otherwise(0).cast("short")
+
+    return F.zip_with(F.slice(word_codes, F.lit(1), n), F.slice(word_codes, F.lit(2), n), code)
 
 
-def _codes(terms: str) -> Column:
-    """The code of each term of an array, 0 for those that no template has."""
-    return F.transform(terms, lambda t: F.when(t.isin(TERMS), F.array_position(F.lit(TERMS), t)).otherwise(0).cast("short"))
+def coded_lines(paragraphs: DataFrame) -> DataFrame:
+    """``paragraphs`` with ``plain`` (no licence words) and the codes of the words and word pairs of each line, stored."""
+    given = [c for c in paragraphs.columns if c != "paragraph"]
+    words = paragraphs.select(*given, (~_has_licence_words("paragraph")).alias("plain"), tokens("paragraph").alias("words"))
+    coded = words.select(*given, "plain", _codes("words").alias("word_codes"))
+    # Stored first, as a filter on the codes would have them worked out once more.
+    return materialize(coded.select("*", _pair_codes("word_codes").alias("pair_codes")), "licence_lines")
+
+
+def windows_of() -> Column:
+    """The windows of a coded line, as (held, pairs); the last one ends with it."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("word_codes") - (WINDOW - STEP + 1), F.lit(0)), F.lit(STEP))
 
+    def window(at: Column) -> Column:
+        pairs = F.filter(F.slice("pair_codes", at + 1, WINDOW - 1), lambda c: c > 0)
+        words = F.filter(F.slice("word_codes", at + 1, WINDOW), lambda c: c > 0)
+        return F.struct(F.array_distinct(F.concat(words, pairs)).alias("held"), pairs.alias("pairs"))
 
-def _held(word_codes: Column, pair_codes: Column) -> Column:
-    return F.array_distinct(F.filter(F.concat(word_codes, pair_codes), lambda c: c > 0))
+    return F.transform(starts, window)
+
+
+def _may_be_confirmed(codes: str) -> Column:
+    """Whether one of the pairs belongs to one family alone, without which nothing is confirmed."""
+    return F.arrays_overlap(codes, F.lit(OWN_CODES).cast("array<smallint>"))
 
 
 def _templates() -> Column:
-    """All templates as an array of (family, place of the family, pairs, own pairs)."""
+    """All templates as an array of (family, place of the family, order of its pairs, codes of its pairs and own pairs)."""
+    order = {pairs: i for i, pairs in enumerate(sorted({tuple(_pairs(t)) for templates in TEMPLATES.values() for t in templates}))}
+    code = {t: c for c, t in enumerate(TERMS, 1)}
+    codes = lambda pairs: F.array(*(F.lit(code[p]).cast("short") for p in pairs)).cast("array<smallint>")
     rows = []
     for label, (family, templates) in enumerate(TEMPLATES.items()):
         for template in templates:
             pairs = _pairs(template)
             own = [p for p in pairs if p in OWN_PAIRS[family]]
-            rows.append(F.struct(F.lit(family).alias("family"), F.lit(label).alias("label"), F.lit(pairs).alias("pairs"), F.lit(own).alias("own")))
+            place = F.lit(label).alias("label"), F.lit(order[tuple(pairs)]).alias("order")
+            rows.append(F.struct(F.lit(family).alias("family"), *place, codes(pairs).alias("pairs"), codes(own).alias("own")))
     return F.array(*rows)
 
 
 def _confirmed(pairs: str | Column, p: Column, bars: list[float]) -> Column:
-    """Templates (matched, probability, family, shared, ...) that a window with these pairs and probabilities confirms, best first."""
+    """Templates (matched, probability, family, shared, ...) that a window with these codes and probabilities confirms, best first."""
 
     def holds(shared: Column, t: Column) -> Column:
         return (F.size(shared) >= CONFIRM * F.size(t["pairs"])) & F.arrays_overlap(shared, t["own"])
@@ -172,10 +216,11 @@ def _confirmed(pairs: str | Column, p: Column, bars: list[float]) -> Column:
         shared = F.array_intersect(pairs, t["pairs"])
         return F.struct(
             F.size(shared).alias("matched"), F.get(p, t["label"]).alias("probability"), t["family"].alias("family"),
-            t["pairs"].alias("pairs"), t["own"].alias("own"), shared.alias("shared"), F.get(F.lit(bars), t["label"]).alias("bar"),
+            t["order"].alias("order"), t["pairs"].alias("pairs"), t["own"].alias("own"), shared.alias("shared"),
         )
 
-    found = F.filter(F.transform(_templates(), compared), lambda t: holds(t["shared"], t) & (t["probability"] >= t["bar"]))
+    likely = F.filter(_templates(), lambda t: F.get(p, t["label"]) >= F.get(F.lit(bars), t["label"]))
+    found = F.filter(F.transform(likely, compared), lambda t: holds(t["shared"], t))
     best_first = F.sort_array(found, asc=False)
     none = F.slice(best_first, 1, 0)
 
@@ -186,20 +231,11 @@ def _confirmed(pairs: str | Column, p: Column, bars: list[float]) -> Column:
     return F.aggregate(best_first, none, add)
 
 
-def _featured(paragraphs: DataFrame) -> DataFrame:
-    return NGram(n=2, inputCol="words", outputCol="pairs").transform(paragraphs.withColumn("words", tokens("paragraph")))
-
-
-def plain_windows(paragraphs: DataFrame) -> DataFrame:
-    """``held``, the codes of the terms in it, of every window of a line without licence words that holds no template."""
-    lines = paragraphs.filter(~F.col("paragraph").rlike(LICENCE_WORDS)).select(tokens("paragraph").alias("words"))
-    windows = NGram(n=2, inputCol="words", outputCol="pairs").transform(lines.select(F.explode(windows_of("words")).alias("words")))
-    # Stored first, as a filter on the codes would have them worked out once more.
-    windows = materialize(windows.select(_held(_codes("words"), _codes("pairs")).alias("held")), "plain")
-    named = F.transform("held", lambda c: F.get(F.lit(TERMS), c.cast("int") - 1))
-    any_family = _confirmed(named, F.lit([1.0] * len(TEMPLATES)), [0.0] * len(TEMPLATES))
-    own = sorted(TERMS.index(t) + 1 for t in set().union(*OWN_PAIRS.values()))
-    return windows.filter(~F.arrays_overlap("held", F.lit(own).cast("array<smallint>")) | (F.size(any_family) == 0))
+def plain_windows(lines: DataFrame) -> DataFrame:
+    """``held``, the codes of the terms in it, of every window of a coded line without licence words that holds no template; stored."""
+    windows = lines.filter("plain").select(F.explode(windows_of()).alias("w")).select("w.held")
+    any_family = _confirmed("held", F.lit([1.0] * len(TEMPLATES)), [0.0] * len(TEMPLATES))
+    return materialize(windows.filter(~_may_be_confirmed("held") | (F.size(any_family) == 0)), "plain")
 
 
 @dataclass
@@ -247,7 +283,11 @@ def _weights(windows: int, background: dict[str, int]) -> tuple[list[float], lis
 
 
 def fit(paragraphs: DataFrame) -> LicenceModel:
-    plain = plain_windows(paragraphs)
+    return fit_coded(coded_lines(paragraphs))
+
+
+def fit_coded(lines: DataFrame) -> LicenceModel:
+    plain = plain_windows(lines)
     # One row per term of the templates; code 0 counts the windows.
     counts = plain.select(F.explode(F.concat(F.array(F.lit(0).cast("short")), "held")).alias("code")).groupBy("code").count().collect()
     by_code = {r["code"]: r["count"] for r in counts}
@@ -259,17 +299,13 @@ def fit(paragraphs: DataFrame) -> LicenceModel:
     return model
 
 
-def licence_paragraphs(paragraphs: DataFrame, model: LicenceModel) -> DataFrame:
-    """A row for every window of ``paragraphs`` (with a column of that name) and family that it holds, with family and probability."""
-    given = paragraphs.columns
-    pairs = NGram(n=2, inputCol="words", outputCol="pairs")
-    lines = _featured(paragraphs).filter(_may_be_confirmed("pairs"))
-    windows = lines.select(*given, F.explode(windows_of("words")).alias("words"))
-    windows = pairs.transform(windows).filter(_may_be_confirmed("pairs"))
-    held = windows.select(*given, "pairs", _held(_codes("words"), _codes("pairs")).alias("held"))
-    scored = held.select(*given, "pairs", model.probabilities("held").alias("p"))
+def licence_lines(lines: DataFrame, model: LicenceModel) -> DataFrame:
+    """A row for every window of coded ``lines`` and family that it holds, with family and probability."""
+    given = [c for c in lines.columns if c not in ("plain", "word_codes", "pair_codes")]
+    windows = lines.filter(_may_be_confirmed("pair_codes")).select(*given, F.explode(windows_of()).alias("w")).select(*given, "w.*")
+    windows = windows.filter(_may_be_confirmed("pairs"))
     # Stored, as the comparison would otherwise run the classifier again for each template.
-    scored = materialize(scored, "licence_windows")
+    scored = materialize(windows.select(*given, "pairs", model.probabilities("held").alias("p")), "licence_windows")
     found = scored.select(*given, F.explode(_confirmed("pairs", F.col("p"), model.bars)).alias("found"))
     return found.select(*given, "found.family", "found.probability")
 
@@ -282,9 +318,9 @@ def paragraphs_of(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
 
 def scan(docs: DataFrame, model: LicenceModel | None = None, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
     """``docs`` with n_licences, families (sorted, distinct) and the best probability; and the columns' names."""
-    paragraphs = paragraphs_of(docs, id_column, text)
-    model = model or fit(paragraphs)
-    found = licence_paragraphs(paragraphs, model)
+    lines = coded_lines(paragraphs_of(docs, id_column, text))
+    model = model or fit_coded(lines)
+    found = licence_lines(lines, model)
     a, b, *names = free_names(docs, ["k_id", "k_text", "n_licences", "families", "probability"])
     found = found.groupBy("k_id", "k_text", "place", "family").agg(F.max("probability").alias("probability"))
     per_row = found.groupBy("k_id", "k_text").agg(F.count("*"), F.array_sort(F.collect_set("family")), F.max("probability"))
