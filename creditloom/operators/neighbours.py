@@ -99,8 +99,10 @@ def neighbour_information(df: DataFrame, columns: Sequence[str], target: str, k:
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(n).alias("value")) for n, c in zip(names, columns)])
     counted = filled.select("y", F.inline(cells)).groupBy("feature", "y", "value").agg(F.count(F.lit(1)).alias("n"))
     counted = materialize(_place(counted, columns, cuts, "value"), "neighbour_values")
-    classes = counted.groupBy("feature", "y").agg(F.sum("n").alias("n_class")).filter("n_class > 1")
-    values = counted.join(classes, ["feature", "y"])
+    # Joined by bucket as well: a join by class alone would deal a class to one task, and the windows inside buckets would stay there.
+    sizes = counted.groupBy("feature", "y", "bucket").agg(F.sum("n").alias("n_bucket"))
+    n_class = F.sum("n_bucket").over(Window.partitionBy("feature", "y")).alias("n_class")
+    values = counted.join(sizes.select("feature", "y", "bucket", n_class).filter("n_class > 1"), ["feature", "y", "bucket"])
     queries = materialize(_distances(values, k), "neighbour_distances")
 
     # Cumulative counts at the ends: an end below a value at the same place counts less than it, one above counts it too.

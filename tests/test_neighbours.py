@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from creditloom.operators import neighbours
 from creditloom.operators.neighbours import digamma, neighbour_information
 
 
@@ -54,3 +55,28 @@ def test_digamma(spark):
 
 def test_empty(spark):
     assert neighbour_information(spark.createDataFrame([], "y int, value double"), ["value"], "y").count() == 0
+
+
+def test_a_class_is_not_worked_on_in_one_task(spark, monkeypatch):
+    inner, most = neighbours._distances, []
+
+    def counted(values, k):
+        # The windows run where the values lie: any set of their keys is a fair deal to Spark.
+        dealt = values.groupBy("feature", "y", F.spark_partition_id().alias("task")).count().groupBy("feature", "y")
+        most.extend(r.most / r.all for r in dealt.agg(F.max("count").alias("most"), F.sum("count").alias("all")).collect())
+        return inner(values, k)
+
+    monkeypatch.setattr(neighbours, "_distances", counted)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        rng = random.Random(11)
+        rows = [(i % 2, rng.gauss(0, 1)) for i in range(2000)]
+        neighbour_information(spark.createDataFrame(rows, "y int, value double"), ["value"], "y", 3, 64).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(most) == 2
+    assert max(most) < 0.6
