@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from creditloom.llm.common import append, mix, U64, utf8, word_hashes, word_spans
+from creditloom.llm.tokens import forget_pieces
 
 PER_LABEL = 3000
 NEIGHBOURS = 25
@@ -155,6 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Neigh
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("l_id", "l_label", "text")
 
     def make():
+        forget_pieces()
+
         def work(column: pa.Array):
             borders, features, often = bags(column)
             borders = pa.array(borders.astype(np.int32))
@@ -179,6 +182,7 @@ def quality(docs: DataFrame, model: Neighbours, text: str = "text", threshold: f
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        forget_pieces()
         model = shared.value
 
         def work(column: pa.Array):

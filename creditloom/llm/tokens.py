@@ -148,6 +148,12 @@ def encoder(path: str | None, lengths_only: bool) -> Encoder:
     return _encoders[key]
 
 
+def forget_pieces() -> None:
+    """Empty the tables of pieces of this Python worker: steps that encode nothing need their room, encoders are kept."""
+    for known in _encoders.values():
+        known.known = {}
+
+
 def token_counts(docs: DataFrame, text: str = "text", limit: int = 1024, tokenizer: str | None = None) -> tuple[DataFrame, list[str]]:
     """``docs`` with the UTF-8 bytes and tokens of each text, and whether it has more than ``limit`` tokens.
 

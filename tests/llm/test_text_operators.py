@@ -303,3 +303,18 @@ def test_pipeline_stages(spark):
     before = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert pieces and {r.doc_id for r in pieces} <= before
+
+
+def test_quality_starts_without_the_pieces_of_the_encoders(spark, docs, monkeypatch):
+    inner, starts = quality.append, []
+    monkeypatch.setattr(quality, "append", lambda df, text, fields, make: starts.append(make) or inner(df, text, fields, make))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 14)], "doc_id long, quality int")
+    quality.quality(docs, quality.fit(docs, labels))
+    assert len(starts) == 2
+    for start in starts:
+        encode = tokens.encoder(None, True)
+        before = encode.batch(["one two", "two three"])
+        assert encode.known
+        start()
+        assert not encode.known
+        assert encode.batch(["one two", "two three"]) == before
