@@ -1,17 +1,23 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
-A document is the bag of its runs of five words, weighted by term frequency and inverse document frequency.
+A document is the bag of its runs of five words.  Two documents are similar if the Jaccard similarity of their
+bags is 0.8 with runs weighted by inverse document frequency, or with all runs alike.  The weights look past
+passages that many documents share; but what a large family of copies has in common is frequent too, and weighs
+less than the few runs in which two of its members differ, the less the larger the family.  The plain similarity
+of two texts does not depend on how many copies there are.
+
 Document frequencies are counted over all documents in a table of ``CLASSES`` hashed counters, whose size
 and relative error do not depend on the corpus; what all counters have on average is taken off as noise.
-``BANDS * ROWS`` samples are drawn per document so that two documents agree in one with a probability equal
-to their weighted Jaccard similarity; ``ROWS`` samples make the key of a band.
+``BANDS * ROWS`` samples of either kind are drawn per document so that two documents agree in one with a probability
+equal to their similarity of that kind; ``ROWS`` samples make the key of a band.
 
-Documents of equal words are one node.  In each bucket of a band the members are first compared with a few
-hubs: the member with the most company over all its buckets, which in a family of copies is the one they all
-resemble, and some drawn by hash.  So a bucket never gives all its pairs.  What those comparisons leave in
-different components of a bucket is then compared across components; pairs whose samples agree so seldom
-that a similarity of 0.8 is 3.5 standard deviations away are left out inside that join.  Every link is
-verified by the weighted Jaccard similarity of the whole texts; classes are the connected components.
+Documents of equal words are one node.  In each bucket of a band the members are first compared with a
+hub: the member with the most company over all its buckets, which in a family of copies is the one they all
+resemble.  What that leaves in different components of a bucket is compared with a few more hubs drawn by hash,
+and what is still apart across components; so a bucket never gives all its pairs.  In the last two comparisons
+pairs whose samples of both kinds agree so seldom that a similarity of 0.8 is 3.5 standard deviations away are
+left out inside the join.  Every link is verified by the similarities of the whole texts; classes are the
+connected components.
 
 Null texts and texts without words are classes of their own; a text of fewer than five words is one run.
 Identical rows share a class; ids may repeat with different texts.  Classes are named by their least id.
@@ -31,10 +37,9 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 18, 5
 DRAWN_HUBS = 5
-#: More samples for texts that go through the comparison across components, and how many of them two texts of
-#: similarity 0.8 have in common but for 3.5 standard deviations.
-FINE = 384
-AGREE = int(FINE * SIMILAR - 3.5 * (FINE * SIMILAR * (1 - SIMILAR)) ** 0.5)
+#: More samples for texts in buckets of several components, weighted and plain, of two bits each.
+FINE, FINE_PLAIN = 384, 1024
+_LOW_BITS = 0x5555555555555555
 CLASSES = 65_536
 #: Text bytes of one vectorised step of the sampling, so that its arrays stay in the processor's cache.
 SAMPLE_STEP = 300_000
@@ -42,6 +47,12 @@ SAMPLE_STEP = 300_000
 _SHINGLE_BITS = 48
 
 
+def _may_differ(count: int, deviations: float) -> int:
+    """In how many of ``count`` samples of two bits two texts of similarity 0.8 differ at most but for ``deviations``."""
+    unlike = (1 - SIMILAR) * 3 / 4
+    return int(count * unlike + deviations * (count * unlike * (1 - unlike)) ** 0.5) + 1
+
+
 def shingles(column: pa.Array, size: int = SHINGLE):
     """Distinct shingles of the texts of a column: code, how often, and the borders of the rows; and two hashes of each text's words."""
     raw, borders = utf8(column)
@@ -105,24 +116,43 @@ def _gamma_quantiles() -> np.ndarray:
     return x
 
 
-def sampler(idf: np.ndarray, count: int, seed: int):
+def _hashed(codes: np.ndarray, seed: np.uint64) -> np.ndarray:
+    h = (codes ^ seed) * U64(0x9FB21C651E98DF25)
+    h ^= h >> U64(32)
+    h *= U64(0xD6E8FEB86659FD93)
+    return h
+
+
+def sampler(idf: np.ndarray, count: int, seed: int, plain_count: int):
     gamma = _gamma_quantiles()
     rate, log_c = gamma.astype(np.float32), np.log(gamma).astype(np.float32)
-    seeds = np.random.default_rng(seed).integers(1, 2**63, count, dtype=np.uint64)
+    seeds = np.random.default_rng(seed).integers(1, 2**63, max(count, plain_count), dtype=np.uint64)
 
-    def samples(codes: np.ndarray, often: np.ndarray, borders: np.ndarray) -> np.ndarray:
-        """``count`` samples of every row that has shingles; others keep zeros."""
+    def samples(codes: np.ndarray, often: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``count`` weighted and ``plain_count`` plain samples of every row that has shingles; others keep zeros."""
         out = np.zeros((count, len(borders) - 1), np.uint64)
+        plain = np.zeros((plain_count, len(borders) - 1), np.uint64)
         rows = np.flatnonzero(np.diff(borders) > 0)
         if not len(rows):
-            return out
+            return out, plain
         begin = borders[:-1][rows]
         counts = np.diff(borders)[rows]
         log_w = np.log(often * idf[counter_of(codes)]).astype(np.float32)
-        for k in range(count):
-            h = (codes ^ seeds[k]) * U64(0x9FB21C651E98DF25)
-            h ^= h >> U64(32)
-            h *= U64(0xD6E8FEB86659FD93)
+        # The second and later occurrences of a shingle are elements of their own of the plain samples.
+        extra = np.repeat(np.arange(len(codes)), often - 1)
+        nth = np.arange(len(extra)) - np.repeat(np.cumsum(often - 1) - (often - 1), often - 1)
+        again = mix(codes[extra] ^ ((nth + 1).astype(np.uint64) * U64(0x9E3779B97F4A7C15)))
+        of = np.searchsorted(begin, extra, "right") - 1
+        heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        for k, seed in enumerate(seeds):
+            h = _hashed(codes, seed)
+            if k < plain_count:
+                lowest = np.minimum.reduceat(h, begin)
+                if len(heads):
+                    lowest[of[heads]] = np.minimum(lowest[of[heads]], np.minimum.reduceat(_hashed(again, seed), heads))
+                plain[k, rows] = mix(lowest)
+            if k >= count:
+                continue
             r = rate[h >> U64(48)]
             beta = (h & U64(0xFFFFFF)).astype(np.float32) * np.float32(2**-24)
             t = np.floor(log_w / r + beta)
@@ -131,7 +161,7 @@ def sampler(idf: np.ndarray, count: int, seed: int):
             hit = np.flatnonzero(a == np.repeat(least, counts))
             pick = hit[np.searchsorted(hit, begin)]  # the first of equal ones
             out[k, rows] = mix(codes[pick] ^ (t[pick].astype(np.int64).view(np.uint64) * U64(0x9E3779B97F4A7C15)))
-        return out
+        return out, plain
 
     return samples
 
@@ -151,27 +181,35 @@ def _lists(columns: np.ndarray) -> pa.Array:
 
 def _signatures(shared):
     def run(batches):
-        draw = sampler(shared.value, BANDS * ROWS, 7)
+        draw = sampler(shared.value, BANDS * ROWS, 7, BANDS * ROWS)
         for batch in batches:
             for part in slices(batch, "text", SAMPLE_STEP):
                 codes, often, borders, whole = shingles(part.column(2))
-                keys = _lists(band_keys(draw(codes, often, borders)).view(np.int64))
+                keys = _lists(np.concatenate([band_keys(kind) for kind in draw(codes, often, borders)]).view(np.int64))
                 cols = [part.column(0), part.column(1), *(pa.array(w.view(np.int64)) for w in whole), pa.array(np.diff(borders) > 0), keys]
                 yield pa.RecordBatch.from_arrays(cols, names=["k_id", "k_text", "c1", "c2", "some", "bands"])
 
     return run
 
 
+def _packed(samples: np.ndarray) -> np.ndarray:
+    """Two bits of each sample, 32 samples in a word."""
+    out = np.zeros((len(samples) // 32, samples.shape[1]), np.uint64)
+    for k, sample in enumerate(samples):
+        out[k // 32] |= (sample >> U64(20) & U64(3)) << U64(k % 32 * 2)
+    return out.view(np.int64)
+
+
 def _fine_samples(shared):
-    """Eight bits of each of ``FINE`` more samples."""
+    """Two bits of each of ``FINE`` more weighted samples and ``FINE_PLAIN`` more plain ones."""
 
     def run(batches):
-        draw = sampler(shared.value, FINE, 8)
+        draw = sampler(shared.value, FINE, 8, FINE_PLAIN)
         for batch in batches:
             for part in slices(batch, "text", SAMPLE_STEP):
                 codes, often, borders, _ = shingles(part.column(1))
-                short = (draw(codes, often, borders) >> U64(20)).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(short)], names=["node", "samples"])
+                short = [_lists(_packed(kind)) for kind in draw(codes, often, borders)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *short], names=["node", "samples", "plain"])
 
     return run
 
@@ -179,7 +217,11 @@ def _fine_samples(shared):
 def _similarity(shared):
     def weights(column: pa.Array, idf: np.ndarray):
         codes, often, borders, _ = shingles(column)
-        return codes, often * idf[counter_of(codes)], borders
+        return codes, (often * idf[counter_of(codes)], often), borders
+
+    def similar(u: np.ndarray, v: np.ndarray, j: np.ndarray, k: np.ndarray) -> bool:
+        both = float(np.minimum(u[j], v[k]).sum())
+        return both >= SIMILAR * (float(u.sum()) + float(v.sum()) - both) * (1 - 1e-9)
 
     def run(batches):
         idf = shared.value
@@ -189,11 +231,9 @@ def _similarity(shared):
                 b, wb, bb = weights(part.column(3), idf)
                 good = np.zeros(part.num_rows, bool)
                 for i in range(part.num_rows):
-                    x, y = a[ba[i] : ba[i + 1]], b[bb[i] : bb[i + 1]]
-                    u, v = wa[ba[i] : ba[i + 1]], wb[bb[i] : bb[i + 1]]
-                    _, j, k = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                    both = float(np.minimum(u[j], v[k]).sum())
-                    good[i] = both >= SIMILAR * (float(u.sum()) + float(v.sum()) - both) * (1 - 1e-9)
+                    x, y = slice(ba[i], ba[i + 1]), slice(bb[i], bb[i + 1])
+                    _, j, k = np.intersect1d(a[x], b[y], assume_unique=True, return_indices=True)
+                    good[i] = any(similar(u[x], v[y], j, k) for u, v in zip(wa, wb))
                 yield part.select([0, 1]).filter(pa.array(good))
 
     return run
@@ -220,7 +260,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     inside = materialize(inside.drop("n").join(company, "node"), "members")
     most = F.max(F.struct("company", "node"))["node"]
     drawn = [F.min(F.struct(F.xxhash64("node", "band", F.lit(i)).alias("x"), "node"))["node"] for i in range(DRAWN_HUBS)]
-    buckets = materialize(inside.groupBy("band", "key").agg(F.array_distinct(F.array(most, *drawn)).alias("hubs")), "hubs")
+    buckets = materialize(inside.groupBy("band", "key").agg(most.alias("hub"), F.array_distinct(F.array(*drawn)).alias("drawn")), "hubs")
     inside = inside.drop("company")
     # Only texts that share a bucket with another are compared; they are taken out once.  A merge join at every size.
     some = materialize(company.select("node"), "nodes")
@@ -233,27 +273,46 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
         joined = pairs.join(one.hint("merge"), "u").join(two.hint("merge"), "v").select("u", "v", "text", "text_v")
         return materialize(joined.mapInArrow(_similarity(shared), "u string, v string").distinct(), "links")
 
-    hubs = F.explode("hubs").alias("v")
-    pairs = inside.join(buckets, ["band", "key"]).select(F.col("node").alias("u"), hubs).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    tested = materialize(pairs.distinct(), "pairs")
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    def placed(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+        return nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    pairs = inside.join(buckets, ["band", "key"]).select(F.col("node").alias("u"), F.col("hub").alias("v")).filter("u <> v")
+    tested = materialize(ordered(pairs), "pairs")
     links = linked(tested)
     parts = components(links)
-    # Buckets that still hold several components: compare across them.
-    placed = inside.select("band", "key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = materialize(placed, "placed")
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    mixed = placed.join(materialize(mixed.select("band", "key"), "mixed"), ["band", "key"])
+    # Buckets that still hold several components; in one of two members the only pair has been compared.
+    held = materialize(placed(inside.select("band", "key", "node"), parts), "placed")
+    mixed = held.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+    mixed = held.join(materialize(mixed.filter("lo <> hi and n > 2").select("band", "key"), "mixed"), ["band", "key"])
     unsettled = materialize(mixed.select("node").distinct(), "unsettled")
-    fine = texts.hint("merge").join(unsettled, "node").mapInArrow(_fine_samples(shared), "node string, samples array<tinyint>")
+    fine = texts.hint("merge").join(unsettled, "node").mapInArrow(_fine_samples(shared), "node string, samples array<long>, plain array<long>")
     fine = materialize(fine.dropDuplicates(["node"]), "fine")
     mixed = materialize(mixed.join(fine, "node").join(reps.select("node", "bands"), "node"), "mixed")
-    x = mixed.select("band", "key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("samples").alias("su"), F.col("bands").alias("bu"))
-    y = mixed.select("band", "key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("samples").alias("sv"), F.col("bands").alias("bv"))
-    equal_samples = F.aggregate(F.zip_with("su", "sv", lambda a, b: (a == b).cast("int")), F.lit(0), lambda t, e: t + e)
+
+    def few_differ(kind: str):
+        """Whether 384 samples differ in few places by 4.5 standard deviations, and all samples by 3.5; the first is compiled."""
+        words = [F.col(kind + "u")[i].bitwiseXOR(F.col(kind + "v")[i]) for i in range(FINE // 32)]
+        lanes = lambda w: F.bit_count(w.bitwiseOR(F.shiftrightunsigned(w, 1)).bitwiseAND(F.lit(_LOW_BITS)))
+        total = F.aggregate(F.zip_with(kind + "u", kind + "v", lambda a, b: lanes(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n)
+        return (sum(map(lanes, words), F.lit(0)) <= _may_differ(FINE, 4.5)) & (total <= _may_differ({"s": FINE, "p": FINE_PLAIN}[kind], 3.5))
+
+    side = lambda rows, n: rows.select(
+        "band", "key", *(F.col(c).alias(a + n) for c, a in (("node", ""), ("component", "c"), ("samples", "s"), ("plain", "p"), ("bands", "b")))
+    )
+    apart = F.expr("cu <> cv") & (few_differ("s") | few_differ("p"))
+    drawn_hubs = buckets.select("band", "key", F.explode("drawn").alias("node"))
+    pairs = side(mixed.join(drawn_hubs, ["band", "key", "node"]), "u").join(side(mixed, "v"), ["band", "key"]).filter(apart)
+    pairs = materialize(ordered(pairs).join(tested, ["u", "v"], "left_anti"), "pairs")
+    tested = tested.unionByName(pairs)
+    links = materialize(links.unionByName(linked(pairs)), "links")
+    parts = components(links)
+    mixed = placed(mixed.drop("component"), parts)
     first_band = F.array_position(F.zip_with("bu", "bv", lambda a, b: a == b), True) - 1  # a pair shows in one bucket only
-    wanted = F.expr("u < v and cu <> cv") & (first_band == F.col("band")) & (equal_samples >= AGREE)
-    across = x.join(y, ["band", "key"]).filter(wanted).select("u", "v")
-    more = linked(materialize(across.join(tested, ["u", "v"], "left_anti"), "across"))
+    across = side(mixed, "u").join(side(mixed, "v"), ["band", "key"]).filter(F.expr("u < v") & apart & (first_band == F.col("band")))
+    more = linked(materialize(across.select("u", "v").join(tested, ["u", "v"], "left_anti"), "across"))
     parts = components(links.unionByName(more))
     named = reps.select("c1", "c2", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = signed.select("k_id", "k_text", "c1", "c2", "some").join(named.drop("node"), ["c1", "c2"], "left")
